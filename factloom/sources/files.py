@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +13,11 @@ CHUNK = 1024 * 1024
 
 
 def manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, size, mtime) of the files below ``root``. No file is opened."""
+    """(path, size, mtime) of the files below ``root``. No file is opened.
+
+    Works on any file system Spark reads; the source leaves out empty files. ``stat`` asks
+    for given paths instead, and knows empty files too.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
@@ -24,6 +29,27 @@ def manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def stat(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(path, size, mtime) of those paths that exist, asked from the executors.
+
+    The paths must be on a mount that all executors share.
+    """
+    distinct = paths.select(F.col(path).alias("path")).filter("path IS NOT NULL").distinct()
+    return distinct.mapInPandas(_stat_batches, "path string, size bigint, mtime bigint")
+
+
+def _stat_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path in batch["path"]:
+            try:
+                found = os.stat(path)
+            except OSError:
+                continue
+            rows.append((path, found.st_size, int(found.st_mtime)))
+        yield pd.DataFrame(rows, columns=["path", "size", "mtime"])
+
+
 def with_fingerprint(files: DataFrame, deep: bool = False) -> DataFrame:
     """Adds ``file_fp``: sha1 of ``path|size|mtime``.
 
