@@ -67,7 +67,8 @@ def snapshot_rows(spark, sf):
            CASE WHEN p_size = 3 THEN NULL
                 WHEN p_size >= 40 - p_size AND p_size >= 20 THEN 'a' || p_partkey
                 WHEN 40 - p_size >= 20 THEN 'b' || p_partkey ELSE 'c' || p_partkey END AS part_id,
-           CASE WHEN p_size <> 3 THEN greatest(p_size, 40 - p_size, 20) END AS source_size
+           CASE WHEN p_size <> 3 THEN CAST(greatest(p_size, 40 - p_size, 20) AS BIGINT) END
+               AS source_size
     FROM part""")
 def largest_part(spark, sf):
     return snapshot.normalize_snapshot(raw_snapshot(spark, sf)).select(
@@ -409,11 +410,11 @@ RECONCILED_SQL = f"""(
            CAST(CASE WHEN isin THEN new_key ELSE o_orderkey END AS VARCHAR) AS rating_key,
            CASE WHEN isin THEN lower(o_orderpriority) ELSE o_orderpriority END AS title,
            CASE WHEN isin AND changed THEN 'v2-' ELSE 'v1-' END || o_orderkey AS file_fp,
-           CASE WHEN was THEN 1 ELSE {RUN_AT} END AS first_seen,
-           CASE WHEN isin THEN {RUN_AT} ELSE 1 END AS last_seen,
-           CASE WHEN isin THEN {RUN_ID} ELSE 1 END AS seen_run,
-           CASE WHEN isin THEN NULL WHEN dead THEN 5 WHEN o_orderstatus <> 'O' THEN {RUN_AT} END
-               AS deleted_at,
+           CAST(CASE WHEN was THEN 1 ELSE {RUN_AT} END AS BIGINT) AS first_seen,
+           CAST(CASE WHEN isin THEN {RUN_AT} ELSE 1 END AS BIGINT) AS last_seen,
+           CAST(CASE WHEN isin THEN {RUN_ID} ELSE 1 END AS BIGINT) AS seen_run,
+           CAST(CASE WHEN isin THEN NULL WHEN dead THEN 5 WHEN o_orderstatus <> 'O' THEN {RUN_AT}
+                END AS BIGINT) AS deleted_at,
            CASE WHEN was THEN o_totalprice END AS price
     FROM {RECONCILED_SQL}""")
 def reconcile_rows(spark, sf):

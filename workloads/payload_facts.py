@@ -140,7 +140,7 @@ def movie_sources(spark, sf):
         movieFileId=F.when(size >= 8, key), movieFile=embedded,
     ).alias("payload"), F.col("p_partkey").alias("seq"))
     full = detail(size, size > 45, F.concat(F.lit(" "), F.upper("p_type")))
-    files = part.filter("p_retailprice >= 1200").select(
+    files = part.filter("p_retailprice >= 905.5").select(
         F.to_json(full).alias("payload"), F.col("p_partkey").alias("seq"))
     return {
         "movies": movies, "files": files,
@@ -150,7 +150,7 @@ def movie_sources(spark, sf):
 
 
 HAS_FILE = f"({PRESENT} AND (p_size >= 8))"
-DETAIL = "(p_retailprice >= 1200)"
+DETAIL = "(p_retailprice >= 905.5)"
 TAGS = """list_sort(list_filter([
     CASE WHEN p_size BETWEEN 0 AND 24 THEN 'NATION_' || p_size END,
     CASE WHEN p_size - 10 BETWEEN 0 AND 24 THEN 'NATION_' || (p_size - 10) END, 'NATION_3'],
@@ -165,7 +165,7 @@ TAGS = """list_sort(list_filter([
         CASE WHEN {PRESENT} THEN '/' || p_brand END AS root_folder,
         CAST(NULL AS VARCHAR) AS studio,
         CASE WHEN {PRESENT} THEN array_to_string({TAGS}, ',') END AS tags,
-        CASE WHEN {PRESENT} THEN 1577934240 + p_size END AS added,
+        CASE WHEN {PRESENT} THEN CAST(1577934240 + p_size AS BIGINT) END AS added,
         CASE WHEN {HAS_FILE} THEN p_type END AS quality,
         CASE WHEN {HAS_FILE} THEN p_size > 20 END AS remux,
         CASE WHEN {HAS_FILE} THEN {DETAIL} AND p_size > 45 END AS proper_repack,

@@ -26,11 +26,11 @@ CASES = [
     ("num_eq", P, "part.size", "eq", 20, "p_size = 20"),
     ("num_ne", D, "label.quality", "ne", 1, "quality IS NOT NULL AND quality <> 1"),
     ("num_gt", P, "part.size", "gt", 40, "p_size > 40"),
-    ("num_gte", P, "part.price", "gte", "1500.5", "p_retailprice >= 1500.5"),
+    ("num_gte", P, "part.price", "gte", "905.5", "p_retailprice >= 905.5"),
     ("num_lt", P, "part.size", "lt", 3, "p_size < 3"),
     ("num_lte", D, "doc.chars", "lte", 500, "n_chars <= 500"),
-    ("num_between", P, "part.price", "between", [1400, 1200],
-     "p_retailprice BETWEEN 1200 AND 1400"),
+    ("num_between", P, "part.price", "between", [940, 903.5],
+     "p_retailprice BETWEEN 903.5 AND 940"),
     ("num_in", P, "part.size", "in", [1, 5, 9, 49], "p_size IN (1, 5, 9, 49)"),
     ("num_not_in", D, "label.quality", "not_in", [1, 7],
      "quality IS NOT NULL AND quality NOT IN (1, 7)"),
@@ -47,7 +47,7 @@ CASES = [
     ("date_is_null", O, "order.shipped", "is_null", None, "shipped IS NULL"),
     ("date_is_not_null", O, "order.shipped", "is_not_null", None, "shipped IS NOT NULL"),
     ("str_eq", P, "part.name", "eq", "RED Bolt", "lower(p_name) = 'red bolt'"),
-    ("str_ne", P, "part.name", "ne", "red bolt", "lower(p_name) <> 'red bolt'"),
+    ("str_ne", O, "order.mark", "ne", "mark R", "last_flag IS NOT NULL AND last_flag <> 'R'"),
     ("str_contains", P, "part.name", "contains", "GE", "contains(lower(p_name), 'ge')"),
     ("str_not_contains", P, "part.name", "not_contains", "g",
      "NOT contains(lower(p_name), 'g')"),
@@ -57,10 +57,10 @@ CASES = [
      "ends_with(lower(p_name), 'anvil')"),
     ("str_in", P, "part.brand", "in", ["brand#2", "BRAND#17"],
      "lower(p_brand) IN ('brand#2', 'brand#17')"),
-    ("str_not_in", P, "part.brand", "not_in", ["brand#2", "BRAND#17"],
-     "lower(p_brand) NOT IN ('brand#2', 'brand#17')"),
-    ("str_is_null", O, "order.priority", "is_null", None, "o_orderpriority IS NULL"),
-    ("str_is_not_null", P, "part.name", "is_not_null", None, "p_name IS NOT NULL"),
+    ("str_not_in", O, "order.mark", "not_in", ["mark R", "MARK A"],
+     "last_flag IS NOT NULL AND last_flag NOT IN ('R', 'A')"),
+    ("str_is_null", O, "order.mark", "is_null", None, "last_flag IS NULL"),
+    ("str_is_not_null", O, "order.mark", "is_not_null", None, "last_flag IS NOT NULL"),
     ("enum_eq", O, "order.status", "eq", "p", "o_orderstatus = 'P'"),
     ("enum_ne", O, "order.last_flag", "ne", "R", "last_flag IS NOT NULL AND last_flag <> 'R'"),
     ("enum_in", P, "part.type", "in", ["promo", "LARGE"], "p_type IN ('PROMO', 'LARGE')"),

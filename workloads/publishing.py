@@ -12,7 +12,7 @@ from .base import query
 
 # The sets of each rule (a part type), over parts.
 SETS = {
-    "matched": "p_size >= 20",
+    "matched": "p_size >= 20 AND p_type <> 'MEDIUM'",
     "current": "p_brand < 'Brand#2'",
     "ours": "p_brand < 'Brand#18'",
     "pinned": "p_name LIKE 'hot%'",
@@ -105,23 +105,24 @@ def unpublish_all(spark, sf):
     return publish.unpublish(current, ours, strip_all=True)[0]
 
 
-# ── gates: four settings over the same counts ─────────────────────────────────
+# ── gates: several settings over the same counts ─────────────────────────────────
 
 SETTINGS = {
     "default": publish.Limits(),
     "wary": publish.Limits(min_removal_alarm=1, max_removal_fraction=0.05),
-    "small": publish.Limits(max_changes=40),
+    "small": publish.Limits(max_changes=40, max_removal_fraction=1.0),
+    "lenient": publish.Limits(max_removal_fraction=1.0, max_changes=10**12),
     "fresh": publish.Limits(max_stale_fraction=0.0, refuse_empty_result=False),
 }
 JUDGED_SQL = f"""(
     SELECT c.*, stale, in_scope FROM ({COUNTS_SQL}) c JOIN (
-        SELECT p_type AS rule_id, count(*) FILTER (WHERE p_retailprice < 950) AS stale,
+        SELECT p_type AS rule_id, count(*) FILTER (WHERE p_retailprice < 905) AS stale,
                count(*) AS in_scope FROM part GROUP BY 1) USING (rule_id))"""
 
 
 def judged(spark, sf):
     scope = t.table(spark, sf, "part").groupBy(F.col("p_type").alias("rule_id")).agg(
-        F.count_if(F.col("p_retailprice") < 950).alias("stale"),
+        F.count_if(F.col("p_retailprice") < 905).alias("stale"),
         F.count(F.lit(1)).alias("in_scope"))
     return publish.counts(changes(spark, sf)).join(scope, "rule_id")
 
@@ -168,7 +169,7 @@ def publish_history(spark, sf):
 
 
 @query("membership_table", f"""
-    SELECT rule_id, CAST(item_key AS VARCHAR) AS item_key, 2 AS added_at FROM {DIFF_SQL}
+    SELECT rule_id, CAST(item_key AS VARCHAR) AS item_key, CAST(2 AS BIGINT) AS added_at FROM {DIFF_SQL}
     WHERE target AND rule_id NOT IN ('PROMO', 'SMALL') UNION ALL
     SELECT rule_id, CAST(item_key AS VARCHAR), 1 FROM {DIFF_SQL}
     WHERE target AND rule_id = 'SMALL'""")

@@ -59,7 +59,7 @@ class Orders(Provider):
     facts = (
         measure("order.price"), date("order.placed"), date("order.shipped"),
         enum("order.status", "P", "F", "O"), enum("order.last_flag", "A", "N", "R"),
-        text("order.priority"), words("order.flags"), words("order.big_flags"),
+        text("order.priority"), text("order.mark"), words("order.flags"), words("order.big_flags"),
     )
 
 
@@ -133,7 +133,8 @@ def orders(spark, sf) -> DataFrame:
         F.struct(
             F.col("o_totalprice").alias("price"), placed.alias("placed"), F.col("shipped"),
             F.col("o_orderstatus").alias("status"), F.col("last_flag"),
-            F.col("o_orderpriority").alias("priority"), F.col("flags"), F.col("big_flags"),
+            F.col("o_orderpriority").alias("priority"),
+            F.concat(F.lit("Mark "), "last_flag").alias("mark"), F.col("flags"), F.col("big_flags"),
         ).alias("order"))
 
 
