@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SPREAD = 1024
 # A vocabulary up to this size becomes a literal map; a larger one is joined.
@@ -13,17 +13,22 @@ def left_lookup(left: DataFrame, right: DataFrame, on: list[str], spread_by: str
     """``left`` LEFT JOIN ``right`` (unique on ``on``), with NULL keys spread out.
 
     Rows without a key match nothing, yet a plain join would hash them all to one task.
-    A salt made from ``spread_by`` scatters them; rows with a key keep salt 0, and AQE
-    splits a hot key on the left side.
+    They are hashed on a stand-in made from ``spread_by`` instead; the join condition still
+    asks for the real key, so a stand-in never matches. Rows with a key keep it, and AQE
+    splits a key that is hot on the left side.
     """
-    keyless = F.lit(False)
-    for name in on:
-        keyless = keyless | F.col(name).isNull()
-    salt = F.when(keyless, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
-    salted = left.withColumn("_salt", salt.cast("long"))
-    return salted.join(
-        right.withColumn("_salt", F.lit(0).cast("long")), [*on, "_salt"], "left"
-    ).drop("_salt")
+    kinds = dict(left.dtypes)
+    names = {name: f"_r_{name}" for name in on}
+    other = right.withColumnsRenamed(names)
+    spot = F.pmod(F.xxhash64(spread_by), F.lit(SPREAD))
+    condition = F.lit(True)
+    for name, renamed in names.items():
+        stand_in = -1 - spot
+        if kinds[name] == "string":
+            stand_in = F.concat(F.lit("\x00"), spot.cast("string"))
+        condition = condition & F.col(name).isNotNull() & (
+            F.coalesce(F.col(name), stand_in.cast(kinds[name])) == F.col(renamed))
+    return left.join(other, condition, "left").drop(*names.values())
 
 
 def small_map(vocabulary: DataFrame, key: str, value: str) -> Column | None:
@@ -70,7 +75,3 @@ def resolve_name(df: DataFrame, row_id: str, ref: str, out: str,
     known = vocabulary.filter(F.col("name") != "").select(
         F.col("id").alias(ref), F.col("name").alias(out))
     return left_lookup(df, known, [ref], row_id)
-
-
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)

@@ -29,8 +29,8 @@ def seconds(df: DataFrame, name: str) -> Column:
 
 
 def truthy(value: Column) -> Column:
-    """A number that is known and not zero."""
-    return F.coalesce(value != 0, F.lit(False))
+    """A number that is known and not zero; NULL when unknown, which WHEN takes as no."""
+    return value != 0
 
 
 def filled(value: Column) -> Column:
@@ -44,7 +44,7 @@ def yes(value: Column) -> Column:
 
 def emitted(test: Column, value: Column) -> Column:
     """A fact that is only there when ``test`` holds."""
-    return F.when(yes(test), value)
+    return F.when(test, value)
 
 
 def sorted_set(values: Column) -> Column:

@@ -7,7 +7,7 @@ delete removes it; a list replaces the former list as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.registry import Registry
 from ..functions.spec import STORAGE, FactSpec, FactType
@@ -49,6 +49,30 @@ def merge(stored: DataFrame, results: DataFrame) -> DataFrame:
         "item_id", "key", *[f"last.{c}" for c in columns])
 
 
+# ── the fact table on disk ────────────────────────────────────────────────────
+# One partition per run. Writing a run's facts appends no more than that run's rows, and a
+# run that is repeated replaces its own partition. Readers merge; ``compact`` rewrites.
+
+
+def write_patch(results: DataFrame, path: str, run_id: int) -> None:
+    results.withColumn("run_id", F.lit(int(run_id)).cast("bigint")).write.mode(
+        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def read_patches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LONG_SCHEMA + ", run_id bigint").parquet(path)
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    rows = read_patches(spark, path).drop("run_id")
+    return merge(rows, rows.limit(0))
+
+
+def compact(spark: SparkSession, path: str, new_path: str, run_id: int) -> None:
+    """The merged facts as one run of a new table; deleted keys are gone for good."""
+    write_patch(read_merged(spark, path), new_path, run_id)
+
+
 def merge_provenance(stored: DataFrame, results: DataFrame) -> DataFrame:
     """One row per (item, provider): the newest, as a whole."""
     rest = [c for c in stored.columns if c not in ("item_id", "provider")]

@@ -48,23 +48,24 @@ class Provider:
 
     def results(self, frame: DataFrame, made: dict[str, Column], status: Column | None = None,
                 reason: Column | None = None) -> DataFrame:
-        """Fold fact columns into namespace structs; only status ``ok`` carries facts."""
-        status = F.lit("ok") if status is None else status
+        """Fold fact columns into namespace structs; they are NULL unless status is ``ok``."""
         unknown = set(made) - {s.key for s in self.facts}
         if unknown:
             raise ValueError(f"{self.id} does not declare {sorted(unknown)}")
         spaces: dict[str, list[Column]] = {}
         for spec in self.facts:
-            value = made.get(spec.key, F.lit(None))
             spaces.setdefault(spec.namespace, []).append(
-                F.when(F.col("_status") == "ok", value).cast(STORAGE[spec.type])
+                made.get(spec.key, F.lit(None)).cast(STORAGE[spec.type])
                 .alias(spec.key.partition(".")[2]))
-        judged = frame.withColumn("_status", status)
-        return judged.select(
-            "item_id", F.col("_status").alias("status"),
-            (F.lit(None).cast("string") if reason is None
-             else F.when(F.col("_status") != "ok", reason)).alias("reason"),
-            (F.col("input_fp") if "input_fp" in frame.columns
-             else F.lit(None).cast("string")).alias("input_fp"),
-            *[F.struct(*fields).alias(name) for name, fields in spaces.items()],
+        nothing = F.lit(None).cast("string")
+        folded = {name: F.struct(*fields) for name, fields in spaces.items()}
+        if status is not None:
+            frame = frame.withColumn("_status", status)
+            done = F.col("_status") == "ok"
+            folded = {name: F.when(done, fields) for name, fields in folded.items()}
+        return frame.select(
+            "item_id", (F.lit("ok") if status is None else F.col("_status")).alias("status"),
+            (nothing if reason is None else F.when(~done, reason)).alias("reason"),
+            (F.col("input_fp") if "input_fp" in frame.columns else nothing).alias("input_fp"),
+            *[fields.alias(name) for name, fields in folded.items()],
         )

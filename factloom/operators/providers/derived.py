@@ -82,9 +82,7 @@ class Derived(Provider):
     def compute(self, items, sources):
         """Reads the namespaces video, file, plex and tmdb of the items."""
         get = F.col
-        delta = runtime_delta(get("file.duration_s"), get("plex.duration_min"),
-                              get("tmdb.runtime"))
-        made = {
+        values = {
             "derived.resolution_class": resolution_class(get("video.width")),
             "derived.is_scope": is_scope(get("video.dar")),
             "derived.bitrate_per_pixel": bitrate_per_pixel(
@@ -93,14 +91,18 @@ class Derived(Provider):
                 get("file.size_bytes"), get("file.duration_s")),
             "derived.runtime_mismatch_min": runtime_drift(
                 get("file.duration_s"), get("plex.duration_min")),
-            "derived.runtime_vs_tmdb_min": delta,
-            "derived.is_extended_cut": delta >= EXTENDED_MINUTES,
+            "derived.runtime_vs_tmdb_min": runtime_delta(
+                get("file.duration_s"), get("plex.duration_min"), get("tmdb.runtime")),
             "derived.is_foreign": is_foreign(get("tmdb.original_language")),
             "derived.is_box_office_bomb": is_bomb(get("tmdb.budget"), get("tmdb.revenue")),
         }
-        nothing = F.lit(True)
-        for value in made.values():
-            nothing = nothing & value.isNull()
+        # Computed once, then both stored and asked whether anything came out.
+        names = {key: "_" + key.partition(".")[2] for key in values}
+        found = items.withColumns({names[key]: value for key, value in values.items()})
+        made = {key: F.col(name) for key, name in names.items()}
+        made["derived.is_extended_cut"] = made["derived.runtime_vs_tmdb_min"] >= EXTENDED_MINUTES
         return self.results(
-            items, made, F.when(nothing, "skipped").otherwise("ok"),
+            found, made,
+            F.when(F.coalesce(*[c.cast("string") for c in made.values()]).isNull(), "skipped")
+            .otherwise("ok"),
             F.lit("no inputs computed yet"))

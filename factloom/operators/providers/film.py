@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...functions.joins import left_lookup
-from ...functions.scalars import emitted, epoch, filled, non_null, or_empty, sorted_set, truthy
+from ...functions.scalars import emitted, epoch, filled, non_null, or_empty, sorted_set, truthy, yes
 from ...functions.spec import date, flag, measure, text, words
 from ...sources.payloads import FILM_SCHEMA, parse
 from .base import Provider
@@ -34,7 +34,7 @@ class Film(Provider):
         return F.col("tmdb_id").isNotNull()
 
     def ineligible(self):
-        return F.when(~truthy(F.col("tmdb_id")), "no film id")
+        return F.when(~yes(truthy(F.col("tmdb_id"))), "no film id")
 
     def fingerprint(self):
         return F.concat(F.lit("tmdb:"), F.col("tmdb_id").cast("string"))

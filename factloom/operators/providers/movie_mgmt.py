@@ -47,7 +47,7 @@ class MovieMgmt(Provider):
     )
 
     def ineligible(self):
-        return F.when(~truthy(F.col("tmdb_id")), "no film id to match by")
+        return F.when(~yes(truthy(F.col("tmdb_id"))), "no film id to match by")
 
     def vocabulary(self, sources):
         def named(table):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.joins import left_lookup
-from ...functions.scalars import emitted, or_empty, truthy
+from ...functions.scalars import emitted, non_null, or_empty, sorted_set, truthy
 from ...functions.spec import enum, flag, measure, words
 from .base import Provider
 
@@ -32,14 +32,24 @@ def children_by_parent(items: DataFrame) -> DataFrame:
         F.min("file.bitrate_kbps").alias("min_rate"),
         F.max("file.bitrate_kbps").alias("max_rate"),
         F.avg("file.bitrate_kbps").alias("mean_rate"),
-        _set("derived.resolution_class").alias("resolutions"),
-        _set("video.hdr_format").alias("hdr"),
-        _set("video.aspect_bucket").alias("aspects"),
-    )
+        # One set of the few combinations is cheaper than one set per column.
+        F.collect_set(F.struct(
+            F.col("derived.resolution_class").alias("resolution"),
+            F.col("video.hdr_format").alias("hdr"),
+            F.col("video.aspect_bucket").alias("aspect"))).alias("_kinds"),
+    ).withColumns({
+        "resolutions": _column_of("_kinds", "resolution"),
+        "hdr": _column_of("_kinds", "hdr"),
+        "aspects": _column_of("_kinds", "aspect"),
+    }).drop("_kinds")
     languages = union_of_lists(episodes, "parent_key", "audio.languages", "languages")
     return scalars.join(languages, "parent_key", "left")
 
 
+def _column_of(structs: str, field: str) -> Column:
+    return sorted_set(non_null(F.transform(structs, lambda s: s[field])))
+
+
 def union_of_lists(items: DataFrame, parent: str, key: str, out: str) -> DataFrame:
     """Per parent the sorted set of the elements of a list fact; empty texts are dropped."""
     elements = items.select(parent, F.explode(key).alias("_e"))

@@ -44,7 +44,7 @@ class SeriesMgmt(Provider):
     )
 
     def ineligible(self):
-        return F.when(~truthy(F.col("tvdb_id")), "no series id to match by")
+        return F.when(~yes(truthy(F.col("tvdb_id"))), "no series id to match by")
 
     def vocabulary(self, sources):
         def named(table):

@@ -44,18 +44,22 @@ def coverage(items: DataFrame, provenance: DataFrame, providers) -> DataFrame:
         F.count_if(outdated).alias("stale"),
     )
     sums = ["known", "errors", "skipped", "stale"]
-    by_type = targets.join(done, ["provider", "item_type"], "left").select(
-        "provider", "item_type", "total", *[F.coalesce(s, F.lit(0)).alias(s) for s in sums])
-    whole = (
-        declared.select("provider", *[F.lit(0).cast("bigint").alias(s) for s in ["total", *sums]])
+    zero = F.lit(0).cast("bigint")
+    every = ["total", *sums]
+    rows = (
+        declared.select("provider", F.lit(None).cast("string").alias("item_type"),
+                        *[zero.alias(c) for c in every])
         .unionByName(targets.select(
-            "provider", "total", *[F.lit(0).cast("bigint").alias(s) for s in sums]))
-        .unionByName(done.select(
-            "provider", F.lit(0).cast("bigint").alias("total"), *sums))
-        .groupBy("provider").agg(*[F.sum(c).alias(c) for c in ["total", *sums]])
-        .withColumn("item_type", F.lit(None).cast("string"))
+            "provider", "item_type", "total", *[zero.alias(c) for c in sums]))
+        .unionByName(done.select("provider", "item_type", zero.alias("total"), *sums))
+    )
+    per_provider = F.col("_level") == 1
+    return (
+        rows.groupingSets([["provider", "item_type"], ["provider"]], "provider", "item_type")
+        .agg(F.grouping_id().alias("_level"), *[F.sum(c).alias(c) for c in every])
+        .filter(per_provider | (F.col("total") > 0))
+        .select("provider", "item_type", *every)
     )
-    return whole.unionByName(by_type)
 
 
 def stats(items: DataFrame, has_facts=None) -> DataFrame:

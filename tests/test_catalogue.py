@@ -411,3 +411,40 @@ def test_registry(spark, registry):
     assert "contains_all" in described["tmdb.keywords"].operators
     assert registry.schema()["video"].dataType["dar"].dataType.simpleString() == "double"
     assert Derived().facts[0].namespace == "derived"
+
+
+def test_fact_table(spark, tmp_path):
+    path, packed = str(tmp_path / "facts"), str(tmp_path / "packed")
+    rows = lambda *r: spark.createDataFrame(list(r), facts.LONG_SCHEMA)
+    first = rows(("a", "x.a", "1", "p", 1, False), ("a", "x.b", "2", "p", 1, False))
+    facts.write_patch(first, path, 1)
+    second = rows(("a", "x.a", None, "p", 2, True), ("b", "x.a", "5", "p", 2, False))
+    for _ in range(2):
+        facts.write_patch(second, path, 2)
+    assert facts.read_patches(spark, path).count() == 4
+
+    def stored(where):
+        return {(r.item_id, r.key, r.value) for r in facts.read_merged(spark, where).collect()}
+
+    assert stored(path) == {("a", "x.b", "2"), ("b", "x.a", "5")}
+    facts.compact(spark, path, packed, 2)
+    assert stored(packed) == stored(path) and facts.read_patches(spark, packed).count() == 2
+
+
+def test_rows_without_a_key_are_spread_and_never_match(spark):
+    from factloom.functions.joins import left_lookup
+    left = spark.createDataFrame(
+        [(i, None if i % 2 else i) for i in range(1000)], "item_id int, k bigint")
+    right = spark.createDataFrame([(i, "v") for i in range(-2000, 500)], "k bigint, v string")
+    found = left_lookup(left, right, ["k"], "item_id")
+    assert found.count() == 1000 and found.columns == ["item_id", "k", "v"]
+    assert found.filter("v is not null").count() == 250
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plain = left_lookup(left, right, ["k"], "item_id").withColumn(
+            "p", F.spark_partition_id()).filter("k is null").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(plain) == 4 and max(r["count"] for r in plain) < 250

@@ -33,7 +33,8 @@ def items(spark, **columns):
 
 def facts_of(row, *spaces):
     """Emitted facts as a flat dict."""
-    return {f"{s}.{k}": v for s in spaces for k, v in row[s].asDict().items() if v is not None}
+    return {f"{s}.{k}": v for s in spaces if row[s] is not None
+            for k, v in row[s].asDict().items() if v is not None}
 
 
 FILM = {

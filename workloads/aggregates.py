@@ -10,11 +10,10 @@ from factloom.operators import browse, report
 from factloom.operators.providers import History, Provider, Rollup
 from factloom.operators.providers.derived import resolution_class
 from factloom.operators.providers.rollup import children_by_parent, union_of_lists
-from factloom.session import shared_folder
 from factloom.streaming import refresh
 
 from . import tables as t
-from .base import query
+from .base import query, scratch
 
 # ── parents and children: orders and their lines ──────────────────────────────
 
@@ -162,8 +161,7 @@ def watch_left_join(spark, sf):
 @query("refresh_equals_batch", WATCH_FACTS_SQL)
 def refresh_equals_batch(spark, sf):
     """The events read as a stream, reduced batch by batch into the state table."""
-    folder = shared_folder(spark).rstrip("/")
-    run = spark.sql("select uuid()").first()[0]
+    folder = scratch(spark, "refresh")
     schema = t.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option(
         "maxFilesPerTrigger", 1).parquet(sf)
@@ -172,8 +170,8 @@ def refresh_equals_batch(spark, sf):
         t.seconds(stream, "ts").alias("date"), F.lit(None).cast("bigint").alias("stopped"),
         F.get_json_object("props", "$.k").alias("user"),
         F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("watched_status"))
-    state = f"{folder}/refresh-{run}/state"
-    refresh.start(source, state, f"{folder}/refresh-{run}/marks").awaitTermination()
+    state = f"{folder}/state"
+    refresh.start(source, state, f"{folder}/marks").awaitTermination()
     done = History().from_totals(t.customers(spark, sf), refresh.totals(spark, state))
     return done.select("item_id", "watch.*")
 

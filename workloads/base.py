@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.session import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,3 +22,9 @@ def query(name: str, sql: str | None = None):
             ORACLES[name] = sql
         return fn
     return register
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    run = spark.sql("SELECT uuid()").first()[0]
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{run}"

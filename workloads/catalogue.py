@@ -13,7 +13,7 @@ from factloom.plans import staleness
 from factloom.sources import files, payloads, snapshot
 
 from . import tables as t
-from .base import query
+from .base import query, scratch
 
 # ── snapshots and payload tables ──────────────────────────────────────────────
 
@@ -287,6 +287,20 @@ def fact_merge(spark, sf):
         "item_id", "key", F.col("value").cast("double").alias("value"))
 
 
+@query("fact_table", f"""
+    SELECT CAST(user_id AS VARCHAR) AS item_id, 'seen.' || event_type AS key, value
+    FROM {MERGED_SQL}""")
+def fact_table(spark, sf):
+    """Two runs written to the fact table, the second one twice, and read back merged."""
+    path = scratch(spark, "facts")
+    early, late = event_facts(spark, sf)
+    facts.write_patch(early, path, 1)
+    facts.write_patch(late, path, 2)
+    facts.write_patch(late, path, 2)
+    return facts.read_merged(spark, path).select(
+        "item_id", "key", F.col("value").cast("double").alias("value"))
+
+
 @query("fact_widen", "SELECT CAST(user_id AS VARCHAR) AS item_id, " + ", ".join(
     f"max(value) FILTER (WHERE event_type = '{k}') AS \"{k}\""
     for k in ("view", "click", "signup", "purchase", "error")) + f" FROM {MERGED_SQL} GROUP BY 1")

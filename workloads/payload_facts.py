@@ -363,34 +363,40 @@ KEYS = ", ".join(LINE)
 
 
 def derived_query(name, value, sql):
+    """``value`` makes the Column from quantity, extended price and line number."""
     @query(f"derived_{name}", f"SELECT {KEYS}, {sql} AS {name} FROM lineitem")
     def run(spark, sf):
-        return t.table(spark, sf, "lineitem").select(*LINE, value.alias(name))
+        made = value(F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_linenumber"))
+        return t.table(spark, sf, "lineitem").select(*LINE, made.alias(name))
 
 
-Q, PRICE, N = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_linenumber")
-
-derived_query("resolution_class", derived.resolution_class(F.when(N != 3, Q * 80 - 400)), """
+derived_query("resolution_class", lambda q, price, n: derived.resolution_class(
+    F.when(n != 3, q * 80 - 400)), """
     CASE WHEN l_linenumber = 3 OR l_quantity = 5 THEN NULL
          WHEN l_quantity * 80 - 400 >= 3000 THEN '4k' WHEN l_quantity * 80 - 400 >= 1800
          THEN '1080p' WHEN l_quantity * 80 - 400 >= 1200 THEN '720p'
          WHEN l_quantity * 80 - 400 > 0 THEN 'sd' ELSE 'other' END""")
-derived_query("is_scope", derived.is_scope(Q / 10), "l_quantity / 10 >= 2.3")
-derived_query("bitrate_per_pixel", derived.bitrate_per_pixel(Q - 1, Q * 16, N * 9), """
+derived_query("is_scope", lambda q, price, n: derived.is_scope(q / 10), "l_quantity / 10 >= 2.3")
+derived_query("bitrate_per_pixel", lambda q, price, n: derived.bitrate_per_pixel(
+    q - 1, q * 16, n * 9), """
     CASE WHEN l_quantity <> 1
          THEN round((l_quantity - 1) * 1000 / (l_quantity * 16 * l_linenumber * 9), 6) END""")
-derived_query("size_per_minute_mb", derived.size_per_minute(PRICE * 100, (N - 1) * 60), """
+derived_query("size_per_minute_mb", lambda q, price, n: derived.size_per_minute(
+    price * 100, (n - 1) * 60), """
     CASE WHEN l_linenumber > 1
          THEN round(l_extendedprice * 100 / 1000000 / (l_linenumber - 1), 2) END""")
-derived_query("runtime_mismatch_min", derived.runtime_drift((Q - 1) * 60, N), """
+derived_query("runtime_mismatch_min", lambda q, price, n: derived.runtime_drift(
+    (q - 1) * 60, n), """
     CASE WHEN l_quantity > 1 THEN round(l_quantity - 1 - l_linenumber, 2) END""")
-derived_query("runtime_vs_tmdb_min",
-              derived.runtime_delta(F.when(N > 2, (Q - 1) * 30), Q + 1, N - 1), """
+derived_query("runtime_vs_tmdb_min", lambda q, price, n: derived.runtime_delta(
+    F.when(n > 2, (q - 1) * 30), q + 1, n - 1), """
     CASE WHEN l_linenumber > 1 THEN round(CASE WHEN l_linenumber > 2 AND l_quantity > 1
          THEN (l_quantity - 1) / 2 ELSE l_quantity + 1 END - (l_linenumber - 1), 2) END""")
-derived_query("is_foreign", derived.is_foreign(F.when(N > 1, F.lower("l_returnflag"))),
+derived_query("is_foreign",
+              lambda q, price, n: derived.is_foreign(F.when(n > 1, F.lower("l_returnflag"))),
               "CASE WHEN l_linenumber > 1 THEN true END")
-derived_query("is_box_office_bomb", derived.is_bomb((N - 2) * 10000.0, PRICE),
+derived_query("is_box_office_bomb",
+              lambda q, price, n: derived.is_bomb((n - 2) * 10000.0, price),
               "CASE WHEN l_linenumber > 2 THEN l_extendedprice < (l_linenumber - 2) * 10000.0 END")
 
 
@@ -406,15 +412,16 @@ derived_query("is_box_office_bomb", derived.is_bomb((N - 2) * 10000.0, PRICE),
             ELSE 'None' END, 'None', 'None', 'None')) AS input_fp
     FROM lineitem""")
 def derived_all(spark, sf):
-    unknown, some = F.lit(None).cast("double"), N > 1
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    unknown, some = F.lit(None).cast("double"), n > 1
     items = t.table(spark, sf, "lineitem").select(
         F.struct(*LINE).alias("item_id"),
-        F.struct(F.when(some, Q / 10).alias("dar"), unknown.alias("width"),
+        F.struct(F.when(some, q / 10).alias("dar"), unknown.alias("width"),
                  unknown.alias("height")).alias("video"),
-        F.struct(unknown.alias("bitrate_kbps"), F.when(some, Q * 60).alias("duration_s"),
+        F.struct(unknown.alias("bitrate_kbps"), F.when(some, q * 60).alias("duration_s"),
                  unknown.alias("size_bytes")).alias("file"),
         F.struct(unknown.alias("duration_min")).alias("plex"),
-        F.struct(F.when(some, N).alias("runtime"), F.lit(None).cast("string")
+        F.struct(F.when(some, n).alias("runtime"), F.lit(None).cast("string")
                  .alias("original_language"), unknown.alias("budget"), unknown.alias("revenue"))
         .alias("tmdb"))
     items = items.withColumn("input_fp", Derived().fingerprint())

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import publish
-from factloom.session import shared_folder
 
 from . import tables as t
-from .base import query
+from .base import query, scratch
 
 # The sets of each rule (a part type), over parts.
 SETS = {
@@ -175,7 +174,7 @@ def publish_history(spark, sf):
     WHERE target AND rule_id = 'SMALL'""")
 def membership_table(spark, sf):
     """Published twice: all rules, then all but SMALL, with PROMO having become empty."""
-    path = f"{shared_folder(spark).rstrip('/')}/members-{spark.sql('select uuid()').first()[0]}"
+    path = scratch(spark, "members")
     members = publish.target_of(changes(spark, sf))
     ids = t.table(spark, sf, "part").select(F.col("p_type").alias("rule_id")).distinct()
     publish.write_membership(members, ids, path, 1)
