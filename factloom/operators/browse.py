@@ -71,13 +71,12 @@ def values(catalogue: DataFrame, spec: FactSpec, needle: str = "", limit: int =
     observed, with n = 0, behind the observed ones and up to the limit.
     """
     live = catalogue.filter(F.col("deleted_at").isNull())
-    if spec.type is FactType.LIST:
-        observed = live.select(F.explode(spec.key).alias("value"))
-    else:
-        observed = live.select(F.col(spec.key).cast("string").alias("value"))
-    observed = observed.filter(F.col("value").isNotNull() & _has(F.col("value"), needle))
-    counted = observed.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.desc("n"), "value").limit(limit)
+    raw = F.explode(spec.key) if spec.type is FactType.LIST else F.col(spec.key)
+    observed = live.select(raw.alias("_raw")).filter(F.col("_raw").isNotNull())
+    text = _as_text(spec)
+    counted = observed.filter(_has(text, needle)).groupBy("_raw").agg(
+        F.count(F.lit(1)).alias("n"))
+    top = counted.orderBy(F.desc("n"), "_raw").limit(limit).select(text.alias("value"), "n")
     if vocabulary is None:
         return top
     folded = F.lower("value").alias("_folded")
@@ -90,5 +89,16 @@ def values(catalogue: DataFrame, spec: FactSpec, needle: str = "", limit: int =
     return top.unionByName(extra).orderBy(F.desc("n"), "value").limit(limit)
 
 
+def _as_text(spec: FactSpec) -> Column:
+    """A value as it is shown and searched: whole numbers without a fraction, flags as 1 and 0."""
+    raw = F.col("_raw")
+    if spec.type is FactType.NUMBER:
+        whole = raw.try_cast("bigint")
+        return F.when(whole == raw, whole.cast("string")).otherwise(raw.cast("string"))
+    if spec.type is FactType.BOOL:
+        return raw.cast("int").cast("string")
+    return raw.cast("string")
+
+
 def _has(value: Column, needle: str) -> Column:
     return F.lower(value).contains(needle.lower()) if needle else F.lit(True)

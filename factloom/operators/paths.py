@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.joins import left_lookup
@@ -44,7 +45,9 @@ def translate(items: DataFrame, mappings: Sequence[tuple[str, str]] | DataFrame,
     if not mappings:
         return items.withColumn(out, filled(F.col(path)))
     if len(mappings) > INLINE_MAPPINGS:
-        frame = items.sparkSession.createDataFrame(list(mappings), "source string, local string")
+        # Through Arrow, so that Spark knows the size and may broadcast it.
+        frame = items.sparkSession.createDataFrame(pa.table({
+            "source": [m[0] for m in mappings], "local": [m[1] for m in mappings]}))
         return _translate_joined(items, frame, path, out, item_id)
     whole = filled(F.col(path))
     choice = F
@@ -189,4 +192,4 @@ def unmapped_prefixes(items: DataFrame, path: str = "source_path") -> DataFrame:
     apart = heads.join(
         families.filter("shared = 0").select("windows"), "windows", "left_semi"
     ).select(prefix(F.col("head")).alias("prefix"), "n", "sample")
-    return common.unionByName(apart)
+    return common.unionByName(apart).orderBy(F.desc("n"), "prefix")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-LABELS = {"movie": "Movies", "show": "Shows", "episode": "Episodes"}
-
 
 def coverage(items: DataFrame, provenance: DataFrame, providers) -> DataFrame:
     """known / errors / skipped / stale against what each provider applies to.
@@ -17,24 +15,18 @@ def coverage(items: DataFrame, provenance: DataFrame, providers) -> DataFrame:
     spark = items.sparkSession
     live = items.filter(F.col("deleted_at").isNull())
     per_type = live.groupBy("item_type").agg(F.count(F.lit(1)).alias("total"))
-    declared = spark.createDataFrame(
-        [(p.id, bool(p.file_fingerprinted)) for p in providers],
-        "provider string, _by_file boolean")
-    typed = spark.createDataFrame(
-        [(p.id, t) for p in providers for t in p.applies_to],
-        "provider string, item_type string")
-    targets = typed.join(per_type, "item_type")
-    untyped = [F.lit(p.id) for p in providers if not p.applies_to]
-    if untyped:
-        targets = targets.unionByName(
-            per_type.withColumn("provider", F.explode(F.array(*untyped))))
-
+    ids = [p.id for p in providers]
+    # The providers are a short list, so they are literals and not a table to join.
+    targets = per_type.select("item_type", "total", F.explode(F.array_compact(F.array(*[
+        F.when(F.col("item_type").isin(*p.applies_to) if p.applies_to else F.lit(True), p.id)
+        for p in providers
+    ]))).alias("provider"))
     ok = F.col("status") == "ok"
-    outdated = ok & F.col("_by_file") & F.coalesce(
-        F.col("input_fp") != F.col("file_fp"), F.lit(False))
+    by_file = F.col("provider").isin(*[p.id for p in providers if p.file_fingerprinted])
+    outdated = ok & by_file & F.coalesce(F.col("input_fp") != F.col("file_fp"), F.lit(False))
     seen = (
-        provenance.select("item_id", "provider", "status", "input_fp")
-        .join(declared, "provider")
+        provenance.filter(F.col("provider").isin(*ids))
+        .select("item_id", "provider", "status", "input_fp")
         .join(live.select("item_id", "item_type", "file_fp"), "item_id")
     )
     done = seen.groupBy("provider", "item_type").agg(
@@ -47,8 +39,9 @@ def coverage(items: DataFrame, provenance: DataFrame, providers) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     every = ["total", *sums]
     rows = (
-        declared.select("provider", F.lit(None).cast("string").alias("item_type"),
-                        *[zero.alias(c) for c in every])
+        spark.range(1).select(
+            F.explode(F.array(*[F.lit(i) for i in ids])).alias("provider"),
+            F.lit(None).cast("string").alias("item_type"), *[zero.alias(c) for c in every])
         .unionByName(targets.select(
             "provider", "item_type", "total", *[zero.alias(c) for c in sums]))
         .unionByName(done.select("provider", "item_type", zero.alias("total"), *sums))

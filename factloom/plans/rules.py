@@ -11,7 +11,9 @@ It becomes one boolean Column; Catalyst does the rest.
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -183,6 +185,19 @@ def keys_of(node: dict) -> set[str]:
     return own.union(*map(keys_of, below))
 
 
+def slug_of(name: str, taken=()) -> str:
+    """A label-safe short name that is not taken yet."""
+    base = re.sub("[^a-z0-9]+", "-", (name or "").lower()).strip("-")[:60] or "rule"
+    numbered = (f"{base}-{n}" for n in itertools.count(2))
+    return next(s for s in itertools.chain([base], numbered) if s not in taken)
+
+
+def labels_of(slug: str, prefix: str) -> dict[str, str]:
+    """Our label, and the two that belong to people: force in, force out."""
+    main = f"{prefix}:{slug}"
+    return {"main": main, "pinned": f"{main}:pin", "vetoed": f"{main}:veto"}
+
+
 def providers_of(rule: Rule, registry: Registry) -> set[str]:
     return {registry.require(k).provider for k in keys_of(rule.tree["root"])}
 
@@ -227,7 +242,11 @@ def condition(tree: dict, registry: Registry, found=None, now: float | None = No
 
 def conditions(items: DataFrame, rules: Iterable[Rule], registry: Registry,
                now: float | None = None, unknown: str = "parity") -> list[Column]:
-    """One Column per rule, scope included; all thresholds of all rules share their passes."""
+    """One Column per rule, scope included; all thresholds of all rules share their passes.
+
+    Every pass reads ``items``, so rules with thresholds want a stored wide table and not a
+    frame that is joined together anew each time.
+    """
     rules = list(rules)
     trees = [check(r.tree, registry) for r in rules]
     requests = [q for r, t in zip(rules, trees)

@@ -289,3 +289,11 @@ def test_rule_from_saved_row(registry):
         "order_dir": "asc", "limit_n": 3, "name": "x", "enabled": 1})
     assert rule.libraries == ("1",) and rule.types == ("show",) and not rule.descending
     assert rule.limit == 3 and rules.check(rule.tree, registry)["root"]["value"] is True
+
+
+def test_slugs_and_labels():
+    assert rules.slug_of("  Scope & Rich! ") == "scope-rich"
+    assert rules.slug_of("Scope", {"scope", "scope-2"}) == "scope-3"
+    assert rules.slug_of("é") == "rule" and len(rules.slug_of("x" * 90)) == 60
+    assert rules.labels_of("scope", "lib") == {
+        "main": "lib:scope", "pinned": "lib:scope:pin", "vetoed": "lib:scope:veto"}

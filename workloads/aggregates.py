@@ -187,10 +187,18 @@ def typeahead(spark, sf):
 
 
 @query("typeahead_number", """
-    SELECT CAST(CAST(p_size AS DOUBLE) AS VARCHAR) AS value, count(*) AS n FROM part
-    GROUP BY p_size ORDER BY n DESC, value LIMIT 50""")
+    SELECT CAST(p_size AS VARCHAR) AS value, count(*) AS n FROM part
+    WHERE contains(CAST(p_size AS VARCHAR), '1') GROUP BY p_size
+    ORDER BY n DESC, p_size LIMIT 10""")
 def typeahead_number(spark, sf):
-    return browse.values(t.parts(spark, sf), t.REGISTRY.require("part.size"))
+    return browse.values(t.parts(spark, sf), t.REGISTRY.require("part.size"), "1", 10)
+
+
+@query("typeahead_flag", f"""
+    SELECT CAST(toxic AS VARCHAR) AS value, count(*) AS n FROM {t.DOCS_SQL}
+    WHERE toxic IS NOT NULL GROUP BY toxic""")
+def typeahead_flag(spark, sf):
+    return browse.values(t.documents(spark, sf), t.REGISTRY.require("label.toxic"))
 
 
 @query("typeahead_list", f"""
