@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Columns that a snapshot brings and that an update overwrites.
 SNAPSHOT_COLUMNS = (
@@ -31,3 +31,24 @@ def in_scope(libraries=(), types=("movie",)) -> Column:
 
 def scope(items: DataFrame, libraries=(), types=("movie",)) -> DataFrame:
     return items.filter(in_scope(libraries, types))
+
+
+def write(items: DataFrame, path: str, sort_by: tuple[str, ...] = ("rating_key",)) -> None:
+    """Store the catalogue by library and type, so that a scoped scan reads only its folders.
+
+    Rebalancing packs small libraries into few files and splits a large one; sorting gives
+    the row groups narrow value ranges.
+    """
+    layout = ["library_key", "item_type"]
+    (
+        items.hint("rebalance", *layout).sortWithinPartitions(*layout, *sort_by)
+        .write.mode("overwrite").partitionBy(*layout).parquet(path)
+    )
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    # Keys that look like numbers stay texts.
+    schema = spark.read.parquet(path).schema
+    for name in ("library_key", "item_type"):
+        schema[name].dataType = T.StringType()
+    return spark.read.schema(schema).parquet(path)

@@ -7,10 +7,11 @@ never written. Only what is ours is ever removed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.scalars import yes
@@ -127,12 +128,15 @@ def collection_of(changes: DataFrame) -> DataFrame:
     return changes.filter("published").select(*PAIR)
 
 
-def write_membership(members: DataFrame, rules: DataFrame, path: str, added_at: int) -> None:
-    """Replace the membership of every rule in ``rules`` (rule_id) by ``members``."""
-    tombs = rules.select("rule_id").distinct().withColumn(
-        "item_key", F.lit(None).cast("string"))
-    rows = members.select("rule_id", F.col("item_key").cast("string")).join(
-        rules.select("rule_id"), "rule_id", "left_semi"
+def write_membership(members: DataFrame, rule_ids: Sequence, path: str, added_at: int) -> None:
+    """Replace the membership of every rule in ``rule_ids`` by its part of ``members``."""
+    ids = list(rule_ids)
+    kind = members.schema["rule_id"].dataType
+    tombs = members.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])).alias("rule_id"),
+        F.lit(None).cast("string").alias("item_key"))
+    rows = members.filter(F.col("rule_id").isin(*ids)).select(
+        "rule_id", F.col("item_key").cast("string")
     ).unionByName(tombs).withColumn("added_at", F.lit(int(added_at)).cast("bigint"))
     (
         # Rebalancing packs small rules into few files and splits a large one.
@@ -183,10 +187,9 @@ def append_history(judged: DataFrame, path: str, started_at: int, **options) ->
 
 
 def allowed(changes: DataFrame, judged: DataFrame) -> DataFrame:
-    """The changes of the rules no gate refused."""
+    """The changes of the rules no gate refused.
+
+    ``judged`` has one row per rule, so AQE makes the join a broadcast once it has seen it.
+    """
     return changes.join(
         judged.filter(F.col("gate").isNull()).select("rule_id"), "rule_id", "left_semi")
-
-
-def stale_fraction(stale: Column, in_scope: Column) -> Column:
-    return F.coalesce(F.try_divide(stale, in_scope), F.lit(0.0))

@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import thresholds
 from ..functions.predicates import (
@@ -353,7 +353,8 @@ def evaluate_all(items: DataFrame, rules: Iterable[Rule], registry: Registry, *,
     """(rule_id, item) for every enabled rule.
 
     Rules without a limit share one pass over the items: each row lists the rules it
-    meets. A rule with a limit is a top-N of its own.
+    meets. Rules with a limit share a pass per kind of sort key; one that is alone in its
+    kind, or has a large limit, is a top-N of its own.
     """
     rules = [r for r in rules if r.enabled]
     if not rules:
@@ -364,11 +365,68 @@ def evaluate_all(items: DataFrame, rules: Iterable[Rule], registry: Registry, *,
     if open_ended:
         met = F.array_compact(F.array(*[F.when(t, F.lit(r.rule_id)) for r, t in open_ended]))
         parts.append(items.select(F.explode(met).alias("rule_id"), F.col(key)))
+    kinds: dict[str, list] = {}
     for rule, test in zip(rules, tests):
         if rule.limit:
-            parts.append(
-                items.filter(test)
-                .orderBy(*order_columns(registry, rule.order_by, rule.descending))
-                .limit(int(rule.limit))
-                .select(F.lit(rule.rule_id).alias("rule_id"), F.col(key)))
+            shared = _sort_kind(rule, registry) if rule.limit <= SHARED_LIMIT else f"{rule.rule_id}"
+            kinds.setdefault(shared, []).append((rule, test))
+    for kind, members in kinds.items():
+        if len(members) > 1:
+            parts.append(_top_of_each(items, members, registry, kind, key))
+            continue
+        [(rule, test)] = members
+        parts.append(
+            items.filter(test)
+            .orderBy(*order_columns(registry, rule.order_by, rule.descending))
+            .limit(int(rule.limit))
+            .select(F.lit(rule.rule_id).alias("rule_id"), F.col(key)))
     return reduce(DataFrame.unionByName, parts)
+
+
+# Up to this limit Spark prunes a ranking inside each task, before the shuffle
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+SHARED_LIMIT = 1000
+
+
+def _sort_kind(rule: Rule, registry: Registry) -> str:
+    """Rules whose sort keys can stand in one column: numbers any way, texts by direction."""
+    if rule.order_by and rule.order_by != "title" and (
+            rule.order_by in COLUMN_SORTS or rule.order_by == RANDOM_SORT
+            or registry.require(rule.order_by).type not in (FactType.STRING, FactType.ENUM)):
+        return "number"
+    return "text desc" if rule.order_by and rule.descending else "text asc"
+
+
+def _top_of_each(items: DataFrame, members: list, registry: Registry, kind: str,
+                 key: str) -> DataFrame:
+    """The top-N of several rules in one pass; every task keeps at most N rows per rule."""
+    entries = []
+    for rule, test in members:
+        fact = registry.get(rule.order_by) if rule.order_by else None
+        if rule.order_by == RANDOM_SORT:
+            value = F.rand()
+        elif fact is not None:
+            value = comparable(fact)
+        else:
+            value = COLUMN_SORTS[rule.order_by or "title"]()
+        falling = bool(rule.order_by) and rule.descending
+        # Unknown facts come last; unknown columns come first, or last when falling.
+        unknown_rank = 1 if fact is not None or falling else -1
+        if kind == "number":
+            value = value.cast("double") * (-1 if falling else 1)
+        entries.append(F.when(test, F.struct(
+            F.lit(rule.rule_id).alias("rule_id"), F.lit(int(rule.limit)).alias("_limit"),
+            F.when(value.isNull(), unknown_rank).otherwise(0).alias("_unknown"),
+            value.alias("_value"))))
+    rows = items.select(
+        F.inline(F.array_compact(F.array(*entries))), F.col("item_id").alias("_tie"),
+        F.col(key).alias("_key"))
+    value = F.col("_value").desc() if kind == "text desc" else F.col("_value").asc()
+    rank = F.row_number().over(
+        Window.partitionBy("rule_id").orderBy("_unknown", value, "_tie"))
+    most = max(int(rule.limit) for rule, _ in members)
+    return (
+        rows.withColumn("_rank", rank)
+        .filter((F.col("_rank") <= most) & (F.col("_rank") <= F.col("_limit")))
+        .select("rule_id", F.col("_key").alias(key))
+    )

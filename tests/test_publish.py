@@ -58,7 +58,8 @@ class World:
                     self.labels["main"].add(r.item_key)
                 if r.remove:
                     self.labels["main"].discard(r.item_key)
-            publish.write_membership(publish.target_of(changes), ids, self.members, at)
+            publish.write_membership(
+                publish.target_of(changes), [rule.rule_id], self.members, at)
         return verdict, changes
 
     def recorded(self, rule_id=1):
@@ -143,20 +144,20 @@ def test_membership_table(spark, tmp_path):
     pairs = lambda *p: spark.createDataFrame(list(p), PAIR)
     ids = lambda *i: spark.createDataFrame([(x,) for x in i], "rule_id bigint")
     assert publish.read_membership(spark, path).count() == 0
-    publish.write_membership(pairs((1, "a"), (1, "b"), (2, "a"), (3, "z")), ids(1, 2), path, 5)
+    publish.write_membership(pairs((1, "a"), (1, "b"), (2, "a"), (3, "z")), [1, 2], path, 5)
 
     def stored():
         return {(r.rule_id, r.item_key, r.added_at)
                 for r in publish.read_membership(spark, path).collect()}
 
     assert stored() == {(1, "a", 5), (1, "b", 5), (2, "a", 5)}
-    publish.write_membership(pairs(), ids(2), path, 6)
+    publish.write_membership(pairs(), [2], path, 6)
     assert stored() == {(1, "a", 5), (1, "b", 5)}
     now = publish.read_membership(spark, path)
     publish.add_membership(now, pairs((1, "b"), (1, "c"), (2, "q")), path, 7)
     assert stored() == {(1, "a", 5), (1, "b", 5), (1, "c", 7), (2, "q", 7)}
     left = publish.drop_membership(publish.read_membership(spark, path), pairs((1, "a")))
-    publish.write_membership(left.filter("rule_id = 1"), ids(1), path, 8)
+    publish.write_membership(left.filter("rule_id = 1"), [1], path, 8)
     assert stored() == {(1, "b", 8), (1, "c", 8), (2, "q", 7)}
     counted = report.published_counts(ids(1, 2, 3), publish.read_membership(spark, path))
     assert {(r.rule_id, r.published) for r in counted.collect()} == {(1, 2), (2, 1), (3, 0)}

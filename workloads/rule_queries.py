@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from factloom import Rule
 from factloom.functions import thresholds
-from factloom.operators import browse, report
+from factloom.operators import browse, catalogue, report
 from factloom.plans import rules
 
 from . import tables as t
-from .base import query
+from .base import query, scratch
 
 ALL = {"type": "and", "children": []}
 
@@ -87,12 +87,26 @@ def match_count(spark, sf):
     SELECT o_orderkey AS item_id FROM orders WHERE o_orderstatus IN ('P', 'F')
       AND o_orderpriority IN ('1-URGENT', '2-HIGH')""")
 def scope_orders(spark, sf):
-    from factloom.operators.catalogue import scope
     frame = t.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("item_id"), F.col("o_orderstatus").alias("library_key"),
         F.col("o_orderpriority").alias("item_type"),
         F.lit(None).cast("bigint").alias("deleted_at"))
-    return scope(frame, ["P", "F"], ["1-URGENT", "2-HIGH"]).select("item_id")
+    return catalogue.scope(frame, ["P", "F"], ["1-URGENT", "2-HIGH"]).select("item_id")
+
+
+@query("scope_partitioned", """
+    SELECT o_orderkey AS item_id, o_orderstatus AS library_key FROM orders
+    WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority = '3-MEDIUM'""")
+def scope_partitioned(spark, sf):
+    """Written by library and type; the scoped scan prunes to the folders it needs."""
+    path = scratch(spark, "catalogue")
+    catalogue.write(t.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("item_id"), F.col("o_orderkey").alias("rating_key"),
+        F.col("o_orderstatus").alias("library_key"),
+        F.col("o_orderpriority").alias("item_type"),
+        F.lit(None).cast("bigint").alias("deleted_at")), path)
+    return catalogue.scope(catalogue.read(spark, path), ["O", "F"], ["3-MEDIUM"]).select(
+        "item_id", "library_key")
 
 
 # ── composition ───────────────────────────────────────────────────────────────
@@ -333,6 +347,36 @@ def many_rules(spark, sf):
     return rules.evaluate_all(t.parts(spark, sf), MANY, t.REGISTRY)
 
 
+TOPS = [
+    Rule(n, {"root": root}, types=("part",), order_by=order, descending=falling, limit=limit)
+    for n, (root, order, falling, limit) in enumerate([
+        (cmp("part.size", "gte", 10), "part.price", True, 40),
+        (cmp("part.type", "eq", "PROMO"), "size", False, 25),
+        (agg("part.price", "lt", "percentile", 30), "part.size", True, 30),
+        (cmp("part.name", "contains", "r"), "title", True, 20),
+        (cmp("part.size", "lt", 30), "part.brand", True, 15),
+        (ALL, None, True, 35),
+        (cmp("part.size", "in", [1, 2, 3]), "part.type", False, 10),
+    ])
+]
+_TOP_SQL = [
+    ("p_size >= 10", "p_retailprice DESC", 40), ("p_type = 'PROMO'", "p_size", 25),
+    (f"p_retailprice < {nearest('part', 'p_retailprice', 0.3)}", "p_size DESC", 30),
+    ("contains(p_name, 'r')", "lower(p_name) DESC", 20),
+    ("p_size < 30", "lower(p_brand) DESC", 15), ("true", "lower(p_name)", 35),
+    ("p_size IN (1, 2, 3)", "lower(p_type)", 10),
+]
+
+
+@query("many_top_n", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT {n} AS rule_id, p_partkey AS item_id FROM part WHERE {where} "
+    f"ORDER BY {order}, p_partkey LIMIT {limit})"
+    for n, (where, order, limit) in enumerate(_TOP_SQL)))
+def many_top_n(spark, sf):
+    """Seven top-N rules in three passes: by number, by text, by text falling."""
+    return rules.evaluate_all(t.parts(spark, sf), TOPS, t.REGISTRY)
+
+
 # ── browsing ──────────────────────────────────────────────────────────────────
 
 
