@@ -4,8 +4,10 @@ Median and percentile are nearest-rank: the value at 0-based position
 ``floor((n - 1) * q + 0.5)`` of the sorted known values. They are found exactly without
 sorting the data and without bringing it into one task: each pass narrows an interval
 that holds the wanted rank, with a quantile sketch as the guess and exact counts as the
-proof. A pass is one aggregation whose shuffle carries a few kilobytes per task, and it
-serves every pending request of every rule at once.
+proof. A pass is one aggregation that serves every pending request of every rule at once.
+Its result meets in one task, so what a task sends is kept small: a coarse sketch of a few
+kilobytes in the first pass, then sketches over a sample of bounded size. How good a guess
+is decides the number of passes (about six for 10^12 values), never the result.
 
 Thresholds come back as plain numbers, so a rule's filter is a comparison with a literal:
 it reaches the Parquet scan and needs no join.
@@ -24,11 +26,22 @@ from .predicates import comparable
 from .spec import FactSpec
 
 # With at most this many distinct candidates left, one exact histogram finishes the search.
-EXACT_DISTINCT = 20_000
-# Quantiles asked of the sketch per pass, and the steps kept on both sides of the guess.
-GRID = 500
-PAD = 2
-SKETCH_ACCURACY = 10_000
+EXACT_DISTINCT = 100_000
+# Rows that the later sketches are made of, over all tasks.
+SAMPLE = 1_000_000
+
+
+@dataclass(frozen=True)
+class Sketch:
+    """How closely a pass looks: quantiles asked for, steps kept around the guess, accuracy."""
+
+    grid: int
+    pad: int
+    accuracy: int
+
+
+COARSE = Sketch(grid=100, pad=2, accuracy=100)
+FINE = Sketch(grid=500, pad=2, accuracy=2_000)
 
 
 @dataclass(frozen=True)
@@ -83,7 +96,7 @@ def compute(items: DataFrame, requests: Iterable[Request],
         todo = {**(simple if first else {}), **{r: s.probe() for r, s in searches.items()}}
         frame = values if first else values.filter(
             reduce(Column.__or__, [s.window() for s in searches.values()]))
-        row = frame.agg(*[c.alias(f"a{i}") for i, c in enumerate(todo.values())]).first()
+        row = _with_chance(frame).agg(*[c.alias(f"a{i}") for i, c in enumerate(todo.values())]).first()
         for i, r in enumerate(todo):
             if r in searches:
                 if searches[r].advance(row[i]):
@@ -98,9 +111,15 @@ def nearest_rank(df: DataFrame, column: str, quantile: float) -> float | None:
     """The nearest-rank quantile of one numeric column."""
     values = df.select(F.col(column).cast("double").alias("v0"))
     search = _RankSearch("v0", quantile)
-    while not search.advance(values.filter(search.window()).agg(search.probe()).first()[0]):
-        pass
-    return search.answer
+    while True:
+        frame = _with_chance(values.filter(search.window()))
+        if search.advance(frame.agg(search.probe()).first()[0]):
+            return search.answer
+
+
+def _with_chance(values: DataFrame) -> DataFrame:
+    """Adds ``u``, after the filter: below a random column it would not reach the scan."""
+    return values.withColumn("u", F.rand(1))
 
 
 def _within(scopes, key, value):
@@ -109,7 +128,7 @@ def _within(scopes, key, value):
 
 
 class _RankSearch:
-    """Finds the value of a given rank in column ``v``.
+    """Finds the value of a given rank in column ``v``; ``u`` is uniform on [0, 1).
 
     ``low`` < answer < ``high`` always holds (None is unbounded) once ``rank`` is known,
     and ``rank`` counts from the first value above ``low``. ``guess`` is the closed
@@ -122,6 +141,7 @@ class _RankSearch:
         self.rank: int | None = None
         self.low = self.high = None
         self.guess = (None, None)
+        self.sketch, self.share = COARSE, 1.0
         self.rows = None          # set for the last, exact step
         self.answer = None
 
@@ -135,8 +155,9 @@ class _RankSearch:
             return F.expr(f"percentile_disc({_sql(at)}) WITHIN GROUP (ORDER BY {picked})")
         a, b = self.guess
         inner = self._between(a, b)
-        grid = ", ".join(_sql(i / GRID) for i in range(GRID + 1))
+        grid = ", ".join(_sql(i / self.sketch.grid) for i in range(self.sketch.grid + 1))
         picked = f"CASE WHEN {inner} THEN {self.v} END"
+        sampled = f"CASE WHEN {inner} AND u < {_sql(self.share)} THEN {self.v} END"
         return F.expr(
             f"struct("
             f" count_if({self._between(self.low, a)}) AS below,"
@@ -144,7 +165,7 @@ class _RankSearch:
             f" count_if({inner}) AS inside,"
             f" count_if({self._equals(b)}) AS at_b,"
             f" approx_count_distinct({picked}) AS kinds,"
-            f" approx_percentile({picked}, array({grid}), {SKETCH_ACCURACY}) AS grid)"
+            f" approx_percentile({sampled}, array({grid}), {self.sketch.accuracy}) AS grid)"
         )
 
     def advance(self, seen) -> bool:
@@ -172,9 +193,7 @@ class _RankSearch:
             if min(seen.kinds, seen.inside) <= EXACT_DISTINCT:
                 self.rows = seen.inside
             else:
-                step = self.rank * GRID // seen.inside
-                self.guess = (seen.grid[max(step - PAD, 0)],
-                              seen.grid[min(step + PAD + 1, GRID)])
+                self._guess_from(seen.grid, seen.inside)
         elif position < at_a + seen.inside + at_b:
             self.answer = b
             return True
@@ -186,6 +205,16 @@ class _RankSearch:
         self.low, self.high, self.rank = low, high, rank
         self.guess = (low, high)
 
+    def _guess_from(self, grid, inside):
+        """Aim the next pass at the part of the grid around the rank, and sample that part."""
+        steps, pad = self.sketch.grid, self.sketch.pad
+        step = self.rank * steps // inside
+        first, last = max(step - pad, 0), min(step + pad + 1, steps)
+        if grid:
+            self.guess = (grid[first], grid[last])
+        expected = inside * (last - first) / steps
+        self.sketch, self.share = FINE, min(1.0, SAMPLE / max(expected, 1.0))
+
     def _between(self, low, high) -> str:
         tests = [f"{self.v} IS NOT NULL"]
         if low is not None:

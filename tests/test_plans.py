@@ -63,7 +63,19 @@ def test_ranking_is_cut_before_the_shuffle(spark):
 def test_thresholds_run_in_parallel(spark):
     """No pass of a rank search sorts or windows the data."""
     from factloom.functions.thresholds import _RankSearch
-    frame = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS v0")
+    frame = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS v0", "0.5 AS u")
     search = _RankSearch("v0", 0.5)
     plan = frame.agg(search.probe())._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and not re.search(r"^\W*Sort ", plan, re.M)
+
+
+def test_later_passes_filter_at_the_scan(spark):
+    from factloom.functions.thresholds import _RankSearch, _with_chance
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    values = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_extendedprice AS v0")
+    search = _RankSearch("v0", 0.5)
+    search.low, search.high = 5000.0, 6000.0
+    plan = _with_chance(values.filter(search.window())).agg(
+        search.probe())._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(l_extendedprice,5000.0)" in plan
+    assert "ReadSchema: struct<l_extendedprice:double>" in plan

@@ -27,10 +27,13 @@ def shapes():
 
 
 @pytest.mark.parametrize("shape", shapes())
-@pytest.mark.parametrize("small", [20_000, 3])
+@pytest.mark.parametrize("small", [20_000, 3, 4])
 def test_rank_search(spark, monkeypatch, shape, small):
     monkeypatch.setattr(thresholds, "EXACT_DISTINCT", small)
-    monkeypatch.setattr(thresholds, "GRID", 20)
+    monkeypatch.setattr(thresholds, "COARSE", thresholds.Sketch(10, 1, 50))
+    monkeypatch.setattr(thresholds, "FINE", thresholds.Sketch(20, 1, 50))
+    if small == 4:
+        monkeypatch.setattr(thresholds, "SAMPLE", 40)
     values = shapes()[shape]
     frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
     for q in (0.0, 0.333, 0.5, 0.9, 1.0):
@@ -40,9 +43,9 @@ def test_rank_search(spark, monkeypatch, shape, small):
 def test_a_wrong_guess_is_noticed(spark, monkeypatch):
     """With a useless sketch the counts still lead to the right value."""
     monkeypatch.setattr(thresholds, "EXACT_DISTINCT", 2)
-    monkeypatch.setattr(thresholds, "SKETCH_ACCURACY", 1)
-    monkeypatch.setattr(thresholds, "GRID", 4)
-    monkeypatch.setattr(thresholds, "PAD", 0)
+    for name in ("COARSE", "FINE"):
+        monkeypatch.setattr(thresholds, name, thresholds.Sketch(4, 0, 1))
+    monkeypatch.setattr(thresholds, "SAMPLE", 1)
     values = [float(i * i % 101) for i in range(200)]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     assert thresholds.nearest_rank(frame, "v", 0.7) == sorted_rank(values, 0.7)
