@@ -48,24 +48,29 @@ class Provider:
 
     def results(self, frame: DataFrame, made: dict[str, Column], status: Column | None = None,
                 reason: Column | None = None) -> DataFrame:
-        """Fold fact columns into namespace structs; they are NULL unless status is ``ok``."""
+        """Fold fact columns into namespace structs; only status ``ok`` carries facts.
+
+        The condition is on every field and not on the struct, so that Spark can drop the
+        fields a reader does not ask for, with all they are made of.
+        """
         unknown = set(made) - {s.key for s in self.facts}
         if unknown:
             raise ValueError(f"{self.id} does not declare {sorted(unknown)}")
+        done = None
+        if status is not None:
+            frame = frame.withColumn("_status", status)
+            done = F.col("_status") == "ok"
         spaces: dict[str, list[Column]] = {}
         for spec in self.facts:
+            value = made.get(spec.key, F.lit(None))
+            if done is not None:
+                value = F.when(done, value)
             spaces.setdefault(spec.namespace, []).append(
-                made.get(spec.key, F.lit(None)).cast(STORAGE[spec.type])
-                .alias(spec.key.partition(".")[2]))
+                value.cast(STORAGE[spec.type]).alias(spec.key.partition(".")[2]))
         nothing = F.lit(None).cast("string")
-        folded = {name: F.struct(*fields) for name, fields in spaces.items()}
-        if status is not None:
-            frame = frame.withColumn("_status", status)
-            done = F.col("_status") == "ok"
-            folded = {name: F.when(done, fields) for name, fields in folded.items()}
         return frame.select(
-            "item_id", (F.lit("ok") if status is None else F.col("_status")).alias("status"),
+            "item_id", (F.lit("ok") if done is None else F.col("_status")).alias("status"),
             (nothing if reason is None else F.when(~done, reason)).alias("reason"),
             (F.col("input_fp") if "input_fp" in frame.columns else nothing).alias("input_fp"),
-            *[fields.alias(name) for name, fields in folded.items()],
+            *[F.struct(*fields).alias(name) for name, fields in spaces.items()],
         )

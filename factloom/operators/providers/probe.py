@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ...functions.joins import left_lookup
-from ...functions.scalars import emitted, filled, non_null, or_empty, sorted_set, truthy, yes
+from ...functions.scalars import emitted, filled, sorted_set, truthy, yes
 from ...functions.spec import enum, flag, measure, number, text, words
 from ...sources.payloads import PROBE_SCHEMA, parse
 from .base import Provider

@@ -79,3 +79,10 @@ def test_later_passes_filter_at_the_scan(spark):
         search.probe())._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_extendedprice,5000.0)" in plan
     assert "ReadSchema: struct<l_extendedprice:double>" in plan
+
+
+def test_facts_nobody_asks_for_are_not_computed(spark):
+    """Progress facts need no sets of the children."""
+    frame = contract.queries()["progress"](spark, SF)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan

@@ -382,9 +382,8 @@ derived_query("bitrate_per_pixel", lambda q, price, n: derived.bitrate_per_pixel
     CASE WHEN l_quantity <> 1
          THEN round((l_quantity - 1) * 1000 / (l_quantity * 16 * l_linenumber * 9), 6) END""")
 derived_query("size_per_minute_mb", lambda q, price, n: derived.size_per_minute(
-    price * 100, (n - 1) * 60), """
-    CASE WHEN l_linenumber > 1
-         THEN round(l_extendedprice * 100 / 1000000 / (l_linenumber - 1), 2) END""")
+    q * 1_000_000, (n - 1) * 60), """
+    CASE WHEN l_linenumber > 1 THEN round(l_quantity / (l_linenumber - 1), 2) END""")
 derived_query("runtime_mismatch_min", lambda q, price, n: derived.runtime_drift(
     (q - 1) * 60, n), """
     CASE WHEN l_quantity > 1 THEN round(l_quantity - 1 - l_linenumber, 2) END""")
