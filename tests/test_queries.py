@@ -16,7 +16,7 @@ def db():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", contract.workloads.QUERIES)
 def test_query(spark, db, name):
     frame = contract.queries()[name](spark, SF)
     assert oracle.difference(frame, db, contract.oracle_sql()[name]) is None
