@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, host_reputation, license_index, line_dedup, toxicity
+from . import cube_mix, host_reputation, license_index, line_dedup, token_store, toxicity, warc
 from .host_reputation import UrlRule
-from .shared import table
+from .shared import scratch, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,13 +24,27 @@ RULES = (
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
-        return fn
+        return run
     return register
 
 
+@query("op1_warc_normalise")
+def op1_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mono, single = scratch(spark, "warc-mono-files"), scratch(spark, "warc-record-files")
+    archives = warc.write_monolithic(warc.planned(table(spark, sf_dir, "pages")), mono)
+    found = warc.records(warc.normalise(archives, single), single)
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"), "verified")
+
+
 @query("op3_cube_mix")
 def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = cube_mix.mix(table(spark, sf_dir, "documents"))
@@ -78,6 +93,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
+@query("op7_token_store")
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    folder = token_store.store_folder(spark)
+    manifest = token_store.write(
+        table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.with_crc(token_store.read(manifest, folder)).withColumnRenamed("n_ids", "n_tokens")
+
+
 @query("op8_host_reputation", r"""
 WITH parsed AS (
     SELECT page_id,
