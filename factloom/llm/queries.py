@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, host_reputation, license_index, line_dedup, token_store, toxicity, warc
+from . import cube_mix, host_reputation, license_index, line_dedup, token_store, toxicity, vafile, warc
 from .host_reputation import UrlRule
 from .shared import scratch, ship, table
 
@@ -45,6 +45,26 @@ def op1_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"), "verified")
 
 
+@query("op2_vafile", """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
+       vec_id, score
+FROM scored QUALIFY rank <= 10
+""")
+def op2_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query("op3_cube_mix")
 def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = cube_mix.mix(table(spark, sf_dir, "documents"))
