@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, host_reputation, license_index, line_dedup, token_store, toxicity, vafile, warc
+from . import cube_mix, host_reputation, license_index, line_dedup, tensor_minhash, token_store, toxicity, vafile, warc
 from .host_reputation import UrlRule
 from .shared import scratch, ship, table
 
@@ -113,6 +113,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
+@query("op6_tensor_minhash")
+def op6_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op7_token_store")
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
