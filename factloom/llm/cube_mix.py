@@ -204,11 +204,10 @@ def balanced(units: DataFrame, counts: DataFrame, bucket_rows: int = 4000) -> Da
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
         most: float = 2.0, bucket_rows: int = 4000, doc_id: str = "doc_id", text: str = "text",
         source: str = "source") -> DataFrame:
-    """``id, rev, size, source_size, target, copies``: how often the mix takes each document.
+    """``id, rev, source, nth, size, source_size, target, copies``: how often the mix takes each document.
 
     NULL sources are one source, the last; NULL texts have no words and are never taken.
-    Repeated rows of one id and text are units of their own, told apart by their number
-    within the id, and get the same or different copies as any two documents would: they
+    Repeated rows of one id and text are units of their own, told apart by ``nth``, and get the same or different copies as any two documents would: they
     come out as separate rows. Empty tables give no rows. ``rev`` is a hash of the text.
     """
     spark = docs.sparkSession
@@ -226,12 +225,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     whole = F.floor(F.col("ratio") + EDGE)
     planned = repeated.join(goals.withColumnRenamed("source", "_s"),
                             F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        "key", "id", "rev", "source", "size", "source_size", "target", whole.alias("whole"),
+        "key", "id", "rev", "source", "nth", "size", "source_size", "target", whole.alias("whole"),
         F.greatest(F.col("ratio") - whole, F.lit(0.0)).alias("chance"))
     units = planned.filter((F.col("chance") > EDGE) & (F.col("size") > 0)).select(
         "key", "source", "size", "chance")
     chosen = balanced(units, goals, bucket_rows)
     return planned.join(chosen, "key", "left").select(
-        "id", "rev", "source", "size", "source_size", "target",
+        "id", "rev", "source", "nth", "size", "source_size", "target",
         F.when(F.col("size") > 0, F.col("whole") + F.coalesce("taken_once", F.lit(0))).otherwise(
             F.lit(0)).cast("long").alias("copies"))

@@ -8,7 +8,20 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cube_mix, host_reputation, license_index, line_dedup, tensor_minhash, token_store, toxicity, vafile, warc
+import corpus_pipeline
+
+from . import (
+    cube_mix,
+    host_reputation,
+    license_index,
+    line_dedup,
+    simhash_decontam,
+    tensor_minhash,
+    token_store,
+    toxicity,
+    vafile,
+    warc,
+)
 from .host_reputation import UrlRule
 from .shared import scratch, ship, table
 
@@ -184,6 +197,14 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op9_simhash_decontam")
+def op9_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_decontam.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start",
+                        "common", "total", (F.col("common") / F.col("total")).alias("similarity"))
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), toxicity.crc_held_out()
@@ -191,3 +212,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,32 +205,38 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Callable, max_rows: int =
     return Model(float(bias), {f: float(w) for f, w in zip(named, weights) if w})
 
 
-def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` and ``score`` (0 to 1) of every row; NULL and empty texts get the bias alone.
+def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text: str = "text",
+          name: str = "score") -> DataFrame:
+    """``keep`` and the score (0 to 1) of every row; NULL and empty texts get the bias alone.
 
-    Whole texts are read. Each word's weight is looked up once per worker and kept in a
-    table of bounded size.
+    Whole texts are read. Each word's weight is looked up once per task and kept in a table of
+    bounded size. Columns not named are not read; ``name`` is the score's.
     """
-    source = docs.select(*keep, F.col(text).alias("_text"))
-    schema = source.drop("_text").withColumn("score", F.lit(0.0)).schema
+    own_text = [] if text in keep else [text]
+    source = docs.select(*keep, *own_text)
+    schema = source.drop(*own_text).withColumn(name, F.lit(0.0)).schema
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for frame in frames:
-            margins = []
-            for content in frame.pop("_text"):
-                parts = []
-                for word in words_of(content) if model.weights else ():
-                    weight = known.get(word)
-                    if weight is None:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        weight = known[word] = model.word(word)
-                    if weight:
-                        parts.append(weight)
-                margins.append(model.bias + math.fsum(parts))
-            yield frame.assign(score=1 / (1 + np.exp(-np.clip(margins, -30, 30))))
-    return source.mapInPandas(scored, schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                margins = []
+                for content in part.column(text).to_pylist():
+                    parts = []
+                    for word in words_of(content) if model.weights else ():
+                        weight = known.get(word)
+                        if weight is None:
+                            if len(known) >= CACHE_WORDS:
+                                known.clear()
+                            weight = known[word] = model.word(word)
+                        if weight:
+                            parts.append(weight)
+                    margins.append(model.bias + math.fsum(parts))
+                scores = 1 / (1 + np.exp(-np.clip(np.array(margins, dtype=float), -30, 30)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in keep), pa.array(scores)], names=[*keep, name])
+    return source.mapInArrow(scored, schema)
 
 
 def crc_held_out(folds: int = 5) -> Callable:
