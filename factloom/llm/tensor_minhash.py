@@ -153,8 +153,11 @@ def duplicates(docs: DataFrame, percent: int = 75, width: int = 5, halves: int =
     reps = full.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 
     keys = table_keys(reps)
-    buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last")
-    members = written(keys.join(buckets.select("key", "hub"), "key"), scratch(spark, "minhash-buckets"))
+    # written: a join with a table has two plain exchanges, so a hot bucket can be split
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter(
+        "hub <> last").select("key", "hub")
+    hubs = written(hubs, scratch(spark, "minhash-hubs"))
+    members = written(keys.join(hubs, "key"), scratch(spark, "minhash-buckets"))
 
     star = members.filter("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     star = written(star, scratch(spark, "minhash-star"))
@@ -168,11 +171,12 @@ def duplicates(docs: DataFrame, percent: int = 75, width: int = 5, halves: int =
     # pairs of a bucket that are still apart
     of = found.select(F.col("node").alias("id"), "component")
     placed = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
-        "low <> high")
-    mixed = written(placed.join(apart.select("key"), "key", "left_semi"), scratch(spark, "minhash-apart"))
-    main = mixed.filter("id = hub").select("key", F.col("component").alias("main")).distinct()
-    few = mixed.join(main, "key").filter("component <> main").select(
+    apart = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.min(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("main")).filter("low <> high")
+    apart = written(apart.select("key", "main"), scratch(spark, "minhash-apart"))
+    mixed = written(placed.join(apart, "key"), scratch(spark, "minhash-mixed"))
+    few = mixed.filter("component <> main").select(
         "key", F.col("id").alias("f_id"), F.col("n").alias("f_n"), F.col("component").alias("f_component"), "main")
     across = few.join(mixed.select("key", "id", "n", "component"), "key").filter(
         (F.col("component") != F.col("f_component"))
