@@ -66,7 +66,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[Colu
     return text, verdict
 
 
-def _strength(level: DataFrame, least: float, most: float) -> Column:
+def _strength(least: float, most: float) -> Column:
     """Prior strength by moments: how much less the rates spread than single pages would.
 
     With ``m`` the pooled rate and ``v`` the variance of the rates weighted by pages, the
@@ -98,8 +98,8 @@ def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0) ->
         F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
 
-    def moments(level: DataFrame, name: str) -> DataFrame:
-        """One row: pooled rate, and strength of the prior that the level's members get."""
+    def moments(level: DataFrame) -> Column:
+        """Pooled rate, and strength of the prior that the level's members get (a scalar)."""
         rate = F.when(F.col("n") > 0, F.col("bad") / F.col("n"))
         sums = level.agg(F.sum("bad").alias("_b"), F.sum("n").alias("_n"),
                          F.sum(rate * rate * F.col("n")).alias("_q"))
@@ -107,22 +107,19 @@ def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0) ->
         sums = sums.select(pooled.alias("_m"), F.when(
             F.col("_n") > 0, F.col("_q") / F.col("_n") - pooled * pooled
         ).otherwise(F.lit(0.0)).alias("_v"))
-        return sums.select(F.col("_m").alias(f"{name}_rate"),
-                           _strength(sums, least, most).alias(f"{name}_strength"))
-
-    def shrunk(prior: str, strength: str) -> Column:
-        return (F.col("bad") + F.col(prior) * F.col(strength)) / (F.col("n") + F.col(strength))
-
-    # each of the three is one row, so these joins multiply nothing
-    of_suffix = suffixes.join(F.broadcast(moments(suffixes, "s"))).select(
-        "suffix", shrunk("s_rate", "s_strength").alias("suffix_mean"))
-    of_domain = domains.join(of_suffix, "suffix").join(
-        F.broadcast(moments(domains, "d"))).select(
-        "domain", "suffix", shrunk("suffix_mean", "d_strength").alias("domain_mean"))
-    joined = hosts.join(of_domain, ["domain", "suffix"]).join(F.broadcast(moments(hosts, "h")))
-    alpha = F.col("bad") + F.col("domain_mean") * F.col("h_strength")
-    total = F.col("n") + F.col("h_strength")
-    mean = alpha / total
+        return sums.select(F.struct(F.col("_m").alias("rate"),
+                                    _strength(least, most).alias("strength"))).scalar()
+
+    def shrunk(prior: Column, strength: Column) -> Column:
+        return (F.col("bad") + prior * strength) / (F.col("n") + strength)
+
+    of_suffix = suffixes.withColumn("prior", moments(suffixes)).select(
+        "suffix", shrunk(F.col("prior.rate"), F.col("prior.strength")).alias("suffix_mean"))
+    of_domain = domains.withColumn("prior", moments(domains)).join(of_suffix, "suffix").select(
+        "domain", "suffix", shrunk(F.col("suffix_mean"), F.col("prior.strength")).alias("domain_mean"))
+    joined = hosts.withColumn("prior", moments(hosts)).join(of_domain, ["domain", "suffix"])
+    mean = shrunk(F.col("domain_mean"), F.col("prior.strength"))
+    total = F.col("n") + F.col("prior.strength")
     return joined.select(
         "host", "bad", (F.col("n") - F.col("bad")).alias("good"), mean.alias("mean"),
         F.sqrt(mean * (1 - mean) / (total + 1)).alias("deviation"))
