@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, UPPER, scratch, written
+from .shared import UPPER, scratch, written
+
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def lines_of(text: Column) -> Column:
@@ -23,8 +25,10 @@ def lines_of(text: Column) -> Column:
 
 def key_of(line: Column) -> Column:
     """The line without white space at both ends, A-Z lower-cased."""
-    stripped = F.regexp_replace(line, rf"^{SPACES}+|{SPACES}+$", "")
-    return F.translate(stripped, UPPER, UPPER.lower())
+    stripped = F.btrim(line, F.lit(SPACES))
+    # the same for ASCII, and much faster there
+    ascii_only = F.octet_length(stripped) == F.length(stripped)
+    return F.when(ascii_only, F.lower(stripped)).otherwise(F.translate(stripped, UPPER, UPPER.lower()))
 
 
 def _hashed(docs: DataFrame, least: int) -> DataFrame:
@@ -32,9 +36,9 @@ def _hashed(docs: DataFrame, least: int) -> DataFrame:
     lines = docs.select("id", "rev", F.posexplode("lines").alias("pos", "line"))
     keyed = lines.select("id", "rev", "pos", key_of(F.col("line")).alias("key")).filter(
         F.length("key") >= least)
-    # two independent 64-bit hashes: no two keys of any real corpus share both
+    # two 64-bit hashes of different seeds: no two keys of any real corpus share both
     return keyed.select("id", "rev", "pos", F.xxhash64("key").alias("h1"),
-                        F.xxhash64(F.lit(1), F.reverse("key")).alias("h2"))
+                        F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def with_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,6 +71,8 @@ def bitmaps(docs: DataFrame, least_length: int = 20, least_docs: int = 3,
     repeated = by_doc.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(
         F.col("n") >= least_docs).select("h1", "h2", "keeper")
+    # written: a join with a table has two plain exchanges, so a hot line can be split
+    repeated = written(repeated, scratch(spark, "line-repeated"))
     goes = sorted_places.join(repeated, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keeper")))
     words = goes.groupBy("id", "rev", F.expr("pos div 64").cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))

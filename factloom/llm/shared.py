@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SPACES = r"[\x20\x09-\x0D]"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
