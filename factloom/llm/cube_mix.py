@@ -146,6 +146,22 @@ def landing(chance: list[float], size: list[float]) -> list[float]:
     return done
 
 
+def repaired(chance: list[float], size: list[float], gap: float) -> list[float]:
+    """Turn decisions, from long documents to short, while that brings the tokens nearer.
+
+    ``gap`` is what the decided documents lack in tokens. Needed where one document is so long
+    that it stays undecided through all flights; else the gap is under a mean size at once.
+    """
+    done = list(chance)
+    for k in sorted(range(len(size)), key=lambda k: (-size[k], k)) if size else ():
+        if abs(gap) <= sum(size) / len(size):
+            break
+        if size[k] <= abs(gap) and done[k] == (0.0 if gap > 0 else 1.0):
+            done[k] = 1.0 - done[k]
+            gap += size[k] if gap < 0 else -size[k]
+    return done
+
+
 def _flying(land: bool):
     """Flight of one bucket, with the landing where it is the source's only one."""
     def fly(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -158,8 +174,11 @@ def _flying(land: bool):
         moved = flight([chance[k] for k in flying], [size[k] for k in flying], [draws[k] for k in flying])
         for k, p in zip(flying, moved):
             chance[k] = p
-        return rows[["key", "hash", "source", "size"]].assign(
-            chance=landing(chance, size) if land else chance, buckets=group[1])
+        if land:
+            expected = math.fsum(p * s for p, s in zip(rows["chance"], size))
+            chance = landing(chance, size)
+            chance = repaired(chance, size, expected - math.fsum(p * s for p, s in zip(chance, size)))
+        return rows[["key", "hash", "source", "size"]].assign(chance=chance, buckets=group[1])
     return fly
 
 
