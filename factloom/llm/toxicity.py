@@ -21,7 +21,6 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 BEGINNINGS = (3, 4, 5, 6)
 CACHE_WORDS = 200_000
+VECTORS = pa.schema([("label", pa.int32()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.int32())),
+                     ("swaps", pa.list_(pa.string()))])
 
 # fixed values: mentions of groups by kind; a mention is swapped within its kind and language
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -94,15 +95,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Callable, max_ro
         F.broadcast(sample), "_id").select("text", "label")
 
 
-def _count_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str | None, int]]]:
+    for batch in batches:
+        yield list(zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()))
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _labelled(batches):
         toxic, clean = Counter(), Counter()
-        for text, label in zip(frame["text"], frame["label"]):
+        for text, label in rows:
             seen = {f for w in words_of(text) for f in features_of(w)}
             (toxic if label else clean).update(seen)
         names = sorted(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"feature": names, "toxic": [toxic[n] for n in names],
-                            "clean": [clean[n] for n in names]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()),
+             pa.array([clean[n] for n in names], pa.int64())], names=["feature", "toxic", "clean"])
 
 
 def select_features(rows: DataFrame, min_z: float, min_docs: int, max_features: int) -> list[str]:
@@ -112,7 +119,7 @@ def select_features(rows: DataFrame, min_z: float, min_docs: int, max_features:
     clean = n - toxic
     if not toxic or not clean:
         return []
-    counted = rows.mapInPandas(_count_features, "feature string, toxic long, clean long").groupBy(
+    counted = rows.mapInArrow(_count_features, "feature string, toxic long, clean long").groupBy(
         "feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = (F.col("toxic") + F.col("clean")) / n
     z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(
@@ -123,14 +130,15 @@ def select_features(rows: DataFrame, min_z: float, min_docs: int, max_features:
 
 
 def _vectors(index: dict[str, int], terms: Sequence[Sequence[str]]):
-    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _labelled(batches):
             out = []
-            for text, label in zip(frame["text"], frame["label"]):
+            for text, label in rows:
                 own = Counter(index[f] for w in words_of(text) for f in features_of(w) if f in index)
                 swapped = [f"{a} {b}" for a, b in sorted(set(swaps_of(text, terms)))]
-                out.append((int(label), sorted(own), [own[k] for k in sorted(own)], swapped))
-            yield pd.DataFrame(out, columns=["label", "at", "value", "swaps"])
+                out.append({"label": label, "at": sorted(own), "value": [own[k] for k in sorted(own)],
+                            "swaps": swapped})
+            yield pa.RecordBatch.from_pylist(out, VECTORS)
     return vectors
 
 
@@ -183,20 +191,18 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Callable, max_rows: int =
     chosen = select_features(rows, min_z, min_docs, max_features)
     named = sorted({f"={w}" for group in terms for w in group} | set(chosen))
     index = {f: k for k, f in enumerate(named)}
-    got = rows.mapInPandas(_vectors(index, terms),
-                           "label int, at array<int>, value array<int>, swaps array<string>").toPandas()
-    y = got["label"].to_numpy(dtype=float)
+    # row order depends on the partitioning: sums must not
+    got = sorted(map(tuple, rows.mapInArrow(
+        _vectors(index, terms), "label int, at array<int>, value array<int>, swaps array<string>").collect()))
+    y = np.array([label for label, *_ in got], dtype=float)
     if y.sum() in (0, len(y)):
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return Model(float(np.log(rate / (1 - rate))), {})
-    # row order depends on the partitioning: sums must not
-    order = sorted(range(len(got)), key=lambda i: (got["label"][i], list(got["at"][i]), list(got["value"][i])))
-    got, y = got.iloc[order], y[order]
-    row = np.repeat(np.arange(len(got)), [len(a) for a in got["at"]])
-    at = np.concatenate([np.asarray(a, dtype=int) for a in got["at"]])
-    value = np.concatenate([np.asarray(v, dtype=float) for v in got["value"]])
+    row = np.repeat(np.arange(len(got)), [len(a) for _, a, _, _ in got])
+    at = np.array([k for _, a, _, _ in got for k in a], dtype=int)
+    value = np.array([x for _, _, v, _ in got for x in v], dtype=float)
     pairs = []
-    for swap, held in sorted(Counter(s for swaps in got["swaps"] for s in swaps).items()):
+    for swap, held in sorted(Counter(s for *_, swaps in got for s in swaps).items()):
         before, after = swap.split(" ")
         change: Counter = Counter(index[f] for f in features_of(after) if f in index)
         change.subtract(index[f] for f in features_of(before) if f in index)
