@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .shared import opened_folder, scratch, spread, written
 
 MANIFEST = "part int, seq int, data string, index string, n_docs long, n_ids long, dictionary string"
-CACHE_PIECES = 600_000
+CACHE_PIECES = 800_000
 CHUNK = 512
 # Cuts a text where byte-level pre-tokenisers always cut: before a space or line feed that
 # follows another character, and after runs of them. Only texts whose white space is these
@@ -94,14 +94,16 @@ class Encoder:
                else PIECE.findall(t) for t in (t or "" for t in texts)]
         needed = set().union(*(p for p in cut if p))
         new = needed.difference(self.known)
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {p: self.known[p] for p in needed.difference(new)}
         if new:
             self.known.update(self._learn(new))
         get = self.known.__getitem__
-        return [(b"".join(map(get, pieces)) if pieces is not None else self.packed(
+        encoded = [(b"".join(map(get, pieces)) if pieces is not None else self.packed(
             self.tokenizer.encode(text, add_special_tokens=False).ids)) + self.end
             for text, pieces in zip(texts, cut)]
+        if len(self.known) > CACHE_PIECES:  # full: common pieces are in it by now
+            for piece in new:
+                del self.known[piece]
+        return encoded
 
 
 @lru_cache(maxsize=2)
