@@ -10,7 +10,10 @@ Documents with equal sets are one class, represented by its smallest id, before
 else. In each table the members of a bucket are first compared with the bucket's smallest
 member only. What that links is made components, and then every pair of a bucket that is
 still in two components is compared as well, so no candidate pair is lost, while a bucket of
-thousands of copies costs one comparison each. Comparisons are made on the full shingle sets
+thousands of copies costs one comparison each. Before that second step the shingles are
+counted that no other of these documents has: a document can share the rest at most, which
+rules out, exactly, nearly all pairs that a passage in common has brought together.
+Comparisons are made on the full shingle sets
 of the whole texts.
 """
 
@@ -105,7 +108,7 @@ def signed(docs: DataFrame, width: int, halves: int, rows: int, seed: int, doc_i
 def table_keys(reps: DataFrame) -> DataFrame:
     """``key, id, n``: one row for each pair of half keys."""
     pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    return reps.select(F.explode(pairs).alias("key"), "id", F.col("n_shingles").alias("n"))
+    return reps.select(F.explode_outer(pairs).alias("key"), "id", F.col("n_shingles").alias("n"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -130,6 +133,24 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     return both.mapInArrow(check, "u long, v long")
 
 
+def lone_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """``id, lone``: how many shingles of a document no other document of ``texts`` has.
+
+    They bound what it can have in common with any of them. Ids with several texts get none.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, content in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                found = shingles(content, width).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), one)), pa.array(found)], names=["id", "h"])
+    several = texts.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
+    holders = texts.select("id", "text").mapInArrow(each, "id long, h long").groupBy("h").agg(
+        F.min("id").alias("id"), F.max("id").alias("last"))
+    return holders.filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("lone")).join(
+        several, "id", "left_anti")
+
+
 def duplicates(docs: DataFrame, percent: int = 75, width: int = 5, halves: int = 8, rows: int = 2,
                seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row of ``docs``.
@@ -176,12 +197,19 @@ def duplicates(docs: DataFrame, percent: int = 75, width: int = 5, halves: int =
         F.min(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("main")).filter("low <> high")
     apart = written(apart.select("key", "main"), scratch(spark, "minhash-apart"))
     mixed = written(placed.join(apart, "key"), scratch(spark, "minhash-mixed"))
-    few = mixed.filter("component <> main").select(
-        "key", F.col("id").alias("f_id"), F.col("n").alias("f_n"), F.col("component").alias("f_component"), "main")
-    across = few.join(mixed.select("key", "id", "n", "component"), "key").filter(
+    lone = written(lone_shingles(texts.join(mixed.select("id").distinct(), "id", "left_semi"), width),
+                   scratch(spark, "minhash-lone"))
+    able = mixed.join(lone, "id", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).filter(
+        100 * F.col("shared") >= percent * F.col("n"))
+    able = written(able.select("key", "id", "n", "component", "main", "shared"), scratch(spark, "minhash-able"))
+    few = able.filter("component <> main").select(
+        "key", F.col("id").alias("f_id"), F.col("n").alias("f_n"), F.col("component").alias("f_component"), "main",
+        F.col("shared").alias("f_shared"))
+    across = few.join(able.drop("main"), "key").filter(
         (F.col("component") != F.col("f_component"))
         & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("f_id")))
-        & (100 * F.least("n", "f_n") >= percent * F.greatest("n", "f_n")))
+        & (100 * F.least("n", "f_n") >= percent * F.greatest("n", "f_n"))
+        & ((100 + percent) * F.least("shared", "f_shared") >= percent * (F.col("n") + F.col("f_n"))))
     across = across.select(F.least("id", "f_id").alias("u"), F.greatest("id", "f_id").alias("v")).distinct()
     rest = written(across.join(star, ["u", "v"], "left_anti"), scratch(spark, "minhash-rest"))
     more = written(verified(rest, texts, percent, width), scratch(spark, "minhash-more"))
