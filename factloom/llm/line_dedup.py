@@ -33,7 +33,8 @@ def key_of(line: Column) -> Column:
 
 def _hashed(docs: DataFrame, least: int) -> DataFrame:
     """``id, rev, pos, h1, h2``: places of the lines whose key is long enough."""
-    lines = docs.select("id", "rev", F.posexplode("lines").alias("pos", "line"))
+    # outer: else Spark adds a filter on the size, which splits every text once more
+    lines = docs.select("id", "rev", F.posexplode_outer("lines").alias("pos", "line"))
     keyed = lines.select("id", "rev", "pos", key_of(F.col("line")).alias("key")).filter(
         F.length("key") >= least)
     # two 64-bit hashes of different seeds: no two keys of any real corpus share both

@@ -100,6 +100,38 @@ def entered(items: DataFrame, blocks: int, radius: int) -> DataFrame:
                             F.explode(F.transform("near.masks", lambda m: value.bitwiseXOR(m))).alias("value"))
 
 
+def _windows(texts: DataFrame, vocabulary: DataFrame, size: int, width: int, small: bool) -> DataFrame:
+    """``id, rev, start, length, window``: shingles from each place of an item's shingle on.
+
+    With a small vocabulary one pass over the texts does: the document's shingles are at hand
+    where a place is found. Else the places are found by a shuffled join, and the documents
+    that have any are joined to them.
+    """
+    # the words are a column of their own: inside the lambda they would be made for each shingle
+    shingled = texts.select("id", "rev", words_of(F.col("text")).alias("words")).select(
+        "id", "rev", shingles_of(F.col("words"), size).alias("shingles"))
+
+    def found(places: DataFrame, known: DataFrame) -> DataFrame:
+        of_size = F.filter("lengths", lambda n: F.least(n, F.lit(width)) == size)
+        return places.join(known.withColumn("lengths", of_size).filter(F.size("lengths") > 0), "h")
+
+    def cut(start: Column, length: Column) -> Column:
+        return F.slice("shingles", start + 1, length - F.lit(size - 1))
+    if small:
+        places = shingled.select("id", "rev", "shingles", F.posexplode_outer("shingles").alias("start", "h"))
+        return found(places, F.broadcast(vocabulary)).select(
+            "id", "rev", "start", F.explode("lengths").alias("length"), "shingles").select(
+            "id", "rev", "start", "length", cut(F.col("start"), F.col("length")).alias("window"))
+    places = shingled.select("id", "rev", F.posexplode_outer("shingles").alias("start", "h"))
+    by_row = found(places, vocabulary).groupBy("id", "rev").agg(
+        F.collect_set(F.struct("start", "lengths")).alias("places"))
+    by_row = written(by_row, scratch(texts.sparkSession, f"decontam-places-{size}"))
+    return by_row.join(shingled, ["id", "rev"]).select(
+        "id", "rev", "shingles", F.explode("places").alias("place")).select(
+        "id", "rev", "place.start", "shingles", F.explode("place.lengths").alias("length")).select(
+        "id", "rev", "start", "length", cut(F.col("start"), F.col("length")).alias("window"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, width: int = 5,
                   radius: int = 19, blocks: int = 5, broadcast_rows: int = 1_000_000,
                   doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -133,37 +165,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, widt
                          scratch(spark, "decontam-vocabulary"))
     rare = round(1000 * math.log(1 + n_items))  # of a shingle that no item has: as of one item's
     small = vocabulary.count() <= broadcast_rows
-    item_shingles = counted.join(vocabulary.select("h", "weight"), "h")
-    item_weight = item_shingles.groupBy("item", "length", "print").agg(
-        F.sum(F.col("times") * F.col("weight")).alias("item_weight"))
+    weights = vocabulary.select("h", "weight")
+    bags = written(counted.join(weights, "h").groupBy("item", "length", "print").agg(
+        F.collect_list(F.struct("h", "times", "weight")).alias("bag"),
+        F.sum(F.col("times") * F.col("weight")).alias("item_weight")), scratch(spark, "decontam-bags"))
 
-    # places where a document has a shingle of an item
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("rev"), F.col(text).alias("text")).filter(
         F.col("id").isNotNull() & F.col("text").isNotNull())
     sizes = [r["size"] for r in items.select(F.least("length", F.lit(width)).alias("size")).distinct().collect()]
-    worded = texts.select("id", "rev", words_of(F.col("text")).alias("words"))
     looked_up = vocabulary.select("h", "lengths")
-    hits = None
-    for size in sorted(sizes) or [width]:
-        places = worded.select("id", "rev", F.posexplode(shingles_of(F.col("words"), size)).alias("pos", "h"))
-        found = places.join(F.broadcast(looked_up) if small else looked_up, "h").select(
-            "id", "rev", F.lit(size).alias("size"), "pos", F.explode("lengths").alias("length")).filter(
-            F.least("length", F.lit(width)) == size)
-        hits = found if hits is None else hits.unionByName(found)
-    by_row = written(
-        hits.groupBy("id", "rev").agg(F.collect_set(F.struct("size", "pos", "length")).alias("hits")),
-        scratch(spark, "decontam-hits"))
-
-    # windows of those documents, and the distinct ones among them
-    both = by_row.join(texts, ["id", "rev"]).select("id", "rev", "hits", words_of(F.col("text")).alias("words"))
     windows = None
     for size in sorted(sizes) or [width]:
-        opened = both.select(
-            "id", "rev", shingles_of(F.col("words"), size).alias("shingles"),
-            F.explode(F.filter("hits", lambda h: h["size"] == size)).alias("hit"))
-        shown = opened.select(
-            "id", "rev", F.col("hit.pos").alias("start"), F.col("hit.length").alias("length"),
-            F.slice("shingles", F.col("hit.pos") + 1, F.col("hit.length") - F.lit(size - 1)).alias("window"))
+        shown = _windows(texts, looked_up, size, width, small)
         windows = shown if windows is None else windows.unionByName(shown)
     windows = written(windows.withColumns({
         "w1": F.xxhash64("window"), "w2": F.xxhash64(F.lit(1), "window")}), scratch(spark, "decontam-windows"))
@@ -178,18 +191,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, widt
         F.bit_count(F.col("own").bitwiseXOR(F.col("print"))) <= radius).select(
         "w1", "w2", "length", "item", "print").distinct()
 
-    # exact weighted similarity of the near pairs
-    content = distinct.select("w1", "w2", "length", F.explode("window").alias("h")).groupBy(
-        "w1", "w2", "length", "h").agg(F.count(F.lit(1)).alias("held"))
-    content = content.join(vocabulary.select("h", "weight"), "h", "left").withColumn(
-        "weight", F.coalesce("weight", F.lit(rare).cast("long")))
-    window_weight = content.groupBy("w1", "w2", "length").agg(
-        F.sum(F.col("held") * F.col("weight")).alias("window_weight"))
-    common = near.join(content, ["w1", "w2", "length"]).join(
-        counted, ["item", "length", "print", "h"]).groupBy("w1", "w2", "length", "item", "print").agg(
-        F.sum(F.least("held", "times") * F.col("weight")).alias("common"))
-    similar = common.join(window_weight, ["w1", "w2", "length"]).join(
-        item_weight, ["item", "length", "print"]).withColumn(
+    # exact weighted similarity of the near pairs: arrays of one window against one item
+    near = written(near, scratch(spark, "decontam-near"))
+    met = written(distinct.select("w1", "w2", "length", "window").join(
+        near.select("w1", "w2", "length").distinct(), ["w1", "w2", "length"]), scratch(spark, "decontam-met"))
+    window_weight = met.select("w1", "w2", "length", F.explode("window").alias("h")).join(
+        F.broadcast(weights) if small else weights, "h", "left").groupBy("w1", "w2", "length").agg(
+        F.sum(F.coalesce("weight", F.lit(rare).cast("long"))).alias("window_weight"))
+    held = F.aggregate("bag", F.lit(0).cast("long"), lambda total, s: total + s["weight"] * F.least(
+        s["times"], F.size(F.filter("window", lambda h: h == s["h"]))))
+    similar = near.join(met, ["w1", "w2", "length"]).join(bags, ["item", "length", "print"]).select(
+        "w1", "w2", "length", "item", "item_weight", held.alias("common")).join(
+        window_weight, ["w1", "w2", "length"]).withColumn(
         "total", F.col("window_weight") + F.col("item_weight") - F.col("common")).filter(
         100 * F.col("common") >= percent * F.col("total"))
     similar = written(similar.select("w1", "w2", "length", "item", "common", "total"),
