@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 SPREAD = 1024
-# A vocabulary up to this size becomes a literal map; a larger one is joined.
-MAP_LIMIT = 2_000
 
 
 def left_lookup(left: DataFrame, right: DataFrame, on: list[str], spread_by: str) -> DataFrame:
@@ -31,36 +29,21 @@ def left_lookup(left: DataFrame, right: DataFrame, on: list[str], spread_by: str
     return left.join(other, condition, "left").drop(*names.values())
 
 
-def small_map(vocabulary: DataFrame, key: str, value: str) -> Column | None:
-    """The vocabulary as a literal map, or None when it is larger than ``MAP_LIMIT``."""
-    rows = (
-        vocabulary.filter(F.col(key).isNotNull() & (F.col(value) != ""))
-        .select(F.col(key).cast("long"), F.col(value)).limit(MAP_LIMIT + 1).collect()
-    )
-    if len(rows) > MAP_LIMIT:
-        return None
-    if not rows:
-        return F.expr("cast(map() as map<bigint,string>)")
-    return F.create_map(*[F.lit(x) for k, v in dict(rows).items() for x in (int(k), v)])
+def names_by_id(vocabulary: DataFrame) -> DataFrame:
+    """The vocabulary ``(id, name)`` with one row per id: the smallest name that is not empty."""
+    return vocabulary.filter(F.col("id").isNotNull() & (F.col("name") != "")).groupBy(
+        F.col("id").cast("long").alias("_id")).agg(F.min("name").alias("_name"))
 
 
 def resolve_names(df: DataFrame, row_id: str, ids: str, out: str,
                   vocabulary: DataFrame) -> DataFrame:
     """Replace an array of ids by the sorted names; unknown ids are dropped.
 
-    ``vocabulary`` has (id, name). Small ones are looked up in place without a shuffle;
-    large ones go through an exploded join, so size never decides the result.
+    An id with several names has the smallest. Spark broadcasts the vocabulary when it is
+    small enough and shuffles the (row, id) pairs when it is not; the result is the same.
     """
-    lookup = small_map(vocabulary, "id", "name")
-    if lookup is not None:
-        names = F.transform(ids, lambda i: F.try_element_at(lookup, i.cast("long")))
-        return df.withColumn(
-            out, F.array_sort(F.filter(F.coalesce(names, F.array().cast("array<string>")),
-                                       lambda n: n.isNotNull())))
-    pairs = df.select(row_id, F.explode(ids).alias("_id"))
-    known = vocabulary.filter(F.col("name") != "").select(
-        F.col("id").cast("long").alias("_id"), F.col("name").alias("_name"))
-    resolved = pairs.join(known, "_id").groupBy(row_id).agg(
+    pairs = df.select(row_id, F.explode(F.col(ids).cast("array<bigint>")).alias("_id"))
+    resolved = pairs.join(names_by_id(vocabulary), "_id").groupBy(row_id).agg(
         F.array_sort(F.collect_list("_name")).alias(out))
     return df.join(resolved, row_id, "left").withColumn(
         out, F.coalesce(out, F.array().cast("array<string>")))
@@ -68,10 +51,7 @@ def resolve_names(df: DataFrame, row_id: str, ids: str, out: str,
 
 def resolve_name(df: DataFrame, row_id: str, ref: str, out: str,
                  vocabulary: DataFrame) -> DataFrame:
-    """Replace one id by its name; NULL when unknown."""
-    lookup = small_map(vocabulary, "id", "name")
-    if lookup is not None:
-        return df.withColumn(out, F.try_element_at(lookup, F.col(ref).cast("long")))
-    known = vocabulary.filter(F.col("name") != "").select(
-        F.col("id").alias(ref), F.col("name").alias(out))
-    return left_lookup(df, known, [ref], row_id)
+    """Replace one id by its name, the smallest it has; NULL when unknown."""
+    known = names_by_id(vocabulary).select(
+        F.col("_id").alias(ref), F.col("_name").alias(out))
+    return left_lookup(df.withColumn(ref, F.col(ref).cast("long")), known, [ref], row_id)

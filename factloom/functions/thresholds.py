@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .predicates import comparable
 from .spec import FactSpec
 
-# With at most this many distinct candidates left, one exact histogram finishes the search.
-EXACT_DISTINCT = 100_000
+# With at most about this many distinct candidates left, one exact histogram finishes the
+# search: what a task sends then is some tens of kilobytes.
+EXACT_DISTINCT = 2_000
 # Rows that the later sketches are made of, over all tasks.
 SAMPLE = 1_000_000
 
@@ -77,6 +78,10 @@ def compute(items: DataFrame, requests: Iterable[Request],
     names = {}
     for r in wanted:
         names.setdefault((r.scope_key, r.spec.key), (f"v{len(names)}", r))
+    needed = {r.scope_key for r in wanted}
+    if scopes and needed <= scopes.keys():
+        # rows outside all scopes count for nothing: this filter is one the scan can prune by
+        items = items.filter(reduce(Column.__or__, [scopes[k] for k in sorted(needed)]))
     values = items.select(*[
         _within(scopes, r.scope_key, comparable(r.spec)).alias(name)
         for name, r in names.values()

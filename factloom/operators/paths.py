@@ -5,24 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.joins import left_lookup
 from ..functions.scalars import filled
 
 MAPPED, MISSING, UNMAPPED, UNKNOWN = "mapped", "missing", "unmapped", "unknown"
-# Up to this many mappings are one CASE expression; more are joined on path ancestors.
-INLINE_MAPPINGS = 64
 
 
 def is_windows(path: Column) -> Column:
     return path.contains("\\") | (F.substring(path, 2, 1) == ":")
 
 
-def _windows(path: str) -> bool:
-    return "\\" in path or path[1:2] == ":"
-
-
 def _under(local: Column, rest: Column) -> Column:
     """``local`` plus the rest of a path, with one slash between all components."""
     tail = F.regexp_replace(F.regexp_replace(rest, r"^[\\/]+", ""), r"\\", "/")
@@ -32,43 +26,35 @@ def _under(local: Column, rest: Column) -> Column:
     return F.when(tail == "", local).otherwise(F.when(tidy == "", F.lit("/")).otherwise(tidy))
 
 
+def mapping_table(spark: SparkSession, mappings: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
+    """The mappings as ``(source, local)``; pairs go through Arrow, so that Spark knows the size."""
+    if isinstance(mappings, DataFrame):
+        return mappings.select("source", "local")
+    return spark.createDataFrame(pa.table({
+        "source": pa.array([m[0] for m in mappings], pa.string()),
+        "local": pa.array([m[1] for m in mappings], pa.string())}))
+
+
+def _unmapped_world(table: DataFrame) -> Column:
+    """Whether there is no mapping at all (a scalar)."""
+    return table.agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
+
+
 def translate(items: DataFrame, mappings: Sequence[tuple[str, str]] | DataFrame,
               path: str = "source_path", out: str = "local_path",
               item_id: str = "item_id") -> DataFrame:
-    """Longest matching prefix wins; without mappings a path stands for itself.
+    """Longest matching prefix wins; without any mapping a path stands for itself.
 
     ``mappings`` are (source prefix, local prefix) pairs, or a frame with the columns
-    ``source`` and ``local`` when there are many.
+    ``source`` and ``local``; both, and an empty one, are treated alike. Of several mappings
+    of one prefix the greatest local prefix is taken. Each path is looked up under every
+    prefix of itself that ends before a separator.
     """
-    if isinstance(mappings, DataFrame):
-        return _translate_joined(items, mappings, path, out, item_id)
-    if not mappings:
-        return items.withColumn(out, filled(F.col(path)))
-    if len(mappings) > INLINE_MAPPINGS:
-        # Through Arrow, so that Spark knows the size and may broadcast it.
-        frame = items.sparkSession.createDataFrame(pa.table({
-            "source": [m[0] for m in mappings], "local": [m[1] for m in mappings]}))
-        return _translate_joined(items, frame, path, out, item_id)
-    whole = filled(F.col(path))
-    choice = F
-    for source, local in sorted(mappings, key=lambda m: -len(m[0])):
-        prefix = source.rstrip("\\/")
-        sep = "/"
-        subject, wanted = whole, prefix
-        if _windows(source):
-            sep, subject, wanted = "\\", F.lower(whole), prefix.lower()
-        choice = choice.when(subject == wanted, F.lit(local)).when(
-            subject.startswith(wanted + sep),
-            _under(F.lit(local), F.substring(whole, F.lit(len(prefix) + 1), F.length(whole))))
-    return items.withColumn(out, choice)
-
-
-def _translate_joined(items, mappings, path, out, item_id):
-    """Each path is looked up under every prefix of itself that ends before a separator."""
+    given = mapping_table(items.sparkSession, mappings)
     source = F.col("source")
     windows = is_windows(source)
     prefix = F.regexp_replace(source, r"[\\/]+$", "")
-    table = mappings.select(
+    table = given.select(
         F.when(windows, F.lower(prefix)).otherwise(prefix).alias("_prefix"),
         windows.alias("_windows"),
         F.struct(F.length(source).alias("size"), F.length(prefix).alias("cut"),
@@ -90,7 +76,7 @@ def _translate_joined(items, mappings, path, out, item_id):
     best = probes.join(table, ["_prefix", "_windows"]).groupBy(item_id).agg(
         F.max("_map").alias("_map"))
     return items.join(best, item_id, "left").withColumn(
-        out, F.when(F.col("_map").isNotNull(), _under(
+        out, F.when(_unmapped_world(given), filled(whole)).when(F.col("_map").isNotNull(), _under(
             F.col("_map.local"),
             F.substring(whole, F.col("_map.cut") + 1, F.length(whole))))
     ).drop("_map")
@@ -100,7 +86,7 @@ def resolve(items: DataFrame, mappings, manifest: DataFrame, path: str = "source
             item_id: str = "item_id") -> DataFrame:
     """Adds local_path, path_status, file_size, file_mtime (and file_fp when the manifest has it).
 
-    A path that is absent although no mapping is configured counts as unmapped: what is
+    A path that is absent while there is no mapping at all counts as unmapped: what is
     missing there is the mapping, not the file.
     """
     translated = translate(items, mappings, path, "local_path", item_id)
@@ -108,7 +94,8 @@ def resolve(items: DataFrame, mappings, manifest: DataFrame, path: str = "source
     found = manifest.select(
         F.col("path").alias("local_path"), F.col("size").alias("file_size"),
         F.col("mtime").alias("file_mtime"), *extra, F.lit(True).alias("_there"))
-    absent = UNMAPPED if not isinstance(mappings, DataFrame) and not mappings else MISSING
+    given = mapping_table(items.sparkSession, mappings)
+    absent = F.when(_unmapped_world(given), UNMAPPED).otherwise(MISSING)
     status = (
         F.when(filled(F.col(path)).isNull(), UNKNOWN)
         .when(F.col("local_path").isNull(), UNMAPPED)
@@ -130,11 +117,12 @@ def health(items: DataFrame) -> DataFrame:
     return counts.unionByName(zeros).groupBy("path_status").agg(F.sum("n").alias("n"))
 
 
-def missing_sample(items: DataFrame, limit: int = 25) -> DataFrame:
-    """A few items whose file is missing, by id."""
-    return items.filter(
-        F.col("deleted_at").isNull() & (F.col("path_status") == MISSING)
-    ).orderBy("item_id").limit(limit).select("item_id", "rating_key", "title", "local_path")
+def missing_sample(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items whose file is missing, by id; ``limit`` makes it a sample."""
+    missing = items.filter(
+        F.col("deleted_at").isNull() & (F.col("path_status") == MISSING)).orderBy("item_id")
+    return (missing.limit(limit) if limit else missing).select(
+        "item_id", "rating_key", "title", "local_path")
 
 
 def unmapped_prefixes(items: DataFrame, path: str = "source_path") -> DataFrame:

@@ -11,9 +11,7 @@ It becomes one boolean Column; Catalyst does the rest.
 
 from __future__ import annotations
 
-import itertools
 import json
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -87,7 +85,7 @@ class Rule:
 # ── checking ──────────────────────────────────────────────────────────────────
 
 
-def check(tree, registry: Registry) -> dict:
+def check(tree, registry: Registry, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> dict:
     """The tree with only the fields that count; RuleError names the faulty node."""
     if not isinstance(tree, dict) or tree.get("root") is None:
         raise RuleError("a rule is an object with a 'root' node")
@@ -185,19 +183,6 @@ def keys_of(node: dict) -> set[str]:
     return own.union(*map(keys_of, below))
 
 
-def slug_of(name: str, taken=()) -> str:
-    """A label-safe short name that is not taken yet."""
-    base = re.sub("[^a-z0-9]+", "-", (name or "").lower()).strip("-")[:60] or "rule"
-    numbered = (f"{base}-{n}" for n in itertools.count(2))
-    return next(s for s in itertools.chain([base], numbered) if s not in taken)
-
-
-def labels_of(slug: str, prefix: str) -> dict[str, str]:
-    """Our label, and the two that belong to people: force in, force out."""
-    main = f"{prefix}:{slug}"
-    return {"main": main, "pinned": f"{main}:pin", "vetoed": f"{main}:veto"}
-
-
 def providers_of(rule: Rule, registry: Registry) -> set[str]:
     return {registry.require(k).provider for k in keys_of(rule.tree["root"])}
 
@@ -294,9 +279,9 @@ def count(items: DataFrame, rule: Rule, registry: Registry, *, now: float | None
     return items.filter(test).agg(F.count(F.lit(1)).alias("matched"))
 
 
-def matches(items: DataFrame, rule: Rule, registry: Registry, limit: int = 200,
+def matches(items: DataFrame, rule: Rule, registry: Registry, limit: int | None = None,
             **options) -> DataFrame:
-    """A saved rule's matches; its own limit goes before the given one."""
+    """A saved rule's matches; its own limit goes before the given one (none: all)."""
     return evaluate(items, rule, registry, limit=rule.limit or limit, **options)
 
 
@@ -353,23 +338,25 @@ def evaluate_all(items: DataFrame, rules: Iterable[Rule], registry: Registry, *,
     """(rule_id, item) for every enabled rule.
 
     Rules without a limit share one pass over the items: each row lists the rules it
-    meets. Rules with a limit share a pass per kind of sort key; one that is alone in its
-    kind, or has a large limit, is a top-N of its own.
+    meets. Rules with a limit share a pass per type and direction of the sort key; one that
+    is alone in its kind is a top-N of its own. Every rule is part of the plan's expressions,
+    which suits some hundreds of rules.
     """
     rules = [r for r in rules if r.enabled]
     if not rules:
         raise RuleError("no enabled rule to evaluate")
     tests = conditions(items, rules, registry, now, unknown)
+    # rows outside all scopes meet no rule: this filter is one the scan can prune by
+    items = items.filter(reduce(Column.__or__, [r.scope for r in rules]))
     parts = []
     open_ended = [(r, t) for r, t in zip(rules, tests) if not r.limit]
     if open_ended:
         met = F.array_compact(F.array(*[F.when(t, F.lit(r.rule_id)) for r, t in open_ended]))
         parts.append(items.select(F.explode(met).alias("rule_id"), F.col(key)))
-    kinds: dict[str, list] = {}
+    kinds: dict[tuple, list] = {}
     for rule, test in zip(rules, tests):
         if rule.limit:
-            shared = _sort_kind(rule, registry) if rule.limit <= SHARED_LIMIT else f"{rule.rule_id}"
-            kinds.setdefault(shared, []).append((rule, test))
+            kinds.setdefault(_sort_kind(items, rule, registry), []).append((rule, test))
     for kind, members in kinds.items():
         if len(members) > 1:
             parts.append(_top_of_each(items, members, registry, kind, key))
@@ -383,37 +370,35 @@ def evaluate_all(items: DataFrame, rules: Iterable[Rule], registry: Registry, *,
     return reduce(DataFrame.unionByName, parts)
 
 
-# Up to this limit Spark prunes a ranking inside each task, before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-SHARED_LIMIT = 1000
+def _sort_value(rule: Rule, registry: Registry) -> Column:
+    if rule.order_by == RANDOM_SORT:
+        return F.rand()
+    fact = registry.get(rule.order_by) if rule.order_by else None
+    return comparable(fact) if fact is not None else COLUMN_SORTS[rule.order_by or "title"]()
 
 
-def _sort_kind(rule: Rule, registry: Registry) -> str:
-    """Rules whose sort keys can stand in one column: numbers any way, texts by direction."""
-    if rule.order_by and rule.order_by != "title" and (
-            rule.order_by in COLUMN_SORTS or rule.order_by == RANDOM_SORT
-            or registry.require(rule.order_by).type not in (FactType.STRING, FactType.ENUM)):
-        return "number"
-    return "text desc" if rule.order_by and rule.descending else "text asc"
+def _sort_kind(items: DataFrame, rule: Rule, registry: Registry) -> tuple[str, bool]:
+    """Rules whose sort keys can stand in one column: those of one data type and direction."""
+    [(_, kind)] = items.select(_sort_value(rule, registry).alias("value")).dtypes
+    falling = bool(rule.order_by) and rule.order_by != RANDOM_SORT and rule.descending
+    return kind, falling
 
 
-def _top_of_each(items: DataFrame, members: list, registry: Registry, kind: str,
+def _top_of_each(items: DataFrame, members: list, registry: Registry, kind: tuple[str, bool],
                  key: str) -> DataFrame:
-    """The top-N of several rules in one pass; every task keeps at most N rows per rule."""
+    """The top-N of several rules in one pass; every task keeps at most N rows per rule.
+
+    Values are ranked as they are, in the order that ``order_columns`` gives. Spark prunes
+    the ranking inside each task for limits up to spark.sql.optimizer.windowGroupLimitThreshold;
+    a rule's candidates then meet in one task, as its top-N must.
+    """
+    falling = kind[1]
     entries = []
     for rule, test in members:
-        fact = registry.get(rule.order_by) if rule.order_by else None
-        if rule.order_by == RANDOM_SORT:
-            value = F.rand()
-        elif fact is not None:
-            value = comparable(fact)
-        else:
-            value = COLUMN_SORTS[rule.order_by or "title"]()
-        falling = bool(rule.order_by) and rule.descending
+        value = _sort_value(rule, registry)
+        is_fact = bool(rule.order_by) and registry.get(rule.order_by) is not None
         # Unknown facts come last; unknown columns come first, or last when falling.
-        unknown_rank = 1 if fact is not None or falling else -1
-        if kind == "number":
-            value = value.cast("double") * (-1 if falling else 1)
+        unknown_rank = 1 if is_fact or falling else -1
         entries.append(F.when(test, F.struct(
             F.lit(rule.rule_id).alias("rule_id"), F.lit(int(rule.limit)).alias("_limit"),
             F.when(value.isNull(), unknown_rank).otherwise(0).alias("_unknown"),
@@ -421,7 +406,7 @@ def _top_of_each(items: DataFrame, members: list, registry: Registry, kind: str,
     rows = items.select(
         F.inline(F.array_compact(F.array(*entries))), F.col("item_id").alias("_tie"),
         F.col(key).alias("_key"))
-    value = F.col("_value").desc() if kind == "text desc" else F.col("_value").asc()
+    value = F.col("_value").desc() if falling else F.col("_value").asc()
     rank = F.row_number().over(
         Window.partitionBy("rule_id").orderBy("_unknown", value, "_tie"))
     most = max(int(rule.limit) for rule, _ in members)

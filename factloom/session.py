@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -27,7 +25,9 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **options) -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder every executor can reach: the cluster's, or a local one if it names none."""
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``."""
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_DIR)
-    return folder or tempfile.mkdtemp(prefix="factloom-")
+    if not folder:
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    return folder

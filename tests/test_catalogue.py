@@ -129,25 +129,31 @@ PATHS = {
 }
 
 
-@pytest.mark.parametrize("form", ["inline", "joined", "many"])
-def test_translate(spark, monkeypatch, form):
+@pytest.mark.parametrize("form", ["pairs", "frame"])
+def test_translate(spark, form):
     frame = spark.createDataFrame(
         [(str(i), p) for i, p in enumerate(PATHS)], "item_id string, source_path string")
     mappings = MAPPINGS
-    if form == "joined":
+    if form == "frame":
         mappings = spark.createDataFrame(MAPPINGS, "source string, local string")
-    if form == "many":
-        monkeypatch.setattr(paths, "INLINE_MAPPINGS", 2)
     got = {r.source_path: r.local_path for r in paths.translate(frame, mappings).collect()}
     assert got == PATHS
-    assert paths.translate(frame, []).filter("local_path <=> source_path").count() == 11
+    for none in ([], spark.createDataFrame([], "source string, local string")):
+        assert paths.translate(frame, none).filter("local_path <=> source_path").count() == 11
+
+
+def test_of_several_mappings_of_a_prefix_the_greatest_counts(spark):
+    frame = spark.createDataFrame([("1", "/data/x")], "item_id string, source_path string")
+    for pairs in ([("/data", "/aa"), ("/data", "/zz")], [("/data", "/zz"), ("/data", "/aa")]):
+        assert paths.translate(frame, pairs).first().local_path == "/zz/x"
 
 
 def test_path_status_without_mappings(spark):
     frame = spark.createDataFrame([("1", "/a/x"), ("2", "/a/y"), ("3", None)],
                                   "item_id string, source_path string")
     manifest = spark.createDataFrame([("/a/x", 5, 6)], "path string, size bigint, mtime bigint")
-    for mappings, absent in (([], "unmapped"), ([("/a", "/a")], "missing")):
+    empty = spark.createDataFrame([], "source string, local string")
+    for mappings, absent in (([], "unmapped"), (empty, "unmapped"), ([("/a", "/a")], "missing")):
         got = {r.item_id: (r.path_status, r.file_size) for r in
                paths.resolve(frame, mappings, manifest).collect()}
         assert got == {"1": ("mapped", 5), "2": (absent, None), "3": ("unknown", None)}

@@ -93,10 +93,18 @@ MOVIE_FILE = {
 }
 
 
-@pytest.mark.parametrize("map_limit", [2000, 1])
-def test_movie_mgmt(spark, monkeypatch, map_limit):
+def test_names_of_an_id_that_repeats(spark):
     from factloom.functions import joins
-    monkeypatch.setattr(joins, "MAP_LIMIT", map_limit)
+    vocabulary = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, ""), (None, "d")], "id long, name string")
+    rows = spark.createDataFrame([("x", [2, 1, 9], 1), ("y", [], None), ("z", None, 9)],
+                                 "item_id string, ids array<long>, ref long")
+    many = {r.item_id: r.names for r in joins.resolve_names(rows, "item_id", "ids", "names", vocabulary).collect()}
+    assert many == {"x": ["a", "c"], "y": [], "z": []}
+    one = {r.item_id: r.name for r in joins.resolve_name(rows, "item_id", "ref", "name", vocabulary).collect()}
+    assert one == {"x": "a", "y": None, "z": None}
+
+
+def test_movie_mgmt(spark):
     sources = {
         "movies": payloads(spark, {**MOVIE, "studio": "Old"}, MOVIE, {"id": 1, "tmdbId": 0},
                            {"id": 2, "tmdbId": 8, "movieFile": {}}),

@@ -238,9 +238,36 @@ def test_truth_table(spark):
         assert tuple(r[i] for r in got) == expected[key], key
 
 
-def test_operands_after_the_200th_are_ignored(spark):
-    frame = spark.range(300).select(F.struct(F.col("id").cast("double").alias("n")).alias("t"))
-    assert frame.filter(emit(number("t.n"), "in", list(range(300)))).count() == 200
+def test_every_operand_of_a_long_list_counts(spark):
+    frame = spark.range(450).select(F.struct(
+        F.col("id").cast("double").alias("n"), F.array(F.col("id").cast("string")).alias("l")).alias("t"))
+    tags = FactSpec(key="t.l", type=FactType.LIST, element=FactType.STRING)
+    numbers = list(range(300))
+    assert frame.filter(emit(number("t.n"), "in", numbers)).count() == 300
+    assert frame.filter(emit(number("t.n"), "not_in", numbers)).count() == 150
+    assert frame.filter(emit(tags, "contains_any", [str(n) for n in numbers])).count() == 300
+    assert frame.filter(emit(tags, "contains_all", ["7"] * 300)).count() == 1
+    assert frame.filter(emit(tags, "contains_all", [str(n) for n in numbers])).count() == 0
+    with pytest.raises(RuleError):
+        emit(number("t.n"), "in", [*numbers, "not a number"])
+
+
+def test_rankings_of_a_shared_pass_are_those_of_one_rule(spark, registry):
+    nan = float("nan")
+    sizes = [1.0, 2.0, nan, None, float(2 ** 53), float(2 ** 53 + 2)]
+    frame = spark.createDataFrame(
+        [(str(i), "1", "movie", f"t{i}", i, (2 ** 53 + i), (v,)) for i, v in enumerate(sizes)],
+        "item_id string, library_key string, item_type string, sort_title string, year int, "
+        "file_size bigint, file struct<bitrate_kbps: double>").withColumn("deleted_at", F.lit(None).cast("bigint"))
+    made = [Rule(f"{key}-{falling}-{n}", {"root": {"type": "and", "children": []}}, libraries=("1",),
+                 order_by=key, descending=falling, limit=n)
+            for key in ("file.bitrate_kbps", "size") for falling in (True, False) for n in (1, 3, 5000)]
+    together = {}
+    for row in rules.evaluate_all(frame, made, registry).collect():
+        together.setdefault(row.rule_id, set()).add(row.item_id)
+    for rule in made:
+        alone = rules.evaluate(frame, rule, registry, columns=("item_id",)).collect()
+        assert together[rule.rule_id] == {r.item_id for r in alone}, rule.rule_id
 
 
 def test_spec_checks():
@@ -290,10 +317,3 @@ def test_rule_from_saved_row(registry):
     assert rule.libraries == ("1",) and rule.types == ("show",) and not rule.descending
     assert rule.limit == 3 and rules.check(rule.tree, registry)["root"]["value"] is True
 
-
-def test_slugs_and_labels():
-    assert rules.slug_of("  Scope & Rich! ") == "scope-rich"
-    assert rules.slug_of("Scope", {"scope", "scope-2"}) == "scope-3"
-    assert rules.slug_of("é") == "rule" and len(rules.slug_of("x" * 90)) == 60
-    assert rules.labels_of("scope", "lib") == {
-        "main": "lib:scope", "pinned": "lib:scope:pin", "vetoed": "lib:scope:veto"}

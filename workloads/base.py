@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.session import shared_folder
+from factloom.session import CHECKPOINT_DIR, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +28,13 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder.
+
+    A local session that names none gets a temporary one, which goes when the process ends.
+    """
+    if not spark.conf.get(CHECKPOINT_DIR, None) and spark.sparkContext.master.startswith("local["):
+        own = tempfile.mkdtemp(prefix="factloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.conf.set(CHECKPOINT_DIR, own)
     run = spark.sql("SELECT uuid()").first()[0]
     return f"{shared_folder(spark).rstrip('/')}/{name}-{run}"
