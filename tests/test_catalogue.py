@@ -17,77 +17,89 @@ INCOMING = ("library_key string, rating_key string, guid string, item_type strin
             "sort_title string, year int, source_path string")
 
 
-def incoming(spark, media, *rows):
-    frame = spark.createDataFrame(
-        [("1", str(k), f"g-{g}", "movie", t, t, 2020, p) for k, g, t, p in rows], INCOMING)
-    manifest = files.with_fingerprint(files.manifest(spark, media))
-    return paths.resolve(frame, [("/data/movies", media)], manifest, item_id="rating_key")
+class Shelf:
+    """A catalogue that takes snapshots of ``key -> (guid, file)``; files lie in ``folder``."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder, self.runs = spark, str(folder), 0
+        self.state = spark.createDataFrame([], CATALOGUE_SCHEMA)
+
+    def put(self, name, size, at=1_500_000_000):
+        path = os.path.join(self.folder, name)
+        with open(path, "wb") as out:
+            out.write(b"s" * size)
+        os.utime(path, (at, at))
+
+    def take(self, snapshot):
+        self.runs += 1
+        frame = self.spark.createDataFrame(
+            [("9", key, guid, "movie", f"Title {guid}", guid, 1990, file) for key, (guid, file) in snapshot.items()],
+            INCOMING)
+        manifest = files.with_fingerprint(files.manifest(self.spark, self.folder))
+        found = paths.resolve(frame, [("/srv/reels", self.folder)], manifest, item_id="rating_key")
+        state, counts = reconcile.apply(self.state, found, ["9"], 50 * self.runs, self.runs)
+        told = counts.first().asDict()
+        self.state = self.spark.createDataFrame(state.collect(), state.schema)
+        return {name: n for name, n in told.items() if n}
+
+    def row(self, key):
+        found = self.state.filter(F.col("rating_key") == key).collect()
+        return found[0] if found else None
 
 
 @pytest.fixture
-def media(tmp_path):
-    for name in ("a.mkv", "b.mkv"):
-        (tmp_path / name).write_bytes(b"x" * 1024)
-    return str(tmp_path)
-
-
-def test_five_snapshots(spark, media):
-    state = spark.createDataFrame(
-        [], CATALOGUE_SCHEMA + ", video struct<dar:double>")
-    run = {"n": 0}
-
-    def discover(*rows):
-        nonlocal state
-        run["n"] += 1
-        state, counts = reconcile.apply(
-            state, incoming(spark, media, *rows), ["1"], 1000 + run["n"], run["n"])
-        counts = counts.first().asDict()
-        state = spark.createDataFrame(state.collect(), state.schema)
-        return counts
-
-    def row(key):
-        found = state.filter(F.col("rating_key") == str(key)).collect()
-        return found[0] if found else None
-
-    alpha = (101, "aaa", "Alpha", "/data/movies/a.mkv")
-    beta = (102, "bbb", "Beta", "/data/movies/b.mkv")
-    gamma = (103, "ccc", "Gamma", "/data/movies/missing.mkv")
-    delta = (104, "ddd", "Delta", "/elsewhere/x.mkv")
-    moved = (999, *alpha[1:])
-
-    first = discover(alpha, beta, gamma, delta)
-    assert first["added"] == 4
-    status = {r.path_status: r.n for r in paths.health(state).collect()}
-    assert status == {"mapped": 2, "missing": 1, "unmapped": 1, "unknown": 0}
-    assert row(101).file_fp and row(101).first_seen == 1001
-
-    again = discover(alpha, beta, gamma, delta)
-    assert (again["added"], again["updated"], again["removed"], again["changed_files"]) == (
-        0, 4, 0, 0)
-
-    state = state.withColumn("video", F.when(
-        F.col("rating_key") == "101", F.struct(F.lit(2.39).alias("dar"))))
-    before = row(101)
-    rotated = discover(moved, beta, gamma, delta)
-    after = row(999)
-    assert (rotated["added"], rotated["rotated"]) == (0, 1)
-    assert after.item_id == before.item_id and after.video.dar == 2.39 and row(101) is None
-
-    with open(os.path.join(media, "a.mkv"), "wb") as f:
-        f.write(b"y" * 4096)
-    os.utime(os.path.join(media, "a.mkv"), (1800000000, 1800000000))
-    changed = discover(moved, beta)
-    assert changed["changed_files"] == 1 and row(999).file_fp != before.file_fp
-    assert row(999).video.dar == 2.39
-    assert changed["removed"] == 2 and row(103).deleted_at == 1004
-    assert state.filter("deleted_at is null").count() == 2
-
-    back = discover(moved, beta, gamma)
-    assert row(103).deleted_at is None and back["added"] == 0 and back["resurrected"] == 1
-
-    # The old key of a rotated row may come back as another item, with an id of its own.
-    reused = discover(moved, beta, gamma, (101, "new", "Other", None))
-    assert reused["added"] == 1 and row(101).item_id != row(999).item_id
+def shelf(spark, tmp_path):
+    made = Shelf(spark, tmp_path)
+    made.put("pine.mp4", 300)
+    made.put("oak.mp4", 500)
+    return made
+
+
+PINE, OAK, LOST = ("pine", "/srv/reels/pine.mp4"), ("oak", "/srv/reels/oak.mp4"), ("yew", "/srv/reels/yew.mp4")
+
+
+def test_a_first_snapshot(shelf):
+    told = shelf.take({"p": PINE, "o": OAK, "y": LOST, "n": ("net", "/mnt/other/net.mp4"), "u": ("none", None)})
+    assert told["added"] == 5 and "removed" not in told
+    assert {r.path_status: r.n for r in paths.health(shelf.state).collect()} == {
+        "mapped": 2, "missing": 1, "unmapped": 1, "unknown": 1}
+    assert shelf.row("p").file_size == 300 and shelf.row("p").first_seen == 50
+    assert shelf.row("y").file_fp is None
+
+
+def test_the_same_snapshot_again(shelf):
+    shelf.take({"p": PINE, "o": OAK})
+    assert shelf.take({"p": PINE, "o": OAK}) == {"seen": 2, "updated": 2}
+    assert shelf.row("o").first_seen == 50
+
+
+def test_what_vanishes_is_kept_and_may_return(shelf):
+    shelf.take({"p": PINE, "o": OAK})
+    assert shelf.take({"o": OAK})["removed"] == 1
+    gone = shelf.row("p")
+    assert gone.deleted_at == 100
+    told = shelf.take({"o": OAK, "p": PINE})
+    assert told["resurrected"] == 1 and "added" not in told
+    assert shelf.row("p").deleted_at is None and shelf.row("p").item_id == gone.item_id
+
+
+def test_a_new_key_for_a_known_guid_is_the_same_item(shelf):
+    shelf.take({"p": PINE})
+    before = shelf.row("p").item_id
+    told = shelf.take({"p2": PINE})
+    assert told["rotated"] == 1 and "added" not in told
+    assert shelf.row("p") is None and shelf.row("p2").item_id == before
+    # the old key is free again, for an item of its own
+    assert shelf.take({"p2": PINE, "p": ("fresh", None)})["added"] == 1
+    assert shelf.row("p").item_id != before
+
+
+def test_a_changed_file_is_told(shelf):
+    shelf.take({"p": PINE, "o": OAK})
+    before = shelf.row("p").file_fp
+    shelf.put("pine.mp4", 301, at=1_600_000_000)
+    assert shelf.take({"p": PINE, "o": OAK})["changed_files"] == 1
+    assert shelf.row("p").file_fp != before and shelf.row("p").file_size == 301
 
 
 def test_shared_guids_and_unscanned_libraries(spark):

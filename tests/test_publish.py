@@ -1,4 +1,4 @@
-"""The publish scenario: dry run, apply, repeat, drift, veto, pin, gates, teardown."""
+"""Publishing: dry runs, repeats, drift, people's labels, gates, taking back."""
 
 import pytest
 from conftest import agg, cmp, group
@@ -19,9 +19,9 @@ class World:
     def __init__(self, spark, registry, folder, unscanned=0):
         self.spark, self.registry = spark, registry
         self.members, self.history = f"{folder}/members", f"{folder}/history"
-        rows = [(str(i), "1", str(i), "movie", f"Film {i:02d}", f"Film {i:02d}", 2020, None,
-                 (2.4 if i < 6 else 1.78,)) for i in range(10)]
-        rows += [(f"u{i}", "1", f"u{i}", "movie", f"Unscanned {i}", "", 2020, None, None)
+        rows = [(key, "4", key, "movie", f"Reel {key}", f"Reel {key}", 1960 + n, None, (1.2 + n / 5,))
+                for n, key in enumerate(KEYS)]
+        rows += [(f"dark{i}", "4", f"dark{i}", "movie", f"Dark {i}", "", 1950, None, None)
                  for i in range(unscanned)]
         self.items = spark.createDataFrame(rows, ITEM)
         self.prov = self.items.filter("video is not null").select(
@@ -67,64 +67,79 @@ class World:
                 .filter(F.col("rule_id") == rule_id).collect()}
 
 
-SCOPE = Rule(1, {"root": cmp("video.dar", "gte", 2.3)}, libraries=("1",))
-SIX = {str(i) for i in range(6)}
+KEYS = "abcdefghi"  # of rising aspect, 1.2 to 2.8
+WIDE = Rule(1, {"root": cmp("video.dar", "gt", 1.9)}, libraries=("4",))
+FIVE = set("efghi")
 
 
-def test_scenario(spark, registry, tmp_path):
-    w = World(spark, registry, str(tmp_path))
-    verdict, _ = w.sync(SCOPE, dry_run=True)
-    assert (verdict.n_matched, verdict.n_add, verdict.gate) == (6, 6, None)
-    assert w.labels["main"] == set() and w.recorded() == set()
-    assert spark.read.parquet(w.history).filter("dry_run").count() == 1
-
-    w.sync(SCOPE)
-    assert w.labels["main"] == SIX == w.recorded()
-
-    verdict, changes = w.sync(SCOPE)
-    assert verdict.n_kept == 6 and changes.filter("`add` or `remove`").count() == 0
-
-    w.labels["main"].add("9")
-    verdict, _ = w.sync(SCOPE)
-    assert verdict.n_drifted == 1 and "9" in w.labels["main"] and "9" not in w.recorded()
-
-    w.labels["veto"].add("0")
-    verdict, changes = w.sync(SCOPE)
-    assert verdict.n_vetoed == 1 and "0" not in w.labels["main"]
-    assert w.recorded() == SIX - {"0"}
-
-    w.labels["pin"].add("8")
-    verdict, changes = w.sync(SCOPE)
-    assert verdict.n_pinned == 1 and "8" not in w.labels["main"]
-    assert {r.item_key for r in publish.collection_of(changes).collect()} == (SIX - {"0"}) | {"8"}
-    assert verdict.n_published == 6
-
-    nothing = Rule(2, {"root": cmp("video.dar", "gte", 99)})
-    verdict, _ = w.sync(nothing)
-    assert verdict.gate == "empty_result" and verdict.n_matched == 0
-    shrunk = Rule(1, {"root": cmp("video.dar", "gte", 2.7)})
-    wary = publish.Limits(min_removal_alarm=1, refuse_empty_result=False)
-    assert w.sync(shrunk, wary)[0].gate == "mass_removal"
-    assert w.sync(shrunk, publish.Limits(refuse_empty_result=False, max_changes=4))[
-        0].gate == "too_many_changes"
-    assert w.recorded() == SIX - {"0"}
-    log = spark.read.parquet(w.history)
-    assert log.filter("status = 'guarded'").count() == 3
-    assert w.sync(shrunk, wary, force=True)[0].gate is None and w.recorded() == set()
-
-    w.sync(SCOPE, force=True)
-    current, ours = w.pairs(w.labels["main"], 1), w.pairs(w.recorded(), 1)
+@pytest.fixture
+def world(spark, registry, tmp_path):
+    return World(spark, registry, str(tmp_path))
+
+
+@pytest.fixture
+def published(world):
+    world.sync(WIDE)
+    return world
+
+
+def test_a_dry_run_only_leaves_a_log(spark, world):
+    verdict, changes = world.sync(WIDE, dry_run=True)
+    assert (verdict.n_matched, verdict.n_add, verdict.gate) == (5, 5, None)
+    assert changes.filter("`add`").count() == 5 and not world.labels["main"] and not world.recorded()
+    assert [r.dry_run for r in spark.read.parquet(world.history).collect()] == [True]
+
+
+def test_publishing_twice_changes_nothing_more(published):
+    assert published.labels["main"] == published.recorded() == FIVE
+    verdict, changes = published.sync(WIDE)
+    assert (verdict.n_kept, changes.filter("`add` or `remove`").count()) == (5, 0)
+
+
+def test_a_label_set_by_others_is_left_alone(published):
+    published.labels["main"].add("a")
+    verdict, _ = published.sync(WIDE)
+    assert verdict.n_drifted == 1 and "a" in published.labels["main"] and published.recorded() == FIVE
+
+
+def test_people_force_items_out_and_in(published):
+    published.labels["veto"].add("h")
+    published.labels["pin"].add("b")
+    verdict, changes = published.sync(WIDE)
+    assert (verdict.n_vetoed, verdict.n_pinned) == (1, 1)
+    assert published.labels["main"] == published.recorded() == FIVE - {"h"}
+    shown = {r.item_key for r in publish.collection_of(changes).collect()}
+    assert shown == FIVE - {"h"} | {"b"} and verdict.n_published == len(shown)
+
+
+@pytest.mark.parametrize("tree,limits,gate", [
+    (cmp("video.dar", "gt", 50), {}, "empty_result"),
+    (cmp("video.dar", "gt", 2.7), {"min_removal_alarm": 2}, "mass_removal"),
+    (cmp("video.dar", "gt", 2.7), {"max_changes": 3}, "too_many_changes"),
+])
+def test_gates_hold_a_publish_until_forced(spark, published, tree, limits, gate):
+    changed = Rule(1, {"root": tree}, libraries=("4",))
+    assert published.sync(changed, publish.Limits(**limits))[0].gate == gate
+    assert published.recorded() == FIVE == published.labels["main"]
+    assert spark.read.parquet(published.history).filter("status = 'guarded'").count() == 1
+    assert published.sync(changed, publish.Limits(**limits), force=True)[0].gate is None
+    assert published.recorded() < FIVE
+
+
+def test_unpublish_takes_back_what_is_ours(published):
+    published.labels["main"].add("c")
+    current, ours = published.pairs(published.labels["main"], 1), published.pairs(published.recorded(), 1)
     strip, totals = publish.unpublish(current, ours)
-    assert {r.item_key for r in strip.collect()} == SIX - {"0"}
+    assert {r.item_key for r in strip.collect()} == FIVE
     assert totals.first().asDict() == {"rule_id": 1, "removed": 5, "still_labelled": 1}
     strip, totals = publish.unpublish(current, ours, strip_all=True)
-    assert strip.count() == 6 and totals.first().still_labelled == 0
+    assert {r.item_key for r in strip.collect()} == FIVE | {"c"} and totals.first().still_labelled == 0
 
 
 def test_missing_facts_stop_a_publish(spark, registry, tmp_path):
-    w = World(spark, registry, str(tmp_path), unscanned=10)
-    verdict, _ = w.sync(SCOPE)
-    assert verdict.gate == "stale_facts" and (verdict.stale, verdict.in_scope) == (10, 20)
+    w = World(spark, registry, str(tmp_path), unscanned=9)
+    verdict, _ = w.sync(WIDE)
+    assert verdict.gate == "stale_facts" and (verdict.stale, verdict.in_scope) == (9, 18)
     assert w.recorded() == set()
 
 
@@ -165,24 +180,24 @@ def test_membership_table(spark, tmp_path):
 
 def test_all_rules_at_once_and_one_refusal(spark, registry, tmp_path):
     w = World(spark, registry, str(tmp_path))
-    made = [SCOPE, Rule(2, {"root": group("or")}),
-            Rule(3, {"root": agg("video.dar", "lte", "min")})]
+    made = [WIDE, Rule(2, {"root": group("or")}),
+            Rule(3, {"root": agg("video.dar", "lte", "percentile", 25)})]
     matched = rules.evaluate_all(w.items, made, registry, key="rating_key").select(
         F.col("rule_id").cast("bigint"), F.col("rating_key").alias("item_key"))
     none = w.pairs([], 1)
-    changes = publish.diff(matched, none, none, none, w.pairs(["9"], 3))
+    changes = publish.diff(matched, none, none, none, w.pairs(["b"], 3))
     ids = spark.createDataFrame([(1,), (2,), (3,)], "rule_id bigint")
     judged = publish.gates(publish.counts(changes, ids).withColumns(
-        {"stale": F.lit(0), "in_scope": F.lit(10)}))
+        {"stale": F.lit(0), "in_scope": F.lit(9)}))
     assert {r.rule_id: r.gate for r in judged.collect()} == {
         1: None, 2: "empty_result", 3: None}
     go = publish.allowed(changes, judged)
     assert {(r.rule_id, r.item_key) for r in publish.target_of(go).collect()} == {
-        (1, k) for k in SIX} | {(3, k) for k in "678"}
+        (1, k) for k in FIVE} | {(3, "a"), (3, "c")}
     listed = publish.change_list(go, w.items, "add").collect()
     assert [(r.rule_id, r.item_key) for r in listed] == sorted(
         (r.rule_id, r.item_key) for r in listed)
-    assert listed[0].title == "Film 00" and listed[0].year == 2020
+    assert listed[0].title == "Reel e" and listed[0].year == 1964
     log = publish.history_rows(judged, 9)
     assert report.recent(log, 1, rule_id=2).first().status == "guarded"
     assert report.recent(log, 2, tie="rule_id").count() == 2
