@@ -71,3 +71,34 @@ def run(items: DataFrame, provenance: DataFrame, provider, sources: dict, now: f
     eligible, skipped = split_eligible(stale(items, provenance, provider, now, force), provider)
     done = provider.compute(eligible, sources)
     return done.unionByName(skipped, allowMissingColumns=True)
+
+
+def in_order(providers) -> list:
+    """Providers after those they depend on, else as given; a dependency not given is no hindrance."""
+    left, done = list(providers), []
+    ids = {p.id for p in left}
+    while left:
+        ready = next((p for p in left if not set(p.depends_on) & ids - {d.id for d in done}), None)
+        if ready is None:
+            raise ValueError(f"providers depend on each other: {', '.join(p.id for p in left)}")
+        left.remove(ready)
+        done.append(ready)
+    return done
+
+
+def run_all(items: DataFrame, provenance: DataFrame, providers, sources: dict, now: float,
+            keep, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every provider over what is due for it, in the order of their dependencies.
+
+    A provider sees the facts of those before it. ``keep(provider, results)`` stores the
+    results of one provider as a table and gives that table back, so that nothing is computed
+    twice. Returns the items with the new facts laid over, and the merged provenance.
+    """
+    from ..operators.facts import lay_over, merge_provenance
+
+    for provider in in_order(providers):
+        results = keep(provider, run(items, provenance, provider, sources, now, force))
+        spaces = sorted({spec.namespace for spec in provider.facts} & set(results.columns))
+        items = lay_over(items, results.filter(F.col("status") == "ok"), spaces)
+        provenance = merge_provenance(provenance, provenance_rows(results, provider, int(now)))
+    return items, provenance

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import browse, facts, paths, reconcile, report
 from factloom.operators.catalogue import CATALOGUE_SCHEMA, scope
-from factloom.operators.providers import Derived, History, Identity, Probe, default_providers
+from factloom.operators.providers import Derived, Film, History, Identity, Probe, default_providers
 from factloom.plans import staleness
 from factloom.sources import files, payloads, snapshot
 from factloom.functions.spec import text, words
@@ -345,6 +345,39 @@ def test_staleness_and_scan(spark):
         "7", "u"}
 
 
+def test_providers_run_in_the_order_of_their_dependencies(spark, tmp_path):
+    providers = [Derived(), Identity(), Probe()]
+    assert [p.id for p in staleness.in_order(providers)][-1] == Derived.id
+
+    class Circle(Probe):
+        depends_on = ("derived",)
+    circle = Circle()
+    circle.depends_on = ("derived", "ffprobe")
+    with pytest.raises(ValueError, match="depend on each other"):
+        staleness.in_order([circle])
+
+    frame = spark.createDataFrame(
+        [(k, "1", "movie", None, "mapped", f"/m/{k}", f"fp-{k}", k, 1980, None, None, 6_000_000, 5) for k in "xy"],
+        ITEM + ", year int, added_at bigint, updated_at bigint, duration_ms bigint, tmdb_id bigint")
+    probe = spark.createDataFrame(
+        [(k, '{"format":{"duration":"6060"},"streams":[{"codec_type":"video","width":1920,"height":800}]}')
+         for k in "xy"], "item_id string, payload string")
+    films = spark.createDataFrame([(5, '{"title": "t", "runtime": 90}')], "tmdb_id bigint, payload string")
+    runs = []
+
+    def keep(provider, results):
+        runs.append(provider.id)
+        path = str(tmp_path / f"{len(runs)}-{provider.id}")
+        results.write.parquet(path)
+        return spark.read.parquet(path)
+    none = spark.createDataFrame([], PROV)
+    items, provenance = staleness.run_all(frame, none, [Derived(), Identity(), Film(), Probe()], {"probe": probe, "films": films}, 500, keep)
+    got = {r.item_id: r for r in items.collect()}
+    assert got["x"].derived.resolution_class == "1080p" and got["x"].derived.runtime_mismatch_min == 1.0
+    assert got["y"].derived.runtime_vs_tmdb_min == 11.0 and runs[-1] == "derived" and len(runs) == 4
+    assert provenance.filter("status = 'ok'").count() == 8
+
+
 def test_input_fingerprint_follows_every_input(spark):
     frame = spark.createDataFrame([(1.0, None), (1.0, "x"), (2.0, "x")], "a double, b string")
     got = [r[0] for r in frame.select(
