@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,11 +25,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="factloom-llm-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set(CHECKPOINT_DIR, folder)
-        spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -10,9 +10,11 @@ Documents with equal sets are one class, represented by its smallest id, before
 else. In each table the members of a bucket are first compared with the bucket's smallest
 member only. What that links is made components, and then every pair of a bucket that is
 still in two components is compared as well, so no candidate pair is lost, while a bucket of
-thousands of copies costs one comparison each. Before that second step the shingles are
-counted that no other of these documents has: a document can share the rest at most, which
-rules out, exactly, nearly all pairs that a passage in common has brought together.
+thousands of copies costs one comparison each. Before that second step shingles are
+counted over the documents left: shingles that no other of them has cannot be shared, and
+those that at most ``rare`` have are shared only by pairs that a join on them lists. This
+bounds, exactly, what a pair can have in common, and rules out nearly all pairs that a
+passage or a much edited original has brought together.
 Comparisons are made on the full shingle sets
 of the whole texts.
 """
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -133,26 +135,59 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     return both.mapInArrow(check, "u long, v long")
 
 
-def lone_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """``id, lone``: how many shingles of a document no other document of ``texts`` has.
-
-    They bound what it can have in common with any of them. Ids with several texts get none.
-    """
+def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """``id, h``: the shingles of each row of ``texts``."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one, content in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 found = shingles(content, width).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(found), one)), pa.array(found)], names=["id", "h"])
+    return texts.select("id", "text").mapInArrow(each, "id long, h long")
+
+
+def of_one_text(counts: DataFrame, texts: DataFrame) -> DataFrame:
+    """``counts`` without the ids that have several texts: no bound is taken from those."""
     several = texts.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
-    holders = texts.select("id", "text").mapInArrow(each, "id long, h long").groupBy("h").agg(
-        F.min("id").alias("id"), F.max("id").alias("last"))
-    return holders.filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("lone")).join(
-        several, "id", "left_anti")
+    return counts.join(several, "id", "left_anti")
+
+
+def lone_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """``id, lone``: how many shingles of a document no other document of ``texts`` has.
+
+    They bound what it can have in common with any of them.
+    """
+    holders = shingle_rows(texts, width).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    return of_one_text(holders.filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("lone")), texts)
+
+
+def bounds_of(able: DataFrame, texts: DataFrame, width: int, rare: int) -> tuple[DataFrame, DataFrame]:
+    """Exact bounds of what the documents of ``able`` can have in common.
+
+    ``id, low, common``: the (smallest) set size and how many shingles more than ``rare`` of
+    these documents have. ``u, v, times``: pairs of different components that share rare
+    shingles, and how many. Two documents have at most the smaller ``common`` plus ``times``
+    (0 for pairs not listed) in common. A shingle gives under ``rare ** 2`` pair rows.
+    """
+    spark = able.sparkSession
+    ids = able.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("component"))
+    ids = written(ids, scratch(spark, "minhash-able-ids"))
+    own = texts.join(ids.select("id"), "id", "left_semi")
+    tokens = written(shingle_rows(own, width).distinct(), scratch(spark, "minhash-tokens"))
+    held = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") <= rare)
+    seldom = written(tokens.join(written(held, scratch(spark, "minhash-held")), "h"), scratch(spark, "minhash-seldom"))
+    uncommon = of_one_text(seldom.groupBy("id").agg(F.count(F.lit(1)).alias("uncommon")), own)
+    common = ids.join(uncommon, "id", "left").select(
+        "id", "low", (F.col("high") - F.coalesce("uncommon", F.lit(0))).alias("common"))
+    side = seldom.filter("holders > 1").join(ids.select("id", "component"), "id")
+    shared = side.select("h", F.col("id").alias("u"), F.col("component").alias("u_component")).join(
+        side.select("h", F.col("id").alias("v"), F.col("component").alias("v_component")), "h").filter(
+        "u < v and u_component <> v_component").groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"))
+    return written(common, scratch(spark, "minhash-common")), shared
 
 
 def duplicates(docs: DataFrame, percent: int = 75, width: int = 5, halves: int = 8, rows: int = 2,
-               seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+               rare: int = 8, seed: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row of ``docs``.
 
     Documents are linked when ``100 * intersection >= percent * union`` of their shingle
@@ -201,16 +236,25 @@ def duplicates(docs: DataFrame, percent: int = 75, width: int = 5, halves: int =
                    scratch(spark, "minhash-lone"))
     able = mixed.join(lone, "id", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).filter(
         100 * F.col("shared") >= percent * F.col("n"))
-    able = written(able.select("key", "id", "n", "component", "main", "shared"), scratch(spark, "minhash-able"))
-    few = able.filter("component <> main").select(
-        "key", F.col("id").alias("f_id"), F.col("n").alias("f_n"), F.col("component").alias("f_component"), "main",
-        F.col("shared").alias("f_shared"))
-    across = few.join(able.drop("main"), "key").filter(
+    able = written(able.select("key", "id", "n", "component", "main"), scratch(spark, "minhash-able"))
+    common, shared = bounds_of(able, texts, width, rare)
+    bound = able.join(common, "id").drop("n")
+    few = bound.filter("component <> main").select(
+        "key", F.col("id").alias("f_id"), F.col("low").alias("f_low"), F.col("component").alias("f_component"), "main",
+        F.col("common").alias("f_common"))
+
+    def may_link(both: Column) -> Column:
+        """Whether ``both`` shingles in common could be enough."""
+        return (100 + percent) * both >= percent * (F.col("low") + F.col("f_low"))
+    across = few.join(bound.drop("main"), "key").filter(
         (F.col("component") != F.col("f_component"))
         & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("f_id")))
-        & (100 * F.least("n", "f_n") >= percent * F.greatest("n", "f_n"))
-        & ((100 + percent) * F.least("shared", "f_shared") >= percent * (F.col("n") + F.col("f_n"))))
-    across = across.select(F.least("id", "f_id").alias("u"), F.greatest("id", "f_id").alias("v")).distinct()
+        & may_link(F.least("common", "f_common"))).select(
+        F.least("id", "f_id").alias("u"), F.greatest("id", "f_id").alias("v"))
+    rarely = shared.join(common.select(F.col("id").alias("u"), "low", "common"), "u").join(common.select(
+        F.col("id").alias("v"), F.col("low").alias("f_low"), F.col("common").alias("f_common")), "v").filter(
+        may_link(F.least("common", "f_common") + F.col("times"))).select("u", "v")
+    across = across.unionByName(rarely).distinct()
     rest = written(across.join(star, ["u", "v"], "left_anti"), scratch(spark, "minhash-rest"))
     more = written(verified(rest, texts, percent, width), scratch(spark, "minhash-more"))
     if more.limit(1).count():
