@@ -81,7 +81,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ship(spark)
     folder = token_store.store_folder(spark)
     manifest = token_store.write(docs, folder, public_tokenizers.path(TOKENIZER))
-    return token_store.with_crc(token_store.read(manifest, folder)).withColumnRenamed("n_ids", "n_tokens")
+    return token_store.read(manifest, folder, with_ids=False).withColumnRenamed("n_ids", "n_tokens")
 
 
 STAGES = [

@@ -22,6 +22,7 @@ import json
 import os
 import re
 import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,13 +38,16 @@ from pyspark.sql import functions as F
 from .shared import opened_folder, scratch, spread, written
 
 MANIFEST = "part int, seq int, data string, index string, n_docs long, n_ids long, dictionary string"
-CACHE_PIECES = 800_000
-CHUNK = 512
+CACHE_PIECES = 500_000
+MARKS = ".,;:!?"
+CHUNK = 1024
 # Cuts a text where byte-level pre-tokenisers always cut: before a space or line feed that
 # follows another character, and after runs of them. Only texts whose white space is these
 # two characters are cut.
 PIECE = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+# all other characters that some engine takes for white space
+OTHER_SPACE = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff") + tuple(
+    map(chr, range(0x2000, 0x200C)))
 
 
 class Encoder:
@@ -59,26 +63,33 @@ class Encoder:
             before.get("type") == "ByteLevel" and before.get("use_regex", True)
             and not before.get("add_prefix_space") and not spec.get("normalizer")
             and not spec.get("truncation") and not spec.get("padding"))
-        self.special = [t["content"] for t in spec.get("added_tokens", ())]
+        # texts with any of these are encoded whole
+        self.whole = [*OTHER_SPACE, *(t["content"] for t in spec.get("added_tokens", ()))]
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.end = self.packed([end])
         self.known: dict[str, bytes] = {}
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        self.marks = {m: self.packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in MARKS}
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces. One text of all of them is encoded and cut at its line feeds."""
-        words = [p for p in pieces if "\n" not in p and not p.isspace()]
+        """Ids of new pieces. One text of all of them is encoded and cut at its line feeds.
+
+        A mark after a letter is always cut off before merging, so it is put on afterwards.
+        """
+        marked = {p: p[:-1] for p in pieces if p[-1] in MARKS and p[-2:-1].isalpha()}
+        plain = pieces.difference(marked).union(marked.values()).difference(self.known)
+        words = [p for p in plain if "\n" not in p and not p.isspace()]
         found = {p: self.packed(self.tokenizer.encode(p, add_special_tokens=False).ids)
-                 for p in pieces.difference(words)}
+                 for p in plain.difference(words)}
         parts: list[bytes] = []
         if words and self.line is not None:
-            ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids,
-                           dtype=f"<u{self.width}")
+            [encoding] = self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)
+            ids = np.array(encoding.ids, dtype=f"<u{self.width}")
             flat, cuts = ids.tobytes(), (np.flatnonzero(ids == self.line) * self.width).tolist()
             parts = [flat[a:b] for a, b in zip(
                 [0, *(c + self.width for c in cuts)], [*cuts, len(flat)])]
@@ -86,16 +97,18 @@ class Encoder:
             parts = [self.packed(e.ids) for e in self.tokenizer.encode_batch(
                 words, add_special_tokens=False)]
         found.update(zip(words, parts))
+        for piece, base in marked.items():
+            found[piece] = (found.get(base) or self.known[base]) + self.marks[piece[-1]]
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, with the end id; NULL is the empty text."""
-        cut = [None if not self.cuts or OTHER_SPACE.search(t) or any(s in t for s in self.special)
+        cut = [None if not self.cuts or any(s in t for s in self.whole)
                else PIECE.findall(t) for t in (t or "" for t in texts)]
-        needed = set().union(*(p for p in cut if p))
-        new = needed.difference(self.known)
-        if new:
-            self.known.update(self._learn(new))
+        known = self.known
+        new = {p for pieces in cut if pieces for p in pieces if p not in known}
+        new = self._learn(new) if new else {}
+        self.known.update(new)
         get = self.known.__getitem__
         encoded = [(b"".join(map(get, pieces)) if pieces is not None else self.packed(
             self.tokenizer.encode(text, add_special_tokens=False).ids)) + self.end
@@ -243,11 +256,12 @@ def _options(folder: str, name: str) -> dict:
     return {"dict_data": _zstd(content)} if content else {}
 
 
-def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """``doc_id, start, n_ids, ids`` (little-endian 32-bit) of every document in the shards.
+def read(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, n_ids, ids_crc32`` of every document in the shards, and its ``ids``.
 
-    ``start`` counts the ids of all documents before it. The window over the manifest sees
-    one row per shard.
+    ``start`` counts the ids of all documents before it. Ids are little-endian 32-bit
+    integers; the crc32 is over them, unsigned. The window over the manifest sees one row
+    per shard.
     """
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).cast("long"))
@@ -263,21 +277,22 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 with files.open_input_stream(shard["data"]) as source:
                     for part in index.to_batches(max_chunksize=CHUNK):
                         rows = part.to_pydict()
-                        ids, starts = [], []
+                        ids, starts, sums = [], [], []
                         for length, count in zip(rows["length"], rows["n_ids"]):
-                            content = expand(source.read(length))
-                            ids.append(np.frombuffer(content, dtype=f"<u{width}").astype("<u4").tobytes())
+                            content = np.frombuffer(expand(source.read(length)), dtype=f"<u{width}").astype("<u4")
+                            if len(content) != count:
+                                raise ValueError(f"{shard['data']} does not hold what its index says")
+                            sums.append(zlib.crc32(content))
                             starts.append(start)
                             start += count
-                        yield pa.RecordBatch.from_pydict({
+                            if with_ids:
+                                ids.append(content.tobytes())
+                        columns = {
                             "doc_id": pa.array(rows["doc_id"], pa.int64()), "start": pa.array(starts, pa.int64()),
-                            "n_ids": pa.array(rows["n_ids"], pa.int64()), "ids": pa.array(ids, pa.binary())})
-    return spread(placed, shards).mapInArrow(documents, "doc_id long, start long, n_ids long, ids binary")
-
-
-def with_crc(documents: DataFrame) -> DataFrame:
-    """``ids_crc32`` in place of the ids: unsigned, over all ids as 32-bit integers."""
-    return documents.select("doc_id", "start", "n_ids", F.crc32("ids").alias("ids_crc32"))
+                            "n_ids": pa.array(rows["n_ids"], pa.int64()), "ids_crc32": pa.array(sums, pa.int64())}
+                        yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
+    return spread(placed, shards).mapInArrow(
+        documents, "doc_id long, start long, n_ids long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def store_folder(spark: SparkSession) -> str:
