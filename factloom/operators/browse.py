@@ -34,11 +34,12 @@ def _filtered(items, q, path_status, item_type):
 
 def items(catalogue: DataFrame, registry: Registry, q: str = "", path_status: str = "",
           item_type: str = "", sort: str = "title", descending: bool = False,
-          limit: int = 100, offset: int = 0, columns=None) -> DataFrame:
-    """One page of live items with the number of facts each has."""
+          limit: int | None = None, offset: int = 0, columns=None) -> DataFrame:
+    """Live items with the number of facts each has; ``limit`` and ``offset`` make it a page."""
     value = SORTS.get(sort, SORTS["title"])()
     page = _filtered(catalogue, q, path_status, item_type).orderBy(
-        value.desc() if descending else value.asc(), "item_id").offset(offset).limit(limit)
+        value.desc() if descending else value.asc(), "item_id").offset(offset)
+    page = page.limit(limit) if limit else page
     shown = columns or [c for c in page.columns]
     return page.withColumn("fact_count", leaf_count(registry, catalogue)).select(
         *shown, "fact_count")
@@ -63,7 +64,7 @@ def with_stale(joined: DataFrame) -> DataFrame:
         & (F.col("input_fp") != F.col("file_fp")), F.lit(False)))
 
 
-def values(catalogue: DataFrame, spec: FactSpec, needle: str = "", limit: int = 50,
+def values(catalogue: DataFrame, spec: FactSpec, needle: str = "", limit: int | None = None,
            vocabulary: DataFrame | None = None) -> DataFrame:
     """(value, n): the values a fact takes in live items, most frequent first.
 
@@ -76,7 +77,8 @@ def values(catalogue: DataFrame, spec: FactSpec, needle: str = "", limit: int =
     text = _as_text(spec)
     counted = observed.filter(_has(text, needle)).groupBy("_raw").agg(
         F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.desc("n"), "_raw").limit(limit).select(text.alias("value"), "n")
+    top = counted.orderBy(F.desc("n"), "_raw")
+    top = (top.limit(limit) if limit else top).select(text.alias("value"), "n")
     if vocabulary is None:
         return top
     folded = F.lower("value").alias("_folded")
@@ -86,7 +88,8 @@ def values(catalogue: DataFrame, spec: FactSpec, needle: str = "", limit: int =
         .join(top.select(folded), "_folded", "left_anti")
         .select("value", F.lit(0).cast("bigint").alias("n"))
     )
-    return top.unionByName(extra).orderBy(F.desc("n"), "value").limit(limit)
+    both = top.unionByName(extra).orderBy(F.desc("n"), "value")
+    return both.limit(limit) if limit else both
 
 
 def _as_text(spec: FactSpec) -> Column:

@@ -205,7 +205,7 @@ def typeahead_flag(spark, sf):
     SELECT value, count(*) AS n FROM (SELECT unnest(big_flags) AS value FROM {t.ORDERS_SQL})
     GROUP BY value ORDER BY n DESC, value LIMIT 50""")
 def typeahead_list(spark, sf):
-    return browse.values(t.orders(spark, sf), t.REGISTRY.require("order.big_flags"))
+    return browse.values(t.orders(spark, sf), t.REGISTRY.require("order.big_flags"), limit=50)
 
 
 @query("typeahead_vocab", """

@@ -216,7 +216,7 @@ def path_health(spark, sf):
 def path_missing(spark, sf):
     frame = resolved_pages(spark, sf).withColumns(
         {"rating_key": F.col("item_id").cast("string"), "title": F.lit("")})
-    return paths.missing_sample(frame).select("item_id", "local_path")
+    return paths.missing_sample(frame, 25).select("item_id", "local_path")
 
 
 @query("unmapped_prefixes", """

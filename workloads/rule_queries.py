@@ -303,7 +303,7 @@ def preview_sample(spark, sf):
     ORDER BY n_chars, doc_id LIMIT 200""")
 def rule_matches(spark, sf):
     r = rule(LABELLED, "document", order_by="size", descending=False)
-    return rules.matches(t.documents(spark, sf), r, t.REGISTRY, columns=["item_id"])
+    return rules.matches(t.documents(spark, sf), r, t.REGISTRY, limit=200, columns=["item_id"])
 
 
 @query("stale_anti", "SELECT doc_id AS item_id FROM documents WHERE doc_id NOT IN "
