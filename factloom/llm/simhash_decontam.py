@@ -4,7 +4,8 @@
    window that is as similar to an item as asked shares shingles with it, and the best such
    window begins with one of them. So windows are opened where a document has a shingle of
    any item, in the sizes of the items that have this shingle.
-2. Equal windows are one. Each gets a 64-bit SimHash of its shingles.
+2. Equal windows are one. Each gets a 64-bit SimHash of its shingles, each shingle with the
+   square root of its share in the similarity of step 4 (times x weight).
 3. Fingerprints within ``radius`` of an item's are found by a multi-index: the 64 bits are
    split in ``blocks``, and of two fingerprints within the radius at least one block differs
    by at most ``radius // blocks`` bits. Items are entered under all such neighbours of each
@@ -13,14 +14,18 @@
    (minimum over maximum), with integer weights that fall with the number of items that
    share them.
 
-The distance of two SimHashes is about 64 times the angle of their shingle vectors over pi:
-11 bits at similarity 0.75, with a deviation of 3. The radius of 19 is 2.6 deviations off.
+The distance of two SimHashes is about 64 times the angle of their shingle vectors over pi.
+With square roots the cosine is at least common / sqrt(weight of one x weight of the other),
+so at similarity 0.75 at least 6/7, whatever the weights are: at most 11 bits, with a
+deviation of 3. The radius of 19 is 2.6 deviations off. (With the weights themselves many
+light shingles in common would count for nothing beside a few heavy ones.)
 Only built-in functions are used. What is broadcast is counted before.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -45,28 +50,45 @@ def shingles_of(words: Column, width: int) -> Column:
         F.lit(width), *(F.get(words, i + F.lit(k)) for k in range(width))))
 
 
-def simhash(shingles: Column) -> Column:
-    """64-bit SimHash. Sixteen longs hold four counters of 16 bits each, one per hash bit.
+def simhash(shingles: Column, pulls: Column | None = None) -> Column:
+    """64-bit SimHash of an array; ``pulls`` is an array of the longs they count for, else 1.
 
-    A counter holds up to 32,767 shingles. Ties set the bit.
+    Counters are longs. Ties set the bit.
     """
-    lanes = sum(1 << (16 * k) for k in range(4))
-
-    def add(counters: Column, shingle: Column) -> Column:
-        return F.transform(counters, lambda c, k: c + F.call_function(
-            "shiftrightunsigned", shingle, k).bitwiseAND(F.lit(lanes)))
-    counters = F.aggregate(shingles, F.array(*[F.lit(0).cast("long")] * 16), add)
-    half = F.size(shingles) / F.lit(2.0)
-
-    def bits(counter: Column, k: Column) -> Column:
-        """The four bits that counter k holds, at their places."""
-        whole = F.lit(0).cast("long")
-        for lane in range(4):
-            value = F.shiftright(counter, 16 * lane).bitwiseAND(F.lit(0xFFFF).cast("long"))
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), k + F.lit(16 * lane))
-            whole = whole.bitwiseOR(F.when(value >= half, bit).otherwise(F.lit(0).cast("long")))
-        return whole
-    return F.aggregate(F.transform(counters, bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    pulls = F.transform(shingles, lambda _: F.lit(1).cast("long")) if pulls is None else pulls
+    pairs = F.zip_with(shingles, pulls, lambda h, pull: F.struct(h.alias("h"), pull.alias("pull")))
+    counters = F.aggregate(pairs, F.array(*[F.lit(0).cast("long")] * BITS), lambda counters, s: F.transform(
+        counters, lambda c, k: c + _pulled(s["h"], s["pull"], k)))
+    bits = F.transform(counters, lambda c, k: F.when(
+        c >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def _pulled(shingle: Column, pull: Column, k: Column) -> Column:
+    """What a shingle adds to the counter of bit k."""
+    return F.when(F.getbit(shingle, k) == 1, pull).otherwise(-pull)
+
+
+def pull_of(times: Column, weight: Column) -> Column:
+    """What a shingle counts for in a SimHash, in hundredths: whole, so that sums have no order."""
+    return F.round(100 * F.sqrt(times * weight)).cast("long")
+
+
+def window_prints(distinct: DataFrame, lighter: DataFrame, rare: int) -> DataFrame:
+    """``w1, w2, length, print, window_weight`` of windows; ``lighter`` are weights other than ``rare``."""
+    keys = ["w1", "w2", "length"]
+    # dealt by window before the shingles are listed: both counts then stay inside the task
+    bags = distinct.repartition(*keys).select(*keys, F.explode("window").alias("h")).groupBy(*keys, "h").agg(
+        F.count(F.lit(1)).alias("times"))
+    weighed = bags.join(lighter, "h", "left").withColumn(
+        "weight", F.coalesce("weight", F.lit(rare).cast("long"))).withColumn(
+        "pull", pull_of(F.col("times"), F.col("weight")))
+    sums = weighed.groupBy(*keys).agg(
+        F.sum(F.col("times") * F.col("weight")).alias("window_weight"),
+        *[F.sum(_pulled(F.col("h"), F.col("pull"), F.lit(k))).alias(f"c{k}") for k in range(BITS)])
+    bits = [F.when(F.col(f"c{k}") >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(k))).otherwise(
+        F.lit(0).cast("long")) for k in range(BITS)]
+    return sums.select(*keys, reduce(Column.bitwiseOR, bits).alias("print"), "window_weight")
 
 
 def block_ranges(blocks: int) -> list[tuple[int, int]]:
@@ -152,11 +174,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, widt
     for k in range(1, width + 1):
         fits = F.size("words") == k if k < width else F.size("words") >= width
         short = F.when(fits, shingles_of(F.col("words"), k)).otherwise(short)
+    # equal words under an id are one row; texts of an id that differ are told apart by their shingles
     items = written(raw.select("item", F.size("words").alias("length"), short.alias("shingles")).withColumn(
-        "print", simhash(F.col("shingles"))), scratch(spark, "decontam-items"))
+        "text", F.xxhash64("shingles")), scratch(spark, "decontam-items"))
 
-    counted = items.select("item", "length", "print", F.explode("shingles").alias("h")).groupBy(
-        "item", "length", "print", "h").agg(F.count(F.lit(1)).alias("times"))
+    counted = items.select("item", "length", "text", F.explode("shingles").alias("h")).groupBy(
+        "item", "length", "text", "h").agg(F.count(F.lit(1)).alias("times"))
     n_items = items.select("item").distinct().count()
     spread_of = counted.groupBy("h").agg(
         F.countDistinct("item").alias("items"), F.array_sort(F.collect_set("length")).alias("lengths"))
@@ -166,9 +189,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, widt
     rare = round(1000 * math.log(1 + n_items))  # of a shingle that no item has: as of one item's
     small = vocabulary.count() <= broadcast_rows
     weights = vocabulary.select("h", "weight")
-    bags = written(counted.join(weights, "h").groupBy("item", "length", "print").agg(
-        F.collect_list(F.struct("h", "times", "weight")).alias("bag"),
-        F.sum(F.col("times") * F.col("weight")).alias("item_weight")), scratch(spark, "decontam-bags"))
+    lighter = weights.filter(F.col("weight") != rare)  # of shingles that several items share
+    lighter = F.broadcast(lighter) if lighter.count() <= broadcast_rows else lighter
+    bags = counted.join(weights, "h").groupBy("item", "length", "text").agg(
+        F.collect_list(F.struct("h", "times", "weight", pull_of(F.col("times"), F.col("weight")).alias("pull"))).alias("bag"),
+        F.sum(F.col("times") * F.col("weight")).alias("item_weight"))
+    bags = written(bags.withColumn("print", simhash(F.col("bag.h"), F.col("bag.pull"))), scratch(spark, "decontam-bags"))
 
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("rev"), F.col(text).alias("text")).filter(
         F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -181,10 +207,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, widt
     windows = written(windows.withColumns({
         "w1": F.xxhash64("window"), "w2": F.xxhash64(F.lit(1), "window")}), scratch(spark, "decontam-windows"))
     distinct = windows.groupBy("w1", "w2", "length").agg(F.first("window").alias("window"))
-    distinct = written(distinct.withColumn("print", simhash(F.col("window"))), scratch(spark, "decontam-prints"))
+    distinct = written(distinct, scratch(spark, "decontam-distinct"))
+    prints = written(window_prints(distinct, lighter, rare), scratch(spark, "decontam-prints"))
 
-    index = written(entered(items, blocks, radius), scratch(spark, "decontam-index"))
-    probes = distinct.select("w1", "w2", "length", F.col("print").alias("own"),
+    index = written(entered(bags, blocks, radius), scratch(spark, "decontam-index"))
+    probes = prints.select("w1", "w2", "length", F.col("print").alias("own"),
                              F.explode(block_values(F.col("print"), blocks)).alias("b")).select(
         "w1", "w2", "length", "own", "b.block", "b.value")
     near = probes.join(index, ["length", "block", "value"]).filter(
@@ -195,9 +222,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, widt
     near = written(near, scratch(spark, "decontam-near"))
     met = written(distinct.select("w1", "w2", "length", "window").join(
         near.select("w1", "w2", "length").distinct(), ["w1", "w2", "length"]), scratch(spark, "decontam-met"))
-    window_weight = met.select("w1", "w2", "length", F.explode("window").alias("h")).join(
-        F.broadcast(weights) if small else weights, "h", "left").groupBy("w1", "w2", "length").agg(
-        F.sum(F.coalesce("weight", F.lit(rare).cast("long"))).alias("window_weight"))
+    window_weight = prints.select("w1", "w2", "length", "window_weight")
     held = F.aggregate("bag", F.lit(0).cast("long"), lambda total, s: total + s["weight"] * F.least(
         s["times"], F.size(F.filter("window", lambda h: h == s["h"]))))
     similar = near.join(met, ["w1", "w2", "length"]).join(bags, ["item", "length", "print"]).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -134,3 +135,32 @@ def item_similarity(text, item, width=5):
             common = sum((window & target).values())
             best = max(best, common / sum((window | target).values()))
     return best
+
+
+def weighted_similarities(text, items, width=5):
+    """``{item: largest similarity of an item-sized window}``, shingles weighted by rarity; items of ``width`` words on."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+
+    def bag(w):
+        return Counter(tuple(w[i:i + width]) for i in range(len(w) - width + 1))
+    own, doc = {i: words(t) for i, t in items}, words(text)
+    bags = {i: bag(w) for i, w in own.items()}
+    postings = defaultdict(list)
+    for i, b in bags.items():
+        for h in b:
+            postings[h].append(i)
+    weight = lambda h: int(1000 * math.log(1 + len(items) / max(1, len(postings[h]))) + 0.5)
+    total = {i: sum(n * weight(h) for h, n in b.items()) for i, b in bags.items()}
+    best = dict.fromkeys(own, 0.0)
+    for length in {len(w) for w in own.values()}:
+        for at in range(len(doc) - width + 1):
+            window = bag(doc[at:at + length])
+            common = Counter()
+            for h, n in window.items():
+                for i in postings[h]:
+                    common[i] += weight(h) * min(n, bags[i][h])
+            size = sum(n * weight(h) for h, n in window.items()) if common else 0
+            for i, c in common.items():
+                if len(own[i]) == length:
+                    best[i] = max(best[i], c / (size + total[i] - c))
+    return best

@@ -138,6 +138,25 @@ def test_contamination_of_nothing(spark):
     assert simhash_decontam.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_contamination_of_items_that_share_boilerplate(spark):
+    """Shared shingles weigh little: pairs above 0.75 that few or many shingles in common make up."""
+    rng = random.Random(8)
+    rules, options = prose(rng, 24), prose(rng, 80)
+    cut = [(i, f"{prose(rng, 29)} {rules}") for i in range(70)]  # its documents end before the rules
+    swapped = [(i, f"{prose(rng, 3)} {options}") for i in range(70, 100)]  # theirs begin otherwise
+    items = cut + swapped
+    rows = [(i, f"{prose(rng, 12)} {' '.join(t.split()[:29])}") for i, t in cut]
+    rows += [(i, f"{prose(rng, 12)} {prose(rng, 3)} {options} {prose(rng, 12)}") for i, _ in swapped]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["id"], r["item"]): r["common"] / r["total"] for r in simhash_decontam.contamination(
+        brute.documents(spark, rows), bench).collect()}
+    wanted = {(d, i): s for d, t in rows for i, s in brute.weighted_similarities(t, items).items() if s >= 0.75}
+    assert {(i, i) for i, _ in cut} <= set(wanted)
+    missed = set(wanted) - set(got)
+    assert len(missed) <= 0.01 * len(wanted) and len([d for d, i in missed if d == i < 70]) <= 2
+    assert not set(got) - set(wanted) and all(abs(wanted[pair] - s) < 1e-3 for pair, s in got.items())
+
+
 def test_simhash_and_its_index(spark):
     rng = random.Random(1)
     lists = [[rng.getrandbits(63) - (1 << 62) for _ in range(n)] for n in (1, 7, 40, 300)]
