@@ -18,6 +18,7 @@ from factloom.llm.shared import scratch, ship, table, written
 KEY, REV, NTH = "__pipeline_key", "__pipeline_rev", "__pipeline_nth"
 SCORE = "__pipeline_score"
 TOKENIZER = "byte_bpe_50k.json"
+WORD = r"[\p{L}\p{Nl}\p{No}]"  # what a word of the classifier has
 
 
 def _key() -> Column:
@@ -27,10 +28,17 @@ def _key() -> Column:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.5 stay, those without text too."""
+    """Documents that the classifier scores below 0.5 stay, and those without words.
+
+    All stay where the labels taught it nothing (none, or of one class).
+    """
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.crc_held_out())
-    return toxicity.score(docs, model, keep=docs.columns, name=SCORE).filter(F.col(SCORE) < 0.5).drop(SCORE)
+    if not model.weights:
+        return docs
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return toxicity.score(docs, model, keep=docs.columns, name=SCORE).filter(
+        wordless | (F.col(SCORE) < 0.5)).drop(SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

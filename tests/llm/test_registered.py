@@ -152,6 +152,22 @@ def test_pipeline_of_odd_rows(spark):
         docs.collect()
 
 
+def test_toxicity_stage_without_labels_or_words(spark, tmp_path, monkeypatch):
+    rows = [(1, "some text"), (2, None), (3, ""), (4, "12 + 3 = 15!"), (None, "no id"), (5, "mild words")]
+    docs = brute.documents(spark, rows)
+    folder = str(tmp_path)
+
+    def kept():
+        return {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    for taught in (labels.limit(0), labels):
+        taught.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+        assert kept() == {1, 2, 3, 4, 5, None}
+    model = corpus_pipeline.toxicity.Model(1.0, {"=mild": -5.0})
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda *_: model)
+    assert kept() == {2, 3, 4, 5}
+
+
 def test_minhash_needs_no_more_than_the_documents(spark):
     assert set(tensor_minhash.duplicates(table(spark, SF, "documents")).columns) == {
         "id", "n_shingles", "component_id", "kept"}
