@@ -1,10 +1,10 @@
 """Line deduplication by sorted line hashes; the answer is a keep bitmap per document.
 
 Lines become (hash, document, position) rows. They are partitioned by range of (hash,
-document) and sorted by hash, document and position, so one pass meets all places of a line
-in order and a line that a third of all documents hold is spread over many tasks. What a
-task found per hash is one row, merged by a second, small exchange. Text is never moved for
-this: the result says for each document which positions go, as 64-bit words of a bitmap in
+document), sorted and written, which spreads a line that a third of all documents hold over
+many files. The table read back has no known order, so no task streams first occurrences: what
+stays is found by a distinct, an aggregation and a join over hash exchanges, with the same
+result. Text is never moved for this: the result says for each document which positions go, as 64-bit words of a bitmap in
 which words without a dropped line are left out.
 """
 
@@ -63,7 +63,7 @@ def bitmaps(docs: DataFrame, least_length: int = 20, least_docs: int = 3,
     """
     spark = docs.sparkSession
     places = _hashed(with_lines(docs, doc_id, text), least_length)
-    # (h1, id) ranges split a hot hash by document; the sort is what the aggregation needs
+    # (h1, id) ranges split a hot hash by document; range and sort only lay out the table
     ranged = places.repartitionByRange(F.col("h1"), F.col("h2"), F.col("id")).sortWithinPartitions(
         "h1", "h2", "id", "pos")
     sorted_places = written(ranged, scratch(spark, "line-places"))
