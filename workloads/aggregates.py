@@ -363,3 +363,15 @@ def published_counts(spark, sf):
     members = t.table(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select(
         F.col("c_nationkey").alias("rule_id"))
     return report.published_counts(rules, members)
+
+
+@query("published_counts_whole", """
+    SELECT rule_id, count(c_custkey) AS published
+    FROM (SELECT n_nationkey AS rule_id FROM nation UNION ALL SELECT n_nationkey + 1000 FROM nation)
+    LEFT JOIN customer ON c_nationkey = rule_id GROUP BY 1""")
+def published_counts_whole(spark, sf):
+    """All customers; the rules without members are ids that no customer has."""
+    rules = t.table(spark, sf, "nation").select(F.explode(F.array(
+        F.col("n_nationkey"), F.col("n_nationkey") + 1000)).alias("rule_id"))
+    members = t.table(spark, sf, "customer").select(F.col("c_nationkey").alias("rule_id"))
+    return report.published_counts(rules, members)

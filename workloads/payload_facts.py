@@ -14,7 +14,7 @@ from factloom.operators.providers import derived
 from factloom.operators.providers.probe import RATIOS, TOLERANCE, rate_of, ratio_bucket, ratio_of
 
 from . import tables as t
-from .base import query
+from .base import ORACLES, query
 
 
 def as_json(**fields):
@@ -48,8 +48,8 @@ def identity_facts(spark, sf):
 # ── film metadata: parts ──────────────────────────────────────────────────────
 
 
-def film_payloads(spark, sf):
-    part = t.table(spark, sf, "part").filter("p_type <> 'ECONOMY'")
+def film_payloads(spark, sf, whole=False):
+    part = t.table(spark, sf, "part").filter("true" if whole else "p_type <> 'ECONOMY'")
     size, price = F.col("p_size"), F.col("p_retailprice")
     return part.select(
         (F.col("p_partkey") + 1).alias("tmdb_id"),
@@ -68,13 +68,22 @@ def film_payloads(spark, sf):
         ).alias("payload"))
 
 
-def part_items(spark, sf):
+def part_items(spark, sf, whole=False):
+    """With whole tables some items have ids that do not exist, else payloads are left out."""
+    key = F.col("p_partkey") + 1
     return t.table(spark, sf, "part").select(
         F.col("p_partkey").alias("item_id"),
-        F.when(F.col("p_size") != 9, F.col("p_partkey") + 1).alias("tmdb_id"))
+        F.when(F.col("p_size") != 9, unknown_at(7, F.col("p_partkey"), key) if whole else key)
+        .alias("tmdb_id"))
+
+
+def unknown_at(n, number, key):
+    """The key, but for every n-th number one that no row has."""
+    return F.when(number % n == 0, -key).otherwise(key)
 
 
 PRESENT = "(p_size <> 9 AND p_type <> 'ECONOMY')"
+PRESENT_WHOLE = "(p_size <> 9 AND p_partkey % 7 <> 0)"
 
 
 @query("film_facts", f"""
@@ -95,14 +104,19 @@ PRESENT = "(p_size <> 9 AND p_type <> 'ECONOMY')"
         CASE WHEN {PRESENT} THEN p_size > 40 END AS adult,
         CAST(NULL AS VARCHAR) AS tagline
     FROM part""")
-def film_facts(spark, sf):
-    done = Film().compute(part_items(spark, sf), {"films": film_payloads(spark, sf)})
+def film_facts(spark, sf, whole=False):
+    done = Film().compute(part_items(spark, sf, whole), {"films": film_payloads(spark, sf, whole)})
     names = ["collection", "runtime", "budget", "roi", "vote_average", "original_language",
              "release_date", "adult", "tagline"]
     return done.select("item_id", "status", listed("tmdb.keywords").alias("keywords"),
                        listed("tmdb.genres").alias("genres"), *[f"tmdb.{n}" for n in names])
 
 
+@query("film_facts_whole", ORACLES["film_facts"].replace(PRESENT, PRESENT_WHOLE))
+def film_facts_whole(spark, sf):
+    return film_facts(spark, sf, whole=True)
+
+
 # ── movie automation: parts again, with nations as tags and regions as profiles ─
 
 
@@ -111,8 +125,8 @@ def vocabulary(spark, sf, name, key, value):
         F.col(key).cast("bigint").alias("id"), F.col(value).alias("name"))
 
 
-def movie_sources(spark, sf):
-    part = t.table(spark, sf, "part").filter("p_type <> 'ECONOMY'")
+def movie_sources(spark, sf, whole=False):
+    part = t.table(spark, sf, "part").filter("true" if whole else "p_type <> 'ECONOMY'")
     size = F.col("p_size")
     key = F.col("p_partkey") + 1
 
@@ -137,10 +151,11 @@ def movie_sources(spark, sf):
         tags=F.array(size, size - 10, F.lit(3)),
         added=F.concat(F.lit("2020-01-02T03:04:"), F.lpad(size.cast("string"), 2, "0"),
                        F.lit("Z")),
-        movieFileId=F.when(size >= 8, key), movieFile=embedded,
+        movieFileId=F.when(size >= 8, unknown_at(5, F.col("p_partkey"), key) if whole else key),
+        movieFile=embedded,
     ).alias("payload"), F.col("p_partkey").alias("seq"))
     full = detail(size, size > 45, F.concat(F.lit(" "), F.upper("p_type")))
-    files = part.filter("p_retailprice >= 905.5").select(
+    files = part.filter("true" if whole else "p_retailprice >= 905.5").select(
         F.to_json(full).alias("payload"), F.col("p_partkey").alias("seq"))
     return {
         "movies": movies, "files": files,
@@ -151,6 +166,7 @@ def movie_sources(spark, sf):
 
 HAS_FILE = f"({PRESENT} AND (p_size >= 8))"
 DETAIL = "(p_retailprice >= 905.5)"
+DETAIL_WHOLE = "(p_partkey % 5 <> 0)"
 TAGS = """list_sort(list_filter([
     CASE WHEN p_size BETWEEN 0 AND 24 THEN 'NATION_' || p_size END,
     CASE WHEN p_size - 10 BETWEEN 0 AND 24 THEN 'NATION_' || (p_size - 10) END, 'NATION_3'],
@@ -176,8 +192,8 @@ TAGS = """list_sort(list_filter([
         CASE WHEN {HAS_FILE} THEN p_size > 30 END AS cutoff_unmet,
         CASE WHEN {HAS_FILE} THEN CASE WHEN {DETAIL} THEN lower(p_type) ELSE '' END END AS edition
     FROM part LEFT JOIN region ON r_regionkey = p_size % 7""")
-def movie_facts(spark, sf):
-    done = MovieMgmt().compute(part_items(spark, sf), movie_sources(spark, sf))
+def movie_facts(spark, sf, whole=False):
+    done = MovieMgmt().compute(part_items(spark, sf, whole), movie_sources(spark, sf, whole))
     names = ["managed", "quality_profile", "monitored", "size_on_disk", "root_folder", "studio",
              "added", "quality", "remux", "proper_repack", "custom_format_score", "cutoff_unmet",
              "edition"]
@@ -186,12 +202,23 @@ def movie_facts(spark, sf):
         listed("radarr.custom_formats").alias("custom_formats"))
 
 
+@query("movie_facts_whole", ORACLES["movie_facts"].replace(PRESENT, PRESENT_WHOLE)
+       .replace(DETAIL, DETAIL_WHOLE))
+def movie_facts_whole(spark, sf):
+    return movie_facts(spark, sf, whole=True)
+
+
 @query("payload_left_join", f"SELECT p_partkey AS item_id, {PRESENT} AS managed FROM part")
-def payload_left_join(spark, sf):
-    done = MovieMgmt().compute(part_items(spark, sf), movie_sources(spark, sf))
+def payload_left_join(spark, sf, whole=False):
+    done = MovieMgmt().compute(part_items(spark, sf, whole), movie_sources(spark, sf, whole))
     return done.select("item_id", "radarr.managed")
 
 
+@query("payload_left_join_whole", ORACLES["payload_left_join"].replace(PRESENT, PRESENT_WHOLE))
+def payload_left_join_whole(spark, sf):
+    return payload_left_join(spark, sf, whole=True)
+
+
 @query("tags_resolved", f"""
     SELECT p_partkey AS item_id, array_to_string({TAGS}, ',') AS tags FROM part""")
 def tags_resolved(spark, sf):
@@ -220,9 +247,10 @@ def tags_resolved_large(spark, sf):
 # ── series automation: customers ──────────────────────────────────────────────
 
 
-def series_sources(spark, sf):
+def series_sources(spark, sf, whole=False):
     key, nation = F.col("c_custkey") + 1, F.col("c_nationkey")
-    series = t.table(spark, sf, "customer").filter("c_mktsegment <> 'MACHINERY'").select(
+    series = t.table(spark, sf, "customer").filter(
+            "true" if whole else "c_mktsegment <> 'MACHINERY'").select(
         as_json(
             id=key, tvdbId=key, qualityProfileId=nation % 6, monitored=nation > 3,
             status=F.lit("ended"), ended=F.when(nation > 5, F.lit(True)),
@@ -261,16 +289,23 @@ KNOWN = "(c_mktsegment <> 'MACHINERY')"
         CASE WHEN {KNOWN} THEN CAST(greatest(0, c_nationkey % 5 - c_nationkey % 3) AS DOUBLE) END
             AS missing_episodes
     FROM customer LEFT JOIN region ON r_regionkey = c_nationkey % 6""")
-def series_facts(spark, sf):
+def series_facts(spark, sf, whole=False):
+    key = F.col("c_custkey") + 1
     items = t.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("item_id"), (F.col("c_custkey") + 1).alias("tvdb_id"))
-    done = SeriesMgmt().compute(items, series_sources(spark, sf))
+        F.col("c_custkey").alias("item_id"),
+        (unknown_at(7, F.col("c_custkey"), key) if whole else key).alias("tvdb_id"))
+    done = SeriesMgmt().compute(items, series_sources(spark, sf, whole))
     names = ["managed", "quality_profile", "ended", "runtime", "rating", "first_aired",
              "size_on_disk", "percent_of_episodes", "incomplete", "missing_episodes"]
     return done.select("item_id", *[f"sonarr.{n}" for n in names], *[
         listed(f"sonarr.{n}").alias(n) for n in ("genres", "tags", "release_groups")])
 
 
+@query("series_facts_whole", ORACLES["series_facts"].replace(KNOWN, "(c_custkey % 7 <> 0)"))
+def series_facts_whole(spark, sf):
+    return series_facts(spark, sf, whole=True)
+
+
 # ── media probe: parts as files with a few streams ────────────────────────────
 
 
