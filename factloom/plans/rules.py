@@ -313,12 +313,12 @@ def _computed(provenance, providers):
 
 
 def preview(items: DataFrame, provenance: DataFrame, rule: Rule, registry: Registry, *,
-            sample_size: int = 20, now: float | None = None, unknown: str = "parity",
+            sample_size: int | None = None, now: float | None = None, unknown: str = "parity",
             columns=RESULT_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """(one row of counts, ordered sample) for an unsaved rule.
 
     Counts: matched, collection_size, in_scope, stale. The sample's size is its own and
-    not the rule's limit.
+    not the rule's limit; without one the sample is all matches.
     """
     [test] = conditions(items, [rule], registry, now, unknown)
     frame = items.filter(rule.scope)
@@ -337,10 +337,10 @@ def preview(items: DataFrame, provenance: DataFrame, rule: Rule, registry: Regis
     )
     size = F.least(F.col("matched"), F.lit(rule.limit)) if rule.limit else F.col("matched")
     counts = counts.withColumn("collection_size", size.cast("bigint"))
-    sample = frame.filter(test).orderBy(
-        *order_columns(registry, rule.order_by, rule.descending)
-    ).limit(sample_size).select(*columns)
-    return counts, sample
+    sample = frame.filter(test).orderBy(*order_columns(registry, rule.order_by, rule.descending))
+    if sample_size is not None:
+        sample = sample.limit(sample_size)
+    return counts, sample.select(*columns)
 
 
 def evaluate_all(items: DataFrame, rules: Iterable[Rule], registry: Registry, *,

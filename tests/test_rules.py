@@ -327,6 +327,14 @@ def test_preview_counts_and_sample(spark, films, registry):
     assert rules.matches(films, rule, registry).count() == 2
 
 
+def test_preview_sample_is_whole_without_a_size(spark, films, registry):
+    prov = spark.createDataFrame([], "item_id string, provider string, status string")
+    many = films.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("_copy")
+    rule = Rule(1, {"root": cmp("video.dar", "gt", 2.1)}, limit=2, order_by="video.dar")
+    counts, sample = rules.preview(many, prov, rule, registry)
+    assert sample.count() == counts.first()["matched"] == 90
+
+
 def test_rule_from_saved_row(registry):
     rule = Rule.from_row({
         "id": 7, "rule_json": '{"root": {"type": "const", "value": true}}',

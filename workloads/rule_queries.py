@@ -295,7 +295,7 @@ def preview_counts(spark, sf):
 def preview_sample(spark, sf):
     r = rule(LABELLED, "document", order_by="doc.chars", limit=5)
     return rules.preview(t.documents(spark, sf), label_provenance(spark, sf), r, t.REGISTRY,
-                         columns=["item_id", "file_size"])[1]
+                         sample_size=20, columns=["item_id", "file_size"])[1]
 
 
 @query("rule_matches", f"""
