@@ -15,10 +15,13 @@ from . import (
     host_reputation,
     license_index,
     line_dedup,
+    merkle_manifest,
     simhash_decontam,
+    source_divergence,
     tensor_minhash,
     token_store,
     toxicity,
+    trie_dedup,
     vafile,
     warc,
 )
@@ -214,6 +217,121 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op11_trie_dedup", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op11_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_dedup.owners(table(spark, sf_dir, "documents"), keep="largest").withColumnRenamed("id", "doc_id")
+
+
+@query("op12_merkle_manifest", r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, text,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+           -- crc32 of the decimal id: eight shifts a byte; inverting all bits turns odd into even
+           list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+               lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y:
+                   CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) % 2 = 1 AS even
+    FROM documents
+), leaves AS (
+    SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS altered,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+    FROM (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS cut FROM docs)
+), nodes AS (
+    SELECT source, 0 AS level, pos AS idx, n, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT source, level + 1, idx // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM nodes WHERE n > 1 GROUP BY source, level, idx // 3
+), subroots AS (
+    SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+    SELECT 0 AS level, tree AS idx, n, digest FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM tops WHERE n > 1 GROUP BY level, idx // 3
+), near AS (
+    SELECT doc_id, level AS step, digest, idx, pos // (3 ** level)::BIGINT AS own
+    FROM leaves d JOIN nodes s ON d.source IS NOT DISTINCT FROM s.source
+     AND s.n > 1 AND s.idx // 3 = d.pos // (3 ** (level + 1))::BIGINT
+    UNION ALL
+    SELECT doc_id, 1000 + level, s.digest, idx, tree // (3 ** level)::BIGINT
+    FROM leaves d JOIN subroots t ON d.source IS NOT DISTINCT FROM t.source
+    JOIN tops s ON s.n > 1 AND s.idx // 3 = tree // (3 ** (level + 1))::BIGINT
+), steps AS (
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS k,
+           coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx < own), '') AS before,
+           coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx > own), '') AS after
+    FROM near GROUP BY doc_id, step
+), folded AS (
+    SELECT doc_id, 0 AS k, altered AS digest FROM leaves
+    UNION ALL
+    SELECT f.doc_id, s.k, sha256(before || f.digest || after) FROM folded f JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k + 1
+), proofs AS (
+    SELECT doc_id, sha256(coalesce(string_agg(before || after, '' ORDER BY k), '')) AS proof_sha256
+    FROM leaves LEFT JOIN steps USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, proof_sha256, f.digest AS folded_root, f.digest = r.digest AS verified
+FROM leaves JOIN proofs USING (doc_id) JOIN subroots t ON leaves.source IS NOT DISTINCT FROM t.source
+JOIN (SELECT digest FROM tops WHERE n = 1) r ON true
+JOIN (SELECT doc_id, arg_max(digest, k) AS digest FROM folded GROUP BY doc_id) f USING (doc_id)
+""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaves = docs.select(
+        F.col("source"), F.col("doc_id").alias("id"), merkle_manifest.leaf_digest(*columns, F.col("text")).alias("digest"),
+        F.when(even, merkle_manifest.leaf_digest(*columns, F.replace("text", F.lit("\n"), F.lit("")))).alias("altered"))
+    proofs = merkle_manifest.audit(leaves)
+    return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_source_divergence", r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+    FROM documents
+), words AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM docs
+), terms AS (
+    SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN terms USING (lang, term) GROUP BY lang, source, term
+), langs AS (
+    SELECT lang, count(*) AS v, sum(total) AS n FROM terms GROUP BY lang
+), groups AS (
+    SELECT lang, source, coalesce(v, 0) AS v, coalesce(own, 0) AS own, coalesce(langs.n, 0) AS all_n
+    FROM (SELECT DISTINCT lang, source FROM docs)
+    LEFT JOIN (SELECT lang, source, sum(n) AS own FROM counts GROUP BY lang, source) USING (lang, source)
+    LEFT JOIN langs USING (lang)
+), rates AS (
+    SELECT lang, source, term, coalesce(c.n, 0) AS n,
+           1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (own + v) AS p,
+           1 + 1000000000::HUGEINT * (total + 1) // (all_n + v) AS q
+    FROM groups JOIN terms USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN rates x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN rates y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+    GROUP BY a.lang, a.source, b.source
+), above AS (
+    SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM rates WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+FROM (FROM pairs UNION ALL FROM above) QUALIFY part = 'pair' OR rank <= 200
+""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
