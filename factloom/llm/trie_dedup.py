@@ -119,11 +119,30 @@ class Trie:
             node = child
 
     def spill(self, node: Node, branch: int) -> None:
-        """Nothing stays below ``node``: what arrives there from now on belongs to ``branch``."""
+        """No text stays below ``node``: what arrives there from now on belongs to ``branch``.
+
+        What was spilled before keeps its own branch, so the way to it stays.
+        """
         heavy, texts = weighed(node)
-        self.bytes -= heavy
         self.texts -= texts
-        node.children, node.branch = None, branch
+        self.bytes -= heavy
+        below, stack = [], [node]
+        while stack:
+            one = stack.pop()
+            below.append(one)
+            stack.extend((one.children or {}).values())
+        ways = set()
+        for one in reversed(below):  # children before their parents
+            if one.branch is not None or any(id(c) in ways for c in (one.children or {}).values()):
+                ways.add(id(one))
+        stack = [node]
+        while stack:
+            one = stack.pop()
+            if id(one) not in ways:
+                one.children, one.branch = None, branch
+            elif one.children is not None:
+                self.bytes += len(one.label)
+                stack.extend(one.children.values())
 
 
 def weighed(node: Node) -> tuple[int, int]:
@@ -280,20 +299,19 @@ def owners(docs: DataFrame, keep: str = "smallest", budget: int = 64 << 20, doc_
     spark = docs.sparkSession
     local = written(local_pieces(docs, keep, budget, doc_id, text), scratch(spark, "trie-local"))
     # the first deal is by content, later ones by subtree
-    pieces, deal, moved, ends = local.filter("text is not null"), [F.col("branch"), F.xxhash64("text")], [], None
+    pieces, deal, ends = local.filter("text is not null"), [F.col("branch"), F.xxhash64("text")], None
+    ended = pieces.select("piece", F.col("piece").alias("terminal"))
     while True:
         table = written(joined(pieces.repartition(*deal), keep, budget), scratch(spark, "trie-round"))
-        moved.append(table.filter("piece is not null and terminal is not null").select("piece", "terminal"))
+        moved = table.filter("piece is not null and terminal is not null").select(
+            F.col("piece").alias("terminal"), F.col("terminal").alias("onward"))
+        ended = ended.join(moved, "terminal", "left").select("piece", F.coalesce("onward", "terminal").alias("terminal"))
         done = table.filter("piece is null").select("terminal", "owner", "owner_row", "rows")
         ends = done if ends is None else ends.unionByName(done)
         pieces, deal = table.filter("text is not null"), [F.col("branch")]
         if not pieces.limit(1).count():
             break
-    ended = local.filter("text is not null").select("piece", F.col("piece").alias("terminal"))
-    for step in moved:
-        step = step.select(F.col("piece").alias("terminal"), F.col("terminal").alias("onward"))
-        ended = ended.join(step, "terminal", "left").select(
-            "piece", F.coalesce("onward", "terminal").alias("terminal"))
+        ended = written(ended, scratch(spark, "trie-ended"))
     of_piece = ended.join(ends, "terminal").drop("terminal")
     of_piece = written(of_piece, scratch(spark, "trie-owners"))
     members = local.filter("text is null").select("id", "sha", "row", "piece")

@@ -164,3 +164,77 @@ def weighted_similarities(text, items, width=5):
                 if len(own[i]) == length:
                     best[i] = max(best[i], c / (size + total[i] - c))
     return best
+
+
+def owners(rows, keep="smallest"):
+    """``(id, keep_id, group size, sha256)`` of each ``(doc_id, text)`` row, and the texts with how many rows stay."""
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[t or ""].append(d)
+    choose = min if keep == "smallest" else max
+    own = {t: choose((d for d in ids if d is not None), default=None) for t, ids in groups.items()}
+    return sorted(((d, own[t or ""], len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest())
+                   for d, t in rows), key=repr)
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle_levels(digests, fanout=3):
+    levels = [list(digests)]
+    while len(levels[-1]) > 1:
+        levels.append([H(*levels[-1][i:i + fanout]) for i in range(0, len(levels[-1]), fanout)])
+    return levels
+
+
+def merkle(rows, fanout=3):
+    """``(id, leaf, subroot, root, proof, folded root)`` over ``(source, id, digest, altered)`` rows."""
+    trees = defaultdict(list)
+    for source, i, digest, altered in rows:
+        trees[source].append(((i is not None, i or 0), digest, i, altered))
+    order = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    levels = {s: merkle_levels([d for _, d, _, _ in sorted(trees[s], key=lambda r: r[:2])], fanout) for s in order}
+    top = merkle_levels([levels[s][-1][0] for s in order], fanout)
+    out = []
+    for at, s in enumerate(order):
+        for pos, (_, digest, i, altered) in enumerate(sorted(trees[s], key=lambda r: r[:2])):
+            proof, folded = "", altered or digest
+            for place, stack in ((pos, levels[s]), (at, top)):
+                for level in stack[:-1]:
+                    first = place - place % fanout
+                    left, right = "".join(level[first:place]), "".join(level[place + 1:first + fanout])
+                    proof, folded, place = proof + left + right, H(left, folded, right), place // fanout
+            out.append((i, digest, levels[s][-1][0], top[-1][0], H(proof), folded))
+    return sorted(out, key=repr)
+
+
+def divergence(rows, least=3, top=200):
+    """``(lang, source, part, item, value, rank)`` over ``(text, lang, source)`` rows."""
+    counts, holders, langs = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        found = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER)))
+        counts[lang, source].update(found)
+        holders[lang].update(found.keys())
+        langs[lang].add(source)
+    out = []
+    for lang, sources in langs.items():
+        terms = [t for t, n in holders[lang].items() if n >= least]
+        n = {s: sum(counts[lang, s][t] for t in terms) for s in sources}
+
+        def rate(count, total):
+            return 1 + 10 ** 9 * (count + 1) // (total + len(terms))
+        for s in sources:
+            pairs = [(sum((p - q) ** 2 // q for p, q in (
+                (rate(counts[lang, s][t], n[s]), rate(counts[lang, o][t], n[o])) for t in terms)), o) for o in sources - {s}]
+            own = []
+            for t in terms:
+                c = counts[lang, s][t]
+                p, q = rate(c, n[s]), rate(sum(counts[lang, o][t] for o in sources), sum(n.values()))
+                if c and p > q:
+                    own.append(((p - q) ** 2 // q, t))
+            for part, found, most in (("pair", pairs, None), ("term", own, top)):
+                ranked = sorted(found, key=lambda f: (-f[0], f[1].encode()))[:most]
+                out += [(lang, s, part, item, value, k) for k, (value, item) in enumerate(ranked, 1)]
+    return sorted(out)
