@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.registry import Registry
 from ..functions.spec import STORAGE, FactSpec, FactType
+from .store import Store
 
 LONG_SCHEMA = (
     "item_id string, key string, value string, provider string, seq bigint, is_delete boolean"
@@ -38,7 +39,10 @@ def to_long(results: DataFrame, specs: list[FactSpec], seq: Column | int) -> Dat
 
 
 def merge(stored: DataFrame, results: DataFrame) -> DataFrame:
-    """Stored long rows with newer ones laid over them; deleted keys disappear."""
+    """Stored long rows with newer ones laid over them; deleted keys disappear.
+
+    For frames at hand; ``fact_store`` merges stored rows without moving them.
+    """
     columns = ["value", "provider", "seq", "is_delete"]
     latest = (
         stored.unionByName(results)
@@ -49,32 +53,51 @@ def merge(stored: DataFrame, results: DataFrame) -> DataFrame:
         "item_id", "key", *[f"last.{c}" for c in columns])
 
 
-# ── the fact table on disk ────────────────────────────────────────────────────
-# One partition per run. Writing a run's facts appends no more than that run's rows, and a
-# run that is repeated replaces its own partition. Readers merge; ``compact`` rewrites.
+# ── the tables on disk ────────────────────────────────────────────────────────
+# One folder per run, bucketed by item (see ``store``). Writing a run's facts adds no more than
+# that run's rows, and a run that is repeated replaces its own. Readers merge bucket by bucket;
+# ``compact`` rewrites.
+
+PROVENANCE_SCHEMA = (
+    "item_id string, provider string, schema_version int, input_fp string, computed_at bigint, "
+    "status string, reason string"
+)
+
+
+def fact_store(spark: SparkSession, path: str, buckets: int | None = None) -> Store:
+    return Store.open(spark, path, LONG_SCHEMA, ("item_id", "key"), "seq", buckets)
+
+
+def provenance_store(spark: SparkSession, path: str, schema: str = PROVENANCE_SCHEMA,
+                     buckets: int | None = None) -> Store:
+    return Store.open(spark, path, schema, ("item_id", "provider"), "computed_at", buckets)
 
 
-def write_patch(results: DataFrame, path: str, run_id: int) -> None:
-    results.withColumn("run_id", F.lit(int(run_id)).cast("bigint")).write.mode(
-        "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def write_patch(results: DataFrame, path: str, run_id: int, buckets: int | None = None) -> None:
+    fact_store(results.sparkSession, path, buckets).put(results, run_id)
 
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LONG_SCHEMA + ", run_id bigint").parquet(path)
+    return fact_store(spark, path).rows()
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_patches(spark, path).drop("run_id")
-    return merge(rows, rows.limit(0))
+    """The newest row of each (item, key) that is not a tombstone; no stored row is shuffled."""
+    return fact_store(spark, path).merged().filter(~F.col("is_delete"))
 
 
 def compact(spark: SparkSession, path: str, new_path: str, run_id: int) -> None:
     """The merged facts as one run of a new table; deleted keys are gone for good."""
-    write_patch(read_merged(spark, path), new_path, run_id)
+    write_patch(read_merged(spark, path), new_path, run_id, fact_store(spark, path).buckets)
 
 
-def merge_provenance(stored: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per (item, provider): the newest, as a whole."""
+def merge_provenance(stored: DataFrame | Store, results: DataFrame) -> DataFrame:
+    """One row per (item, provider): the newest, as a whole.
+
+    Of a store only the results are moved, to the buckets the stored rows are in.
+    """
+    if isinstance(stored, Store):
+        return stored.merged(results)
     rest = [c for c in stored.columns if c not in ("item_id", "provider")]
     return (
         stored.unionByName(results)

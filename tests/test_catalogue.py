@@ -482,6 +482,29 @@ def test_fact_table(spark, tmp_path):
     assert stored(packed) == stored(path) and facts.read_patches(spark, packed).count() == 2
 
 
+def test_stores_keep_their_buckets_and_repeat_runs(spark, tmp_path):
+    from factloom.operators.store import Store
+    path = str(tmp_path / "store")
+    schema = "item_id string, key string, value string, seq bigint"
+    store = Store.open(spark, path, schema, ("item_id", "key"), "seq", 3)
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    store.put(rows(("a", "k", "old", 1), (None, "k", "no item", 1), ("b", "k", "same", 5)), 1)
+    store.put(rows(("a", "k", "new", 2), ("b", "k", "later", 5), ("c", None, "no key", 2)), 2)
+    newest = {("a", "k", "new"), (None, "k", "no item"), ("b", "k", "later"), ("c", None, "no key")}
+    found = lambda frame: {(r.item_id, r.key, r.value) for r in frame.collect()}
+    assert found(store.merged()) == newest
+    # as another session finds it
+    spark.sql(f"DROP TABLE {store.table}")
+    again = Store.open(spark, path, schema, ("item_id", "key"), "seq")
+    assert again.buckets == 3 and found(again.merged()) == newest
+    assert found(again.merged(rows(("a", "k", "newest", 2), ("d", "k", "x", 0)))) == (
+        newest - {("a", "k", "new")} | {("a", "k", "newest"), ("d", "k", "x")})
+    again.put(rows(), 2)
+    assert found(again.merged()) == {("a", "k", "old"), (None, "k", "no item"), ("b", "k", "same")}
+    with pytest.raises(ValueError, match="3 buckets"):
+        Store.open(spark, path, schema, ("item_id", "key"), "seq", 4)
+
+
 def test_rows_without_a_key_are_spread_and_never_match(spark):
     from factloom.functions.joins import left_lookup
     left = spark.createDataFrame(

@@ -16,7 +16,8 @@ def plan_of(spark, name):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-WRITES = {"membership_table", "refresh_equals_batch", "fact_table", "scope_partitioned"}
+WRITES = {"membership_table", "refresh_equals_batch", "fact_table", "scope_partitioned",
+          "fact_store_merge", "prov_table", "stale_stored"}
 
 
 @pytest.mark.parametrize("name", sorted(set(contract.workloads.QUERIES) - WRITES))
@@ -49,6 +50,31 @@ def test_only_needed_columns_are_read(spark):
     assert "text:string" not in plan and "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan
 
 
+def above_stored_scans(plan):
+    """For each bucketed scan, the operators between it and the top that move rows."""
+    lines, out = plan.splitlines(), []
+    depth = lambda line: len(re.match(r"[ :|+\-*]*", line).group())
+    for at, line in enumerate(lines):
+        if "Bucketed: true" in line:
+            level, moved = depth(line), []
+            for upper in reversed(lines[:at]):
+                if depth(upper) < level:
+                    level = depth(upper)
+                    moved += [upper.strip()] if "Exchange" in upper else []
+            out.append(moved)
+    return out
+
+
+@pytest.mark.parametrize("name", ["fact_table", "fact_store_merge", "prov_table", "stale_stored"])
+def test_stored_rows_stay_in_their_buckets(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = above_stored_scans(plan_of(spark, name))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved and not any(moved), moved
+
+
 def test_scope_prunes_folders(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = plan_of(spark, "scope_partitioned")

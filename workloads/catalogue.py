@@ -372,6 +372,35 @@ def prov_merge(spark, sf):
         rows.filter(~late).drop("ts"), rows.filter(late).drop("ts"))
 
 
+@query("fact_store_merge", f"""
+    SELECT CAST(user_id AS VARCHAR) AS item_id, 'seen.' || event_type AS key, value
+    FROM {MERGED_SQL}""")
+def fact_store_merge(spark, sf):
+    """Results laid over stored facts: only the results are moved."""
+    early, late = event_facts(spark, sf)
+    store = facts.fact_store(spark, scratch(spark, "facts"))
+    store.put(early, 1)
+    return store.merged(late).filter(~F.col("is_delete")).select(
+        "item_id", "key", F.col("value").cast("double").alias("value"))
+
+
+@query("prov_table", """
+    SELECT user_id AS item_id, event_type AS provider, props AS reason, event_id AS computed_at
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC)
+          AS r FROM events) WHERE r = 1""")
+def prov_table(spark, sf):
+    """The same rows from a stored table and a run laid over it."""
+    rows = t.table(spark, sf, "events").select(
+        F.col("user_id").alias("item_id"), F.col("event_type").alias("provider"),
+        F.col("props").alias("reason"), F.col("event_id").alias("computed_at"), "ts")
+    late = F.expr(f"ts >= {SPLIT}")
+    store = facts.provenance_store(
+        spark, scratch(spark, "provenance"),
+        "item_id bigint, provider string, reason string, computed_at bigint")
+    store.put(rows.filter(~late), 1)
+    return facts.merge_provenance(store, rows.filter(late))
+
+
 # ── reconcile: orders before and after ────────────────────────────────────────
 # Before: orders placed up to August 2000, those below 60,000 already deleted. After: all
 # but the low-priority ones; urgent ones have a new key; the file of dear ones changed.
@@ -508,6 +537,16 @@ def stale_plan(spark, sf):
         "item_id", "input_fp")
 
 
+@query("stale_stored", f"SELECT doc_id AS item_id, fp AS input_fp FROM {STALE_SQL}")
+def stale_stored(spark, sf):
+    """The same plan against provenance on disk, which stays in its buckets."""
+    items, provenance = stale_inputs(spark, sf)
+    kinds = ", ".join(f"{name} {kind}" for name, kind in provenance.dtypes)
+    store = facts.provenance_store(spark, scratch(spark, "provenance"), kinds)
+    store.put(provenance, 1)
+    return staleness.stale(items, store.merged(), DocText(), NOW).select("item_id", "input_fp")
+
+
 @query("stale_forced", """
     SELECT doc_id AS item_id FROM documents
     WHERE source <> 'src9' AND n_chars > 10 AND lang IN ('en', 'fr', 'de')""")
