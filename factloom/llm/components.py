@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from .shared import scratch, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written: a join with a table has two plain exchanges, so a hub's edges can be split
+    least = written(least, scratch(edges.sparkSession, f"{name}-least"))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, name: str) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), scratch(edges.sparkSession, f"{name}-least"))
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.withColumnRenamed("m", "v"))
 
@@ -47,8 +49,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = _state(current)
     while True:
         at += 1
-        large = written(_large_star(current).distinct(), scratch(spark, f"{name}-{at}-large"))
-        current = written(_small_star(large).distinct(), scratch(spark, f"{name}-{at}-small"))
+        large = written(_large_star(current, name).distinct(), scratch(spark, f"{name}-{at}-large"))
+        current = written(_small_star(large, name).distinct(), scratch(spark, f"{name}-{at}-small"))
         before, state = state, _state(current)
         if state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -10,7 +10,10 @@ Documents with equal sets are one class, represented by its smallest id, before
 else. In each table the members of a bucket are first compared with the bucket's smallest
 member only. What that links is made components, and then every pair of a bucket that is
 still in two components is compared as well, so no candidate pair is lost, while a bucket of
-thousands of copies costs one comparison each. Before that second step shingles are
+thousands of copies costs one comparison each. Two members whose exact distances from the
+bucket's smallest member differ by more than 0.25 cannot be that similar (the triangle
+inequality), which is used to join only bands of like distance; a pair that meets in several
+tables is listed in one. Before that second step shingles are
 counted over the documents left: shingles that no other of them has cannot be shared, and
 those that at most ``rare`` have are shared only by pairs that a join on them lists. This
 bounds, exactly, what a pair can have in common, and rules out nearly all pairs that a
@@ -114,7 +117,7 @@ def table_keys(reps: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs ``(u, v)`` whose full sets have the similarity, as edges."""
+    """The pairs ``(u, v)`` with their exact Jaccard distance ``apart``; ``linked`` if they have the similarity."""
     left = texts.select(F.col("id").alias("u"), F.col("text").alias("u_text"))
     right = texts.select(F.col("id").alias("v"), F.col("text").alias("v_text"))
     both = pairs.join(right, "v").join(left, "u").select("u", "v", "u_text", "v_text")
@@ -124,15 +127,34 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keep = []
+                apart, linked = [], []
                 for u_text, v_text in zip(part.column("u_text").to_pylist(), part.column("v_text").to_pylist()):
                     if hub is None or u_text != last:  # rows come sorted by u: a hub is hashed once
                         last, hub = u_text, shingles(u_text, width)
                     other = shingles(v_text, width)
                     common = len(np.intersect1d(hub, other, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(hub) + len(other) - common))
-                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-    return both.mapInArrow(check, "u long, v long")
+                    union = len(hub) + len(other) - common
+                    apart.append(1 - common / max(union, 1))
+                    linked.append(100 * common >= percent * union)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("u"), part.column("v"), pa.array(apart, pa.float64()), pa.array(linked, pa.bool_())],
+                    names=["u", "v", "apart", "linked"])
+    return both.mapInArrow(check, "u long, v long, apart double, linked boolean")
+
+
+def near_hub(distance: Column, percent: int) -> tuple[Column, Column]:
+    """Bands of a distance from the hub: its own, and all that can hold something similar to it.
+
+    The Jaccard distance is a metric, so two members whose distances from the hub differ by more
+    than the similarity allows are no pair. Bands are as wide as that, so such members are at
+    most one band apart. A distance that is not known is in all bands.
+    """
+    width = max(100 - percent, 1)
+    last = 100 // width
+    band = F.floor(100 * distance / width).cast("int")
+    every = F.sequence(F.lit(0), F.lit(last))
+    return (F.when(distance.isNull(), every).otherwise(F.array(band)),
+            F.when(distance.isNull(), every).otherwise(F.sequence(band - 1, band + 1)))
 
 
 def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
@@ -221,7 +243,8 @@ def duplicates(docs: DataFrame, percent: int = 75, width: int = 5, halves: int =
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(
         involved, "id", "left_semi")
     texts = written(texts, scratch(spark, "minhash-texts"))
-    linked = written(verified(star, texts, percent, width), scratch(spark, "minhash-links"))
+    compared = written(verified(star, texts, percent, width), scratch(spark, "minhash-compared"))
+    linked = compared.filter("linked").select("u", "v").distinct()
     found = components(linked.unionByName(same), "minhash-components")
 
     # pairs of a bucket that are still apart
@@ -236,27 +259,42 @@ def duplicates(docs: DataFrame, percent: int = 75, width: int = 5, halves: int =
                    scratch(spark, "minhash-lone"))
     able = mixed.join(lone, "id", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).filter(
         100 * F.col("shared") >= percent * F.col("n"))
-    able = written(able.select("key", "id", "n", "component", "main"), scratch(spark, "minhash-able"))
+    # an id with several texts has no one distance, and no one place in the tables
+    distances = compared.groupBy(F.col("u").alias("hub"), F.col("v").alias("id")).agg(
+        F.when(F.count(F.lit(1)) == 1, F.min("apart")).alias("apart"))
+    halves_of = reps.join(able.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
+        F.when(F.count(F.lit(1)) == 1, F.first("a")).alias("a"), F.when(F.count(F.lit(1)) == 1, F.first("b")).alias("b"))
+    able = able.join(distances, ["hub", "id"], "left").join(halves_of, "id").withColumn(
+        "apart", F.when(F.col("id") == F.col("hub"), 0.0).otherwise(F.col("apart")))
+    able = written(able.select("key", "id", "n", "component", "main", "apart", "a", "b"), scratch(spark, "minhash-able"))
     common, shared = bounds_of(able, texts, width, rare)
+    own, others = near_hub(F.col("apart"), percent)
     bound = able.join(common, "id").drop("n")
     few = bound.filter("component <> main").select(
         "key", F.col("id").alias("f_id"), F.col("low").alias("f_low"), F.col("component").alias("f_component"), "main",
-        F.col("common").alias("f_common"))
+        F.col("common").alias("f_common"), F.col("apart").alias("f_apart"), F.col("a").alias("f_a"), F.col("b").alias("f_b"),
+        F.explode(others).alias("band"))
 
     def may_link(both: Column) -> Column:
         """Whether ``both`` shingles in common could be enough."""
         return (100 + percent) * both >= percent * (F.col("low") + F.col("f_low"))
-    across = few.join(bound.drop("main"), "key").filter(
+    # of all tables that two documents meet in, the first pair of half keys lists them
+    first = F.xxhash64(*[F.get(F.array_intersect(f"f_{c}", c), F.lit(0)) for c in ("a", "b")])
+    once = F.when(F.col("a").isNull() | F.col("f_a").isNull(), True).otherwise(F.col("key") == first)
+    reach = 1 - percent / 100 + 1e-9
+    across = few.join(bound.drop("main").withColumn("band", F.explode(own)), ["key", "band"]).filter(
         (F.col("component") != F.col("f_component"))
         & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("f_id")))
-        & may_link(F.least("common", "f_common"))).select(
+        & may_link(F.least("common", "f_common"))
+        & F.coalesce(F.abs(F.col("apart") - F.col("f_apart")) <= reach, F.lit(True)) & once).select(
         F.least("id", "f_id").alias("u"), F.greatest("id", "f_id").alias("v"))
     rarely = shared.join(common.select(F.col("id").alias("u"), "low", "common"), "u").join(common.select(
         F.col("id").alias("v"), F.col("low").alias("f_low"), F.col("common").alias("f_common")), "v").filter(
         may_link(F.least("common", "f_common") + F.col("times"))).select("u", "v")
     across = across.unionByName(rarely).distinct()
     rest = written(across.join(star, ["u", "v"], "left_anti"), scratch(spark, "minhash-rest"))
-    more = written(verified(rest, texts, percent, width), scratch(spark, "minhash-more"))
+    more = verified(rest, texts, percent, width).filter("linked").select("u", "v")
+    more = written(more, scratch(spark, "minhash-more"))
     if more.limit(1).count():
         found = components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))),
                            "minhash-all")
