@@ -25,7 +25,7 @@ from .shared import scratch, written
 
 UNIT = 1_000_000_000
 BLOCK_BITS = 18
-ENTRIES = 200_000  # counters a task holds before it hands them over
+ENTRIES = 500_000  # counters a task holds before it hands them over
 LETTERS = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 PARTIAL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 VECTOR = "array<struct<term: bigint, n: bigint>>"
@@ -37,22 +37,22 @@ def words(text: str | None) -> list[bytes]:
 
 
 def partial_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """``lang, source, term, n, docs``; a NULL term tells that the group occurs."""
+    """``lang, source, term, n, docs``: occurrences and documents, in parts to be added up."""
     read = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in (
         (lang, "lang"), (source, "source"), (text, "text"))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple, tuple[Counter, Counter]] = {}
+        groups: dict[tuple, dict[bytes, int]] = {}
         held = 0
         for batch in batches:
             for language, origin, content in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
-                occurrences, documents = groups.setdefault((language.as_py(), origin.as_py()), (Counter(), Counter()))
+                counts = groups.setdefault((language.as_py(), origin.as_py()), {})
                 found = Counter(words(content.as_py()))
                 found.pop(b"", None)
-                held -= len(documents)
-                occurrences.update(found)
-                documents.update(found.keys())
-                held += len(documents)
+                held -= len(counts)
+                for term, n in found.items():
+                    counts[term] = counts.get(term, 0) + (n << 32) + 1  # occurrences, and documents below
+                held += len(counts)
                 if held > ENTRIES:
                     yield from handed_over(groups)
                     groups, held = {}, 0
@@ -61,10 +61,9 @@ def partial_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFr
 
 
 def handed_over(groups: dict) -> Iterator[pa.RecordBatch]:
-    for (lang, source), (occurrences, documents) in groups.items():
-        terms = [None, *(t.decode("utf-8", "surrogatepass") for t in occurrences)]
-        columns = [[lang] * len(terms), [source] * len(terms), terms, [0, *occurrences.values()],
-                   [0, *(documents[t] for t in occurrences)]]
+    for (lang, source), counts in groups.items():
+        columns = [[lang] * len(counts), [source] * len(counts), [t.decode() for t in counts],
+                   [c >> 32 for c in counts.values()], [c & 0xFFFFFFFF for c in counts.values()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PARTIAL)], schema=PARTIAL)
 
 
