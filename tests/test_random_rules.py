@@ -5,10 +5,10 @@ import random
 import duckdb
 import pytest
 
-from factloom.functions.spec import enum, flag, measure, text, words
+from factloom.functions.spec import RuleError, date, enum, flag, measure, text, words
 from factloom.functions.registry import Registry
 from factloom.operators.providers import Provider
-from factloom.plans import rules
+from factloom.plans import rule_index, rules
 
 ROWS = 400
 
@@ -100,9 +100,69 @@ def test_agree(spark, seed):
         "count(*) OVER () c FROM toy WHERE n IS NOT NULL) WHERE r = floor((c - 1) * 0.5 + 0.5)")
     pairs = [tree(rng) for _ in range(40)]
     made = [rules.Rule(i, {"root": node}) for i, (node, _) in enumerate(pairs)]
-    got = {}
+    got, indexed = {}, {}
     for row in rules.evaluate_all(frame, made, registry).collect():
         got.setdefault(row.rule_id, set()).add(row.item_id)
+    found = rule_index.evaluate_many(frame, made, registry).collect()
+    for row in found:
+        indexed.setdefault(row.rule_id, set()).add(row.item_id)
+    assert indexed == got and len(found) == sum(map(len, got.values()))
     for i, (node, sql) in enumerate(pairs):
         expected = {r[0] for r in db.execute(f"SELECT id FROM toy WHERE {sql}").fetchall()}
         assert got.get(i, set()) == expected, (node, sql)
+
+
+@pytest.mark.parametrize("unknown", ["parity", "null"])
+def test_index_agrees_on_dates_limits_and_scopes(spark, unknown):
+    rng = random.Random(7)
+    registry = Registry([Toy(), Dated()])
+    some = lambda value: None if rng.random() < 0.2 else value
+    rows = [(i, rng.choice(["movie", "show"]), some(1) if i % 9 == 0 else None, rng.choice(["1", "2"]),
+             rng.choice(["Zed", "abc", "É"]), some(rng.randint(1990, 2000)), some(rng.randint(1, 9)),
+             (some(float(rng.randint(-3, 3))), some(rng.choice(["Ab", "bA", "a\U0010ffff", "aé"]))), (some(rng.randint(0, 20) * 43200),))
+            for i in range(300)]
+    frame = spark.createDataFrame(
+        rows, "item_id int, item_type string, deleted_at bigint, library_key string, sort_title string, year int, "
+        "file_size bigint, t struct<n:double,s:string>, d struct<at:bigint>").cache()
+    cmp = lambda key, op, value=None: {"type": "cmp", "key": key, "op": op, "value": value}
+    leaves = [cmp("d.at", "in_last_days", 3), cmp("d.at", "not_in_last_days", 2), cmp("d.at", "before", "1970-01-05"),
+              cmp("t.s", "ends_with", "A"), cmp("t.s", "starts_with", "a\U0010ffff"), cmp("t.s", "ends_with", ""),
+              cmp("t.n", "between", [1, -1]), cmp("t.n", "eq", -0.0), cmp("t.s", "contains", ""), cmp("d.at", "is_not_null")]
+    made = []
+    for i in range(60):
+        part = rng.choice(leaves)
+        node = rng.choice([part, {"type": "not", "child": part}, {"type": "or", "children": rng.sample(leaves, 3)},
+                           {"type": "not", "child": {"type": "and", "children": rng.sample(leaves, 2)}}])
+        made.append(rules.Rule(f"r{i}", {"root": node}, libraries=rng.choice([(), ("2",), ("1", "2")]),
+                               types=rng.choice([("movie",), ("movie", "show"), ()]), limit=rng.choice([None, 1, 7]),
+                               order_by=rng.choice([None, "title", "year", "size", "t.n", "t.s"]),
+                               descending=rng.random() < 0.5, enabled=i % 10 > 0))
+    rows_of = lambda f: sorted((r.rule_id, r.item_id) for r in f.collect())
+    options = {"now": 600_000.0, "unknown": unknown}
+    assert rows_of(rule_index.evaluate_many(frame, made, registry, **options)) == rows_of(
+        rules.evaluate_all(frame, made, registry, **options))
+
+
+class Dated(Provider):
+    id = "dated"
+    facts = (date("d.at"),)
+
+
+def test_index_refuses_what_it_cannot_tell_apart(spark):
+    frame = spark.createDataFrame([], "item_id int, item_type string, deleted_at bigint, library_key string, "
+                                      "t struct<n:double>, d struct<at:bigint>")
+    registry, node = Registry([Toy(), Dated()]), {"type": "cmp", "key": "t.n", "op": "gt", "value": 1}
+    twice = [rules.Rule(1, {"root": node})] * 2
+    for made in (twice, [], [rules.Rule(1, {"root": node}, enabled=False)],
+                 [rules.Rule(1, {"root": {"type": "cmp", "key": "d.at", "op": "in_last_days", "value": 1}})]):
+        with pytest.raises(RuleError):
+            rule_index.evaluate_many(frame, made, registry)
+    assert rule_index.evaluate_many(frame, twice[:1], registry).collect() == []
+    never = rules.Rule(1, {"root": {"type": "const", "value": False}})
+    assert rule_index.evaluate_many(frame, [never], registry).collect() == []
+
+
+def test_dyadic_intervals_cover_each_rank_once():
+    for low, high in ((0, 0), (1, 1), (3, 17), (0, 31), (5, 100)):
+        covered = sorted(r for level, at in rule_index.dyadic(low, high) for r in range(at << level, (at + 1) << level))
+        assert covered == list(range(low, high + 1))

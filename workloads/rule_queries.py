@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom import Rule
 from factloom.functions import thresholds
 from factloom.operators import browse, catalogue, report
-from factloom.plans import rules
+from factloom.plans import rule_index, rules
 
 from . import tables as t
 from .base import query, scratch
@@ -426,3 +426,47 @@ def recent_top_k(spark, sf):
 def recent_of_rule(spark, sf):
     log = t.table(spark, sf, "events").withColumnRenamed("event_type", "rule_id")
     return report.recent(log, 20, "purchase", "ts", "event_id").select("event_id")
+
+
+# ── ten thousand rules ────────────────────────────────────────────────────────
+# Rule i asks for a brand, a size and a price band that depend on i, in one of four forms; every
+# seventh asks also for a price over a share of the library, every fifth keeps its dearest three.
+
+
+def numbered_rule(i: int) -> rules.Rule:
+    brand, size, low = f"Brand#{1 + i % 25}", 1 + i % 50, 900 + i % 1000
+    band = cmp("part.price", "between", [low, low + 40])
+    root = [
+        both(cmp("part.brand", "eq", brand), cmp("part.size", "eq", size)),
+        both(either(cmp("part.brand", "eq", brand), cmp("part.name", "starts_with", "hot")),
+             cmp("part.size", "in", [size, size + 1]), band),
+        both(negate(either(cmp("part.price", "lt", low), cmp("part.price", "gt", low + 40),
+                           cmp("part.brand", "ne", brand))), cmp("part.type", "ne", "PROMO")),
+        both(cmp("part.size", "eq", size), negate(cmp("part.name", "contains", "e")), band),
+    ][i % 4]
+    if i % 7 == 0:
+        root = both(root, agg("part.price", "gte", "percentile", 50))
+    return rule(root, "part", i, order_by="part.price", limit=3 if i % 5 == 0 else None)
+
+
+MANY = 10_000
+
+
+@query("rules_by_thousands", f"""
+    WITH r AS (
+        SELECT i, 'brand#' || (1 + i % 25) AS brand, 1 + i % 50 AS size, 900 + i % 1000 AS low FROM range({MANY}) t(i)
+    ), met AS (
+        SELECT i AS rule_id, p_partkey AS item_id, p_retailprice AS price
+        FROM part JOIN r ON CASE i % 4
+            WHEN 0 THEN lower(p_brand) = brand AND p_size = size
+            WHEN 1 THEN (lower(p_brand) = brand OR starts_with(lower(p_name), 'hot')) AND p_size IN (size, size + 1)
+                        AND p_retailprice BETWEEN low AND low + 40
+            WHEN 2 THEN p_retailprice BETWEEN low AND low + 40 AND lower(p_brand) = brand AND p_type <> 'PROMO'
+            ELSE p_size = size AND NOT contains(lower(p_name), 'e') AND p_retailprice BETWEEN low AND low + 40 END
+        WHERE i % 7 <> 0 OR p_retailprice >= {nearest('part', 'p_retailprice', 0.5)}
+    )
+    SELECT rule_id, item_id FROM met
+    QUALIFY rule_id % 5 <> 0 OR row_number() OVER (PARTITION BY rule_id ORDER BY price DESC, item_id) <= 3""")
+def rules_by_thousands(spark, sf):
+    """Ten thousand rules in a plan whose size does not depend on their number."""
+    return rule_index.evaluate_many(t.parts(spark, sf), map(numbered_rule, range(MANY)), t.REGISTRY)
