@@ -1,9 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, verified exactly.
 
 1. Items and documents become word shingles (five words; a shorter item is one shingle). A
-   window that is as similar to an item as asked shares shingles with it, and the best such
-   window begins with one of them. So windows are opened where a document has a shingle of
-   any item, in the sizes of the items that have this shingle.
+   window that is as similar to an item as asked shares shingles with it. A shingle that no item
+   has weighs most, so a window that begins with one can move on and loses nothing: the best
+   window begins with a shingle of some item, though not always of its own. So windows are
+   opened where a document has a shingle of any item, in the sizes of all items that have a
+   shingle inside the window.
 2. Equal windows are one. Each gets a 64-bit SimHash of its shingles, each shingle with the
    square root of its share in the similarity of step 4 (times x weight).
 3. Fingerprints within ``radius`` of an item's are found by a multi-index: the 64 bits are
@@ -28,7 +30,7 @@ import math
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import scratch, written
@@ -122,12 +124,13 @@ def entered(items: DataFrame, blocks: int, radius: int) -> DataFrame:
                             F.explode(F.transform("near.masks", lambda m: value.bitwiseXOR(m))).alias("value"))
 
 
-def _windows(texts: DataFrame, vocabulary: DataFrame, size: int, width: int, small: bool) -> DataFrame:
+def _windows(texts: DataFrame, vocabulary: DataFrame, size: int, width: int, longest: int, small: bool) -> DataFrame:
     """``id, rev, start, length, window``: shingles from each place of an item's shingle on.
 
-    With a small vocabulary one pass over the texts does: the document's shingles are at hand
-    where a place is found. Else the places are found by a shuffled join, and the documents
-    that have any are joined to them.
+    Opened are the sizes of all items that have a shingle inside. With a small vocabulary one
+    pass over the texts does: a place takes along what follows it, as far as the longest item
+    reaches. Else the places are found by a shuffled join, and the documents that have any are
+    joined to them.
     """
     # the words are a column of their own: inside the lambda they would be made for each shingle
     shingled = texts.select("id", "rev", words_of(F.col("text")).alias("words")).select(
@@ -137,21 +140,29 @@ def _windows(texts: DataFrame, vocabulary: DataFrame, size: int, width: int, sma
         of_size = F.filter("lengths", lambda n: F.least(n, F.lit(width)) == size)
         return places.join(known.withColumn("lengths", of_size).filter(F.size("lengths") > 0), "h")
 
-    def cut(start: Column, length: Column) -> Column:
-        return F.slice("shingles", start + 1, length - F.lit(size - 1))
+    def opened(places: DataFrame, *along: str) -> DataFrame:
+        """A row for each place and each length of an item that has a shingle in that window."""
+        reach = Window.partitionBy("id", "rev").orderBy("start").rangeBetween(0, longest - size)
+        inside = F.flatten(F.transform("inside", lambda p: F.filter(
+            p["lengths"], lambda n: p["start"] + size <= F.col("start") + n)))
+        return places.withColumn("inside", F.collect_list(F.struct("start", "lengths")).over(reach)).select(
+            "id", "rev", "start", *along, F.explode(F.array_distinct(inside)).alias("length"))
+
+    def cut(shingles: str, start: Column, length: Column) -> Column:
+        return F.slice(shingles, start + 1, length - F.lit(size - 1))
     if small:
         places = shingled.select("id", "rev", "shingles", F.posexplode_outer("shingles").alias("start", "h"))
-        return found(places, F.broadcast(vocabulary)).select(
-            "id", "rev", "start", F.explode("lengths").alias("length"), "shingles").select(
-            "id", "rev", "start", "length", cut(F.col("start"), F.col("length")).alias("window"))
+        places = found(places, F.broadcast(vocabulary)).select(
+            "id", "rev", "start", "lengths", cut("shingles", F.col("start"), F.lit(longest)).alias("ahead"))
+        return opened(places, "ahead").select(
+            "id", "rev", "start", "length", cut("ahead", F.lit(0), F.col("length")).alias("window"))
     places = shingled.select("id", "rev", F.posexplode_outer("shingles").alias("start", "h"))
-    by_row = found(places, vocabulary).groupBy("id", "rev").agg(
-        F.collect_set(F.struct("start", "lengths")).alias("places"))
+    by_row = opened(found(places, vocabulary).select("id", "rev", "start", "lengths").distinct()).groupBy("id", "rev").agg(
+        F.collect_set(F.struct("start", "length")).alias("places"))
     by_row = written(by_row, scratch(texts.sparkSession, f"decontam-places-{size}"))
     return by_row.join(shingled, ["id", "rev"]).select(
         "id", "rev", "shingles", F.explode("places").alias("place")).select(
-        "id", "rev", "place.start", "shingles", F.explode("place.lengths").alias("length")).select(
-        "id", "rev", "start", "length", cut(F.col("start"), F.col("length")).alias("window"))
+        "id", "rev", "place.start", "place.length", cut("shingles", F.col("place.start"), F.col("place.length")).alias("window"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, width: int = 5,
@@ -198,11 +209,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75, widt
 
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("rev"), F.col(text).alias("text")).filter(
         F.col("id").isNotNull() & F.col("text").isNotNull())
-    sizes = [r["size"] for r in items.select(F.least("length", F.lit(width)).alias("size")).distinct().collect()]
+    reached = items.groupBy(F.least("length", F.lit(width)).alias("size")).agg(F.max("length").alias("longest")).collect()
+    sizes = {r["size"]: r["longest"] for r in reached}
     looked_up = vocabulary.select("h", "lengths")
     windows = None
-    for size in sorted(sizes) or [width]:
-        shown = _windows(texts, looked_up, size, width, small)
+    for size, longest in sorted(sizes.items()) or [(width, width)]:
+        shown = _windows(texts, looked_up, size, width, longest, small)
         windows = shown if windows is None else windows.unionByName(shown)
     windows = written(windows.withColumns({
         "w1": F.xxhash64("window"), "w2": F.xxhash64(F.lit(1), "window")}), scratch(spark, "decontam-windows"))

@@ -149,15 +149,18 @@ def weighted_similarities(text, items, width=5):
     for i, b in bags.items():
         for h in b:
             postings[h].append(i)
-    weight = lambda h: int(1000 * math.log(1 + len(items) / max(1, len(postings[h]))) + 0.5)
+    weight = lambda h: int(1000 * math.log(1 + len(items) / max(1, len(postings.get(h, ())))) + 0.5)
     total = {i: sum(n * weight(h) for h, n in b.items()) for i, b in bags.items()}
     best = dict.fromkeys(own, 0.0)
+    held = [tuple(doc[i:i + width]) in postings for i in range(len(doc) - width + 1)]
     for length in {len(w) for w in own.values()}:
         for at in range(len(doc) - width + 1):
+            if not any(held[at:at + length - width + 1]):
+                continue
             window = bag(doc[at:at + length])
             common = Counter()
             for h, n in window.items():
-                for i in postings[h]:
+                for i in postings.get(h, ()):
                     common[i] += weight(h) * min(n, bags[i][h])
             size = sum(n * weight(h) for h, n in window.items()) if common else 0
             for i, c in common.items():

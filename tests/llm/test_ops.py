@@ -157,6 +157,24 @@ def test_contamination_of_items_that_share_boilerplate(spark):
     assert not set(got) - set(wanted) and all(abs(wanted[pair] - s) < 1e-3 for pair, s in got.items())
 
 
+def test_contamination_when_the_best_window_begins_with_the_words_of_others(spark):
+    """Item 0 shares four opening words with longer items that begin with twelve of them."""
+    rng = random.Random(12)
+    opening = [f"open{i}" for i in range(12)]
+    own = [f"own{i}" for i in range(44)]
+    items = [(0, " ".join(opening[8:] + own))]
+    items += [(i, " ".join(opening + [f"item{i}x{k}" for k in range(60)])) for i in range(1, 400)]
+    rows = [(c, " ".join(opening + own[:c] + [f"foreign{c}x{k}" for k in range(60)])) for c in (35, 36, 37, 38, 40, 44)]
+    rng.shuffle(rows)
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), brute.documents(spark, rows)
+    wanted = {(d, i): s for d, t in rows for i, s in brute.weighted_similarities(t, items).items() if s >= 0.75}
+    assert {(c, 0) for c in (35, 36, 37, 38, 40, 44)} <= set(wanted)
+    for options in ({}, {"broadcast_rows": 0}):
+        got = {(r["id"], r["item"]): r["common"] / r["total"]
+               for r in simhash_decontam.contamination(docs, bench, **options).collect()}
+        assert set(got) == set(wanted) and all(abs(wanted[pair] - s) < 1e-3 for pair, s in got.items())
+
+
 def test_simhash_and_its_index(spark):
     rng = random.Random(1)
     lists = [[rng.getrandbits(63) - (1 << 62) for _ in range(n)] for n in (1, 7, 40, 300)]
