@@ -3,9 +3,10 @@
 Pages that a rule decides are the labelled outcomes (blocked or not). Their rate is shrunk
 level by level: a public suffix toward all pages, a registered domain toward its suffix, a
 host toward its domain. Each level has a beta prior whose mean is the posterior mean one
-level up and whose strength comes from the spread of the rates on that level (method of
-moments). A host is blocked when the lower bound of its posterior block rate, ``mean -
-z * deviation``, reaches ``threshold``.
+level up and whose strength comes from the spread of the rates on that level, less what single
+pages spread by chance (method of moments of the beta-binomial). A host is blocked when the
+lower bound of its posterior block rate, ``mean - z * deviation``, reaches ``threshold``; this
+is the normal approximation, which is rough for hosts of few pages under a weak prior.
 
 Only counts per host are shuffled, so a host that holds a third of all rows costs one row
 per task. Urls are read without the page content.
@@ -46,11 +47,30 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+# Public suffixes of two labels, under which each site is a domain of its own.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "com.au", "net.au", "org.au", "edu.au", "co.nz", "org.nz",
+    "co.jp", "ne.jp", "or.jp", "ac.jp", "co.kr", "or.kr", "com.cn", "net.cn", "org.cn", "com.tw", "com.hk",
+    "com.sg", "co.in", "net.in", "org.in", "co.za", "org.za", "com.br", "net.br", "org.br", "com.ar", "com.mx",
+    "com.co", "com.tr", "com.ua", "co.il", "org.il",
+)
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The longest of ``suffixes`` that the host is or ends in, else its last label."""
+    labels = F.split(host, r"\.")
+    suffix = F.element_at(labels, -1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        tail = F.substring_index(host, ".", -n)
+        suffix = F.when(tail.isin(*[s for s in suffixes if s.count(".") + 1 == n]), tail).otherwise(suffix)
+    return suffix
+
+
 def domain_of(host: Column, suffix: Column) -> Column:
     """The label before the suffix, and the suffix; a bare suffix is its own domain."""
-    labels = F.split(host, r"\.")
-    return F.when(F.size(labels) < 2, host).otherwise(
-        F.concat_ws(".", F.element_at(labels, -2), suffix))
+    before = F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1)
+    return F.when(host == suffix, host).otherwise(
+        F.concat_ws(".", F.substring_index(before, ".", -1), suffix))
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[Column, Column]:
@@ -67,19 +87,24 @@ def rule_for(host: Column, path: Column, rules: Sequence[UrlRule]) -> tuple[Colu
 
 
 def _strength(least: float, most: float) -> Column:
-    """Prior strength by moments: how much less the rates spread than single pages would.
+    """Prior strength by moments of the beta-binomial, held within ``least`` and ``most``.
 
-    With ``m`` the pooled rate and ``v`` the variance of the rates weighted by pages, the
-    strength is ``m (1 - m) / v - 1``, held within ``least`` and ``most``; ``most`` where
-    the rates do not spread at all.
+    ``S = sum n_i (p_i - p)^2`` over ``k`` members with ``n_i`` of ``N`` pages is
+    ``p (1 - p) (k - 1)`` where single pages alone spread the rates; what is above that gives
+    the correlation ``rho`` of two pages of a member, and the strength ``1 / rho - 1``. It is
+    ``most`` where the members spread no more than by chance, or nothing can be told.
     """
-    mean = F.col("_m")
-    spread = F.col("_v")
-    raw = F.when(spread > 0, mean * (1 - mean) / spread - 1).otherwise(F.lit(most))
+    p, n = F.col("_m"), F.col("_n")
+    chance = p * (1 - p)
+    above = F.col("_q") - n * p * p - chance * (F.col("_k") - 1)
+    room = chance * (n - F.try_divide(F.col("_nn"), n) - (F.col("_k") - 1))
+    told = (n > 0) & (room > 0) & (above > 0)
+    raw = F.when(told, F.try_divide(room, above) - 1).otherwise(F.lit(most))
     return F.greatest(F.lit(least), F.least(F.lit(most), raw))
 
 
-def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0) -> DataFrame:
+def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0,
+               suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Posterior of each host's block rate: ``host, bad, good, mean, deviation``.
 
     ``outcomes`` has ``host`` and ``bad`` (1, 0, or NULL where the page is not labelled).
@@ -90,8 +115,7 @@ def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0) ->
     hosts = outcomes.groupBy(host.alias("host")).agg(
         F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"),
         F.count("bad").cast("double").alias("n"))
-    suffix = F.element_at(F.split("host", r"\."), -1)
-    hosts = hosts.withColumn("suffix", suffix).withColumn(
+    hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes)).withColumn(
         "domain", domain_of(F.col("host"), F.col("suffix")))
 
     domains = hosts.groupBy("suffix", "domain").agg(
@@ -100,13 +124,11 @@ def reputation(outcomes: DataFrame, least: float = 2.0, most: float = 1000.0) ->
 
     def moments(level: DataFrame) -> Column:
         """Pooled rate, and strength of the prior that the level's members get (a scalar)."""
-        rate = F.when(F.col("n") > 0, F.col("bad") / F.col("n"))
-        sums = level.agg(F.sum("bad").alias("_b"), F.sum("n").alias("_n"),
-                         F.sum(rate * rate * F.col("n")).alias("_q"))
-        pooled = F.when(F.col("_n") > 0, F.col("_b") / F.col("_n")).otherwise(F.lit(0.0))
-        sums = sums.select(pooled.alias("_m"), F.when(
-            F.col("_n") > 0, F.col("_q") / F.col("_n") - pooled * pooled
-        ).otherwise(F.lit(0.0)).alias("_v"))
+        seen = F.col("n") > 0
+        sums = level.agg(
+            F.sum("bad").alias("_b"), F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("n")).alias("_nn"),
+            F.sum(F.when(seen, F.col("bad") * F.col("bad") / F.col("n"))).alias("_q"), F.count_if(seen).alias("_k"))
+        sums = sums.withColumn("_m", F.when(F.col("_n") > 0, F.col("_b") / F.col("_n")).otherwise(F.lit(0.0)))
         return sums.select(F.struct(F.col("_m").alias("rate"),
                                     _strength(least, most).alias("strength"))).scalar()
 

@@ -161,27 +161,29 @@ WITH parsed AS (
 ), judged AS (
     SELECT page_id, host, path, rule, ruled FROM parsed LEFT JOIN fitting USING (host, path)
 ), hosts AS (
-    SELECT host, CASE WHEN strpos(host, '.') = 0 THEN host ELSE
-             string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] END AS domain,
-           string_split(host, '.')[-1] AS suffix,
+    SELECT host, suffix, CASE WHEN host = suffix THEN host ELSE
+             string_split(host[:length(host) - length(suffix) - 1], '.')[-1] || '.' || suffix END AS domain,
            coalesce(sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END) FILTER (WHERE ruled IS NOT NULL), 0)::DOUBLE AS bad,
            count(ruled)::DOUBLE AS n
-    FROM judged GROUP BY host
+    FROM (SELECT host, ruled, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SUFFIXES)
+                 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix
+          FROM judged)
+    GROUP BY host, suffix
 ), domains AS (
     SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY domain, suffix
 ), suffixes AS (
     SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY suffix
+), levels AS (
+    SELECT 's' AS level, bad, n FROM suffixes UNION ALL SELECT 'd', bad, n FROM domains UNION ALL SELECT 'h', bad, n FROM hosts
 ), sums AS (
-    SELECT 's' AS level, sum(bad) AS b, sum(n) AS n, sum(CASE WHEN n > 0 THEN bad / n * (bad / n) * n END) AS q FROM suffixes
-    UNION ALL
-    SELECT 'd', sum(bad), sum(n), sum(CASE WHEN n > 0 THEN bad / n * (bad / n) * n END) FROM domains
-    UNION ALL
-    SELECT 'h', sum(bad), sum(n), sum(CASE WHEN n > 0 THEN bad / n * (bad / n) * n END) FROM hosts
-), rates AS (
-    SELECT level, CASE WHEN n > 0 THEN b / n ELSE 0 END AS m,
-           CASE WHEN n > 0 THEN q / n - (b / n) * (b / n) ELSE 0 END AS v FROM sums
+    SELECT level, CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END AS m, sum(n) AS n, sum(n * n) AS nn,
+           sum(bad * bad / n) FILTER (WHERE n > 0) AS q, count(*) FILTER (WHERE n > 0) AS k
+    FROM levels GROUP BY level
+), moments AS (
+    SELECT level, m, n, q - n * m * m - m * (1 - m) * (k - 1) AS above, m * (1 - m) * (n - nn / n - (k - 1)) AS room FROM sums
 ), priors AS (
-    SELECT level, m, greatest(2.0, least(1000.0, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END)) AS s FROM rates
+    SELECT level, m, greatest(2.0, least(1000.0, CASE WHEN n > 0 AND room > 0 AND above > 0 THEN room / above - 1 ELSE 1000 END)) AS s
+    FROM moments
 ), of_suffix AS (
     SELECT suffix, (bad + m * s) / (n + s) AS mean FROM suffixes, priors WHERE level = 's'
 ), of_domain AS (
@@ -194,7 +196,7 @@ WITH parsed AS (
 SELECT page_id, host, path, rule, coalesce(ruled, CASE
            WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged JOIN of_host USING (host)
-""")
+""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in host_reputation.SUFFIXES)))
 def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_reputation.judge(table(spark, sf_dir, "pages"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")

@@ -323,6 +323,32 @@ def test_reputation_shrinks(spark):
     assert all(0 <= r["mean"] <= 1 and r["bad"] + r["good"] >= 0 for r in got.values())
 
 
+@pytest.mark.parametrize("pages", [1, 3])
+def test_hosts_of_equal_chances_are_shrunk_to_one_rate(spark, pages):
+    """Every page is blocked with the same chance: a host of few pages says nothing about itself."""
+    rng = random.Random(pages)
+    rows = [(f"h{i}.com", int(rng.random() < 0.3)) for i in range(3000) for _ in range(pages)]
+    got = host_reputation.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()
+    assert len(got) == 3000 and all(abs(r["mean"] - 0.3) < 0.1 for r in got)
+    assert all(r["mean"] - 1.645 * r["deviation"] < 0.5 for r in got)
+
+
+def test_hosts_that_differ_keep_their_rates(spark):
+    rng = random.Random(6)
+    rows = [(f"h{i}.com", int(rng.random() < (0.95 if i % 2 else 0.05))) for i in range(300) for _ in range(20)]
+    got = host_reputation.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()
+    assert all((r["mean"] > 0.6) == bool(int(r["host"][1:-4]) % 2) for r in got)
+
+
+def test_suffixes_of_two_labels(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "uk", "a.b.com", "x.notco.uk", "", "a."]
+    suffix = host_reputation.suffix_of(F.col("host"))
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select(
+        suffix, host_reputation.domain_of(F.col("host"), suffix)).collect()
+    assert [tuple(r) for r in got] == [("co.uk", "b.co.uk"), ("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("uk", "uk"),
+                                       ("com", "b.com"), ("uk", "notco.uk"), ("", ""), ("", "a.")]
+
+
 def test_judge(spark):
     rules = [host_reputation.UrlRule("block", "bad.com"), host_reputation.UrlRule("allow", "com", "/ok/"),
              host_reputation.UrlRule("allow", "ok.bad.com"), host_reputation.UrlRule("allow", "org")]
