@@ -138,16 +138,45 @@ def test_pipeline_stage_by_stage(spark):
 
 def test_pipeline_of_odd_rows(spark):
     """NULLs in any column, repeated rows and ids, clashing names; and an empty table."""
-    rows = [(1, "one two three four five six seven eight", "a"), (1, "one two three four five six seven eight", "a"),
-            (2, None, None), (3, "", "b"), (None, "a row without an id but with words", None), (None, None, "a"),
-            (1, "another text under the first id", "b"), (4, "x " * 20_000, "a")]
-    for docs in (brute.documents(spark, rows), brute.documents(spark, [])):
+    eight = "one two three four five six seven eight"
+    item = table(spark, SF, "benchmark").orderBy("item_id").first()["text"]
+    rows = [(1, eight, "a"), (1, eight, "a"), (7, eight, "b"), (2, None, None), (3, "", "b"), (None, None, "a"), (None, None, "a"),
+            (None, "a row without an id but with words", None), (None, "a row without an id but with words", None),
+            (1, "another text under the first id", "b"), (4, "x " * 20_000, "a"), (5, item, "a"), (5, "harmless words here", "a")]
+    kept = {}
+    for case, docs in (("rows", brute.documents(spark, rows)), ("none", brute.documents(spark, []))):
         for name, stage in corpus_pipeline.STAGES:
             columns = docs.columns
             docs = stage(spark, docs, SF)
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert docs.columns == columns
-        docs.collect()
+                kept[case, name] = sorted(((r["doc_id"], r["text"], r["source"]) for r in docs.collect()), key=repr)
+            else:
+                kept[case, name] = sorted((r["doc_id"] for r in docs.collect()), key=repr)
+    assert not any(found for (case, _), found in kept.items() if case == "none")
+    assert kept["rows", "toxicity"] == sorted(rows, key=repr)
+    alone = [(1, eight, "a"), (1, "another text under the first id", "b"), (4, "x " * 20_000, "a"), (5, item, "a"),
+             (5, "harmless words here", "a"), (None, "a row without an id but with words", None), (2, None, None), (3, "", "b"),
+             (None, None, "a"), (None, None, "a")]
+    # of the copies one stays, under its own id, since id 1 has another text, too
+    assert kept["rows", "near duplicates"] in (
+        sorted(alone, key=repr), sorted([(7, eight, "b") if r == (1, eight, "a") else r for r in alone], key=repr))
+    clean = [r for r in kept["rows", "near duplicates"] if r[1] != item]
+    assert kept["rows", "benchmark decontamination"] == clean
+    mixed = kept["rows", "mixing to target weights"]
+    assert set(mixed) <= {r for r in clean if (r[1] or "").strip()} and max(map(mixed.count, mixed)) <= 2
+    assert kept["rows", "token ids"] == sorted((r[0] for r in mixed), key=repr)
+
+
+def test_mixing_takes_repeated_rows_one_by_one(spark):
+    rows = [(d, f"text of {d} " * 5, s) for d in range(40) for s in ("a", "b") for _ in range(1 + d % 3)]
+    docs = brute.documents(spark, rows)
+    mixed = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
+    size, target = brute.targets(rows)
+    for source in ("a", "b"):
+        taken = sum(len(t.split()) for _, t, s in mixed if s == source)
+        assert abs(taken - target[source]) <= 0.05 * target[source] + 20
+    assert all(mixed.count(r) <= 2 * rows.count(r) for r in set(mixed))
 
 
 def test_toxicity_stage_without_labels_or_words(spark, tmp_path, monkeypatch):
