@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.joins import left_lookup
+from ..functions.lookup import constant, in_order, ranker
 from ..functions.scalars import filled
 
 MAPPED, MISSING, UNMAPPED, UNKNOWN = "mapped", "missing", "unmapped", "unknown"
@@ -35,32 +37,102 @@ def mapping_table(spark: SparkSession, mappings: Sequence[tuple[str, str]] | Dat
         "local": pa.array([m[1] for m in mappings], pa.string())}))
 
 
-def _unmapped_world(table: DataFrame) -> Column:
-    """Whether there is no mapping at all (a scalar)."""
-    return table.agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
+@dataclass(frozen=True)
+class Prefixes:
+    """Mappings by prefix; ``few`` has them as rows where they are few, else it is None.
 
+    A mapping that lacks one of its sides is none.
+    """
 
-def translate(items: DataFrame, mappings: Sequence[tuple[str, str]] | DataFrame,
+    table: DataFrame
+    few: tuple | None
+    world: Column
+
+    @classmethod
+    def of(cls, spark: SparkSession, mappings, most: int = 10_000) -> Prefixes:
+        """``most``: how many mappings the driver takes; more are joined."""
+        if isinstance(mappings, Prefixes):
+            return mappings
+        given = mapping_table(spark, mappings).filter("source IS NOT NULL AND local IS NOT NULL")
+        source = F.col("source")
+        windows = is_windows(source)
+        prefix = F.regexp_replace(source, r"[\\/]+$", "")
+        table = given.select(
+            F.when(windows, F.lower(prefix)).otherwise(prefix).alias("_prefix"), windows.alias("_windows"),
+            F.struct(F.length(source).alias("size"), F.length(prefix).alias("cut"),
+                     F.col("local").alias("local")).alias("_map"))
+        rows = table.limit(most + 1).collect()
+        best = table.groupBy("_prefix", "_windows").agg(F.max("_map").alias("_map"))
+        if len(rows) > most:
+            return cls(best, None, F.lit(False))
+        return cls(best, tuple(rows), F.lit(not rows))
+
+
+def _ranges(prefixes: dict[str, int], sep: str) -> tuple[list[str], list[int]]:
+    """Nested prefixes as disjoint ranges: where each begins, and its longest prefix (-1: none).
+
+    A prefix holds itself and all that goes on with a separator.
+    """
+    after = chr(ord(sep) + 1)
+    starts = in_order((start for p in prefixes for start in (p, p + "\0", p + sep, p + after)), texts=True)
+
+    def longest(text: str) -> int:
+        at = len(text)
+        while at >= 0:
+            if (found := prefixes.get(text[:at])) is not None:
+                return found
+            at = text.rfind(sep, 0, at)
+        return -1
+    return starts, [longest(s) for s in starts]
+
+
+def _placed(few: tuple, whole: Column) -> Column:
+    """``(size, cut, local)`` of the mapping with the longest prefix of a path, by two searches."""
+    found = []
+    for windows, text, sep in ((False, whole, "/"), (True, F.lower(whole), "\\")):
+        best: dict[str, tuple] = {}
+        for row in few:
+            if row["_windows"] == windows:
+                best[row["_prefix"]] = max(best.get(row["_prefix"], (-1,)), tuple(row["_map"]))
+        if not best:
+            continue
+        starts, owner = _ranges({p: i for i, p in enumerate(best)}, sep)
+        at = F.shiftright(ranker(starts, "string")(text), 1) - 1
+        number = F.when(at >= 0, F.get(constant(owner, "array<int>"), at)).otherwise(-1)
+        sizes, cuts, locals_ = (list(v) for v in zip(*best.values()))
+        found.append(F.when(number >= 0, F.struct(
+            F.get(constant(sizes, "array<int>"), number).alias("size"),
+            F.get(constant(cuts, "array<int>"), number).alias("cut"),
+            F.get(constant(locals_, "array<string>"), number).alias("local"))))
+    none = F.lit(None).cast("struct<size: int, cut: int, local: string>")
+    return F.greatest(*found) if len(found) == 2 else found[0] if found else none
+
+
+def translate(items: DataFrame, mappings: Sequence[tuple[str, str]] | DataFrame | Prefixes,
               path: str = "source_path", out: str = "local_path",
               item_id: str = "item_id") -> DataFrame:
     """Longest matching prefix wins; without any mapping a path stands for itself.
 
     ``mappings`` are (source prefix, local prefix) pairs, or a frame with the columns
     ``source`` and ``local``; both, and an empty one, are treated alike. Of several mappings
-    of one prefix the greatest local prefix is taken. Each path is looked up under every
-    prefix of itself that ends before a separator.
+    of one prefix the greatest local prefix is taken. Up to 10,000 mappings become disjoint
+    ranges of texts, among which each path is searched where it lies. More are joined: each path
+    is looked up under every prefix of itself that ends before a separator.
     """
-    given = mapping_table(items.sparkSession, mappings)
-    source = F.col("source")
-    windows = is_windows(source)
-    prefix = F.regexp_replace(source, r"[\\/]+$", "")
-    table = given.select(
-        F.when(windows, F.lower(prefix)).otherwise(prefix).alias("_prefix"),
-        windows.alias("_windows"),
-        F.struct(F.length(source).alias("size"), F.length(prefix).alias("cut"),
-                 F.col("local").alias("local")).alias("_map"),
-    ).groupBy("_prefix", "_windows").agg(F.max("_map").alias("_map"))
+    known = Prefixes.of(items.sparkSession, mappings)
+    whole = F.col(path)
+    if known.few is not None:
+        placed = items.withColumn("_map", F.when(filled(whole).isNotNull(), _placed(known.few, whole)))
+    else:
+        placed = _joined(items, known.table, path, item_id)
+    return placed.withColumn(
+        out, F.when(known.world, filled(whole)).when(F.col("_map").isNotNull(), _under(
+            F.col("_map.local"),
+            F.substring(whole, F.col("_map.cut") + 1, F.length(whole))))
+    ).drop("_map")
+
 
+def _joined(items: DataFrame, table: DataFrame, path: str, item_id: str) -> DataFrame:
     def ancestors(text, sep, windows):
         pieces = F.split(text, "\\\\" if sep == "\\" else sep)
         return F.transform(
@@ -75,11 +147,7 @@ def translate(items: DataFrame, mappings: Sequence[tuple[str, str]] | DataFrame,
             ancestors(whole, "/", False), ancestors(F.lower(whole), "\\", True)))))
     best = probes.join(table, ["_prefix", "_windows"]).groupBy(item_id).agg(
         F.max("_map").alias("_map"))
-    return items.join(best, item_id, "left").withColumn(
-        out, F.when(_unmapped_world(given), filled(whole)).when(F.col("_map").isNotNull(), _under(
-            F.col("_map.local"),
-            F.substring(whole, F.col("_map.cut") + 1, F.length(whole))))
-    ).drop("_map")
+    return items.join(best, item_id, "left")
 
 
 def resolve(items: DataFrame, mappings, manifest: DataFrame, path: str = "source_path",
@@ -89,13 +157,13 @@ def resolve(items: DataFrame, mappings, manifest: DataFrame, path: str = "source
     A path that is absent while there is no mapping at all counts as unmapped: what is
     missing there is the mapping, not the file.
     """
-    translated = translate(items, mappings, path, "local_path", item_id)
+    known = Prefixes.of(items.sparkSession, mappings)
+    translated = translate(items, known, path, "local_path", item_id)
     extra = [c for c in manifest.columns if c not in ("path", "size", "mtime")]
     found = manifest.select(
         F.col("path").alias("local_path"), F.col("size").alias("file_size"),
         F.col("mtime").alias("file_mtime"), *extra, F.lit(True).alias("_there"))
-    given = mapping_table(items.sparkSession, mappings)
-    absent = F.when(_unmapped_world(given), UNMAPPED).otherwise(MISSING)
+    absent = F.when(known.world, UNMAPPED).otherwise(MISSING)
     status = (
         F.when(filled(F.col(path)).isNull(), UNKNOWN)
         .when(F.col("local_path").isNull(), UNMAPPED)

@@ -9,7 +9,7 @@ marked deleted and keep their facts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 KEY = ["library_key", "rating_key"]
 
@@ -26,7 +26,30 @@ def apply(items: DataFrame, snapshot: DataFrame, libraries: list[str], run_at: i
     row and the others become new rows; when several candidates share a guid, the greatest
     id is taken. Groups are reduced before they are joined, so a guid shared by many rows
     never meets in one task.
+
+    The two frames are computed apart; ``store`` writes the one and counts along.
+    """
+    both, columns, counts = _matched(items, snapshot, libraries, run_at, run_id, new_id)
+    return both.select(*columns), both.agg(*counts)
+
+
+def store(items: DataFrame, snapshot: DataFrame, libraries: list[str], run_at: int, run_id: int, path: str,
+          new_id: Column | None = None, **options) -> tuple[DataFrame, dict[str, int]]:
+    """The new catalogue written to ``path`` and read back, and its change counts, in one execution.
+
+    The counts are observed on the rows that are written. ``options`` are those of
+    ``catalogue.write``; the written rows do not depend on the catalogue at another path.
     """
+    from . import catalogue
+
+    both, columns, counts = _matched(items, snapshot, libraries, run_at, run_id, new_id)
+    seen = Observation("reconcile")
+    catalogue.write(both.observe(seen, *counts).select(*columns), path, **options)
+    return catalogue.read(items.sparkSession, path), seen.get
+
+
+def _matched(items, snapshot, libraries, run_at, run_id, new_id) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Old and new rows side by side, the columns of the new catalogue, and the counts."""
     incoming = snapshot.filter(F.col("library_key").isin(*libraries))
     assigned = _assign(items, incoming)
 
@@ -65,13 +88,11 @@ def apply(items: DataFrame, snapshot: DataFrame, libraries: list[str], run_at: i
         return F.col(f"old.{name}").alias(name)
 
     assert set(keeps) <= set(items.columns)
-    result = both.select(*[column(c) for c in items.columns])
-
     changed = F.lit(False)
     if "file_fp" in updates:
         changed = seen & ~added & F.col("new.file_fp").isNotNull() & ~F.col(
             "new.file_fp").eqNullSafe(F.col("old.file_fp"))
-    counts = both.agg(
+    counts = [
         F.count_if(seen).alias("seen"),
         F.count_if(added).alias("added"),
         F.count_if(F.col("change") == "updated").alias("updated"),
@@ -79,8 +100,8 @@ def apply(items: DataFrame, snapshot: DataFrame, libraries: list[str], run_at: i
         F.count_if(gone).alias("removed"),
         F.count_if(seen & F.col("old.deleted_at").isNotNull()).alias("resurrected"),
         F.count_if(changed).alias("changed_files"),
-    )
-    return result, counts
+    ]
+    return both, [column(c) for c in items.columns], counts
 
 
 def _assign(items: DataFrame, incoming: DataFrame) -> DataFrame:

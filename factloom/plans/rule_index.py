@@ -16,7 +16,6 @@ facts that rules use, not on the rules.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import thresholds
+from ..functions.lookup import constant, in_order, ranker
 from ..functions.predicates import SECONDS_PER_DAY, comparable, operator_of
 from ..functions.registry import Registry
 from ..functions.spec import FactSpec, FactType, RuleError
@@ -53,8 +53,7 @@ class View:
     at: dict = field(default_factory=dict)
 
     def settle(self) -> None:
-        rank = (lambda x: x.encode("utf-8", "surrogatepass")) if self.texts else (lambda x: (math.isnan(x), x))
-        self.order = sorted(self.bounds, key=rank)
+        self.order = in_order(self.bounds, self.texts)
         self.at = {b: 2 * i + 2 for i, b in enumerate(self.order)}
 
     @property
@@ -324,32 +323,6 @@ STEP = pa.struct([("op", pa.int8()), ("view", pa.int32()), ("needle", pa.string(
 PLACE = pa.struct([("view", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 
 
-def _ranker(bounds: Column, count: int):
-    """Makes the rank of one known value among sorted bounds, by binary search."""
-    start = F.struct(F.lit(0).alias("low"), F.lit(count).alias("high"))
-    steps = F.sequence(F.lit(1), F.lit(count.bit_length() + 1))
-
-    def rank(value: Column) -> Column:
-        def halve(s, _):
-            middle = ((s["low"] + s["high"]) / 2).cast("int")
-            open_ = s["low"] < s["high"]
-            less = open_ & F.coalesce(F.get(bounds, middle) < value, F.lit(False))
-            return F.struct(F.when(less, middle + 1).otherwise(s["low"]).alias("low"),
-                            F.when(open_ & ~less, middle).otherwise(s["high"]).alias("high"))
-        at = F.aggregate(steps, start, halve, lambda s: s["low"])
-        return 2 * at + F.when(F.get(bounds, at).eqNullSafe(value), 2).otherwise(1)
-    return rank
-
-
-def _constant(values: list, kind: str) -> Column:
-    """An array as one literal of the plan: Spark cuts the text once, when it folds constants."""
-    if not values:
-        return F.array().cast(kind)
-    texts = [v if isinstance(v, str) else repr(v) for v in values]
-    mark = next(c for c in map(chr, range(1, 0x110000)) if not any(c in t for t in texts))
-    return F.split(F.lit(mark.join(texts)), rf"\x{{{ord(mark):x}}}", -1).cast(kind)
-
-
 def _within(ranks: Column, ranges: Column) -> Column:
     return F.exists(ranges, lambda r: F.exists(ranks, lambda k: (k >= r["low"]) & (k <= r["high"])))
 
@@ -438,14 +411,14 @@ def _matches(items: DataFrame, index: Index, entries: tuple[DataFrame, list[list
     """``rule_id``, the item's key, and what rules with a limit sort by."""
     ranks, held = [], []
     for view in index.views.values():
-        one = _ranker(_constant(view.order, "array<string>" if view.texts else "array<double>"), len(view.order))
+        one = ranker(view.order, "string" if view.texts else "double")
         known = F.transform(F.array_compact(view.value), one) if view.many else F.array(one(view.value))
         ranks.append(F.when(view.value.isNull(), F.array(F.lit(UNKNOWN))).otherwise(known))
         held.append(view.value if view.needled else F.lit(None).cast("string"))
     ranked = items.select(F.col(key).alias("_key"), F.array(*ranks).alias("_ranks"), F.array(*held).alias("_held"),
                           sort_values.alias("_sort"), F.col("item_id").alias("_tie"))
     entries, entered = entries
-    levels = F.array(*[_constant(own, "array<int>") for own in entered])
+    levels = F.array(*[constant(own, "array<int>") for own in entered])
     probes = F.flatten(F.transform("_ranks", lambda own, view: F.flatten(F.transform(
         F.get(levels, view),
         lambda level: F.transform(F.array_distinct(own), lambda rank: F.struct(

@@ -482,6 +482,45 @@ def test_fact_table(spark, tmp_path):
     assert stored(packed) == stored(path) and facts.read_patches(spark, packed).count() == 2
 
 
+def test_ranges_and_joins_place_paths_alike(spark):
+    import random
+    rng = random.Random(11)
+    name = lambda: rng.choice(["a", "b", "ab", "a-", "a.", "é", "", ".", "A"])
+    made = lambda sep, n: sep.join(name() for _ in range(rng.randint(1, n)))
+    mappings = [("/", "/root"), ("/a", "/x"), ("/a/b", None), (None, "/y")]
+    mappings += [(rng.choice(["/", ""]) + made("/", 3), f"/l{i}") for i in range(30)]
+    mappings += [("C:\\" + made("\\", 3), f"/w{i}") for i in range(20)]
+    rows = [(i, rng.choice(["/", "", "C:\\", "c:\\"]) + made(rng.choice("/\\"), 5)) for i in range(600)]
+    items = spark.createDataFrame(rows + [(-1, None), (-2, "")], "item_id int, source_path string")
+    for some in (mappings, mappings[:1], mappings[1:3], mappings[40:], []):
+        some = spark.createDataFrame(some, "source string, local string")
+        by = {most: paths.Prefixes.of(spark, some, most) for most in (0, 100)}
+        found = [sorted(map(repr, paths.translate(items, p).collect())) for p in by.values()]
+        assert found[0] == found[1] and len(found[0]) == len(rows) + 2
+
+
+def test_nested_prefixes_are_disjoint_ranges():
+    starts, owner = paths._ranges({"/a": 0, "/a/b": 1}, "/")
+    place = lambda text: owner[max(i for i, s in enumerate(starts) if s <= text)] if text >= starts[0] else -1
+    assert [place(t) for t in ("/", "/a", "/a-", "/a.", "/a/", "/a/b", "/a/b!", "/a/b/c", "/a/b0", "/a/c", "/a0", "/b")] == [
+        -1, 0, -1, -1, 0, 1, 0, 1, 0, 0, -1, -1]
+
+
+def test_stored_reconcile_counts_what_it_writes(spark, tmp_path):
+    from factloom.operators import reconcile
+    schema = ("item_id string, library_key string, item_type string, rating_key string, guid string, title string, "
+              "first_seen bigint, last_seen bigint, seen_run bigint, deleted_at bigint")
+    old = spark.createDataFrame([("i1", "1", "movie", "k1", "g1", "One", 1, 1, 1, None),
+                                 ("i2", "1", "movie", "k2", "g2", "Two", 1, 1, 1, None),
+                                 ("i3", "2", "movie", "k3", "g3", "Three", 1, 1, 1, None)], schema)
+    new = spark.createDataFrame([("1", "k1", "g1", "One!"), ("1", "k9", "g2", "Two"), ("1", "k5", "g5", "Five")],
+                                "library_key string, rating_key string, guid string, title string")
+    written, seen = reconcile.store(old, new, ["1"], 50, 9, str(tmp_path / "catalogue"))
+    rows, counts = reconcile.apply(old, new, ["1"], 50, 9)
+    assert seen == counts.first().asDict() and seen["added"] == seen["rotated"] == seen["updated"] == 1
+    assert sorted(map(repr, written.select(rows.columns).collect())) == sorted(map(repr, rows.collect()))
+
+
 def test_stores_keep_their_buckets_and_repeat_runs(spark, tmp_path):
     from factloom.operators.store import Store
     path = str(tmp_path / "store")

@@ -13,7 +13,7 @@ from factloom.plans import staleness
 from factloom.sources import files, payloads, snapshot
 
 from . import tables as t
-from .base import query, scratch
+from .base import ORACLES, query, scratch
 
 # ── snapshots and payload tables ──────────────────────────────────────────────
 
@@ -478,6 +478,27 @@ def reconcile_counts(spark, sf):
     return reconciled(spark, sf)[1]
 
 
+def reconciled_once(spark, sf):
+    items = before(spark, sf).withColumn("item_type", F.lit("order"))
+    return reconcile.store(items, after(spark, sf), ["P", "F"], RUN_AT, RUN_ID, scratch(spark, "catalogue"),
+                           new_id=F.col("rating_key").cast("bigint"))
+
+
+@query("reconcile_stored", ORACLES["reconcile_rows"])
+def reconcile_stored(spark, sf):
+    """The catalogue as it is written, with its counts observed on the way."""
+    return reconciled_once(spark, sf)[0].select(
+        "item_id", "library_key", "rating_key", "title", "file_fp", "first_seen", "last_seen",
+        "seen_run", "deleted_at", "order.price")
+
+
+@query("reconcile_observed", ORACLES["reconcile_counts"])
+def reconcile_observed(spark, sf):
+    """The counts that were observed while the catalogue was written."""
+    counts = reconciled_once(spark, sf)[1]
+    return spark.range(1).select(*[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()])
+
+
 # ── staleness ─────────────────────────────────────────────────────────────────
 
 
