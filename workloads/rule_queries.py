@@ -449,12 +449,12 @@ def numbered_rule(i: int) -> rules.Rule:
     return rule(root, "part", i, order_by="part.price", limit=3 if i % 5 == 0 else None)
 
 
-MANY = 10_000
+NUMBERED = 10_000
 
 
-@query("rules_by_thousands", f"""
+@query("many_rules_indexed", f"""
     WITH r AS (
-        SELECT i, 'brand#' || (1 + i % 25) AS brand, 1 + i % 50 AS size, 900 + i % 1000 AS low FROM range({MANY}) t(i)
+        SELECT i, 'brand#' || (1 + i % 25) AS brand, 1 + i % 50 AS size, 900 + i % 1000 AS low FROM range({NUMBERED}) t(i)
     ), met AS (
         SELECT i AS rule_id, p_partkey AS item_id, p_retailprice AS price
         FROM part JOIN r ON CASE i % 4
@@ -467,6 +467,6 @@ MANY = 10_000
     )
     SELECT rule_id, item_id FROM met
     QUALIFY rule_id % 5 <> 0 OR row_number() OVER (PARTITION BY rule_id ORDER BY price DESC, item_id) <= 3""")
-def rules_by_thousands(spark, sf):
+def many_rules_indexed(spark, sf):
     """Ten thousand rules in a plan whose size does not depend on their number."""
-    return rule_index.evaluate_many(t.parts(spark, sf), map(numbered_rule, range(MANY)), t.REGISTRY)
+    return rule_index.evaluate_many(t.parts(spark, sf), map(numbered_rule, range(NUMBERED)), t.REGISTRY)
