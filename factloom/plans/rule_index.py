@@ -362,6 +362,8 @@ def evaluate_many(items: DataFrame, rules: Iterable[Rule], registry: Registry, *
     requests = [q for r, t in zip(rules, trees) for q in plain.requests_of(t["root"], registry, r.scope_key)]
     scopes = {key: r.scope for key, r in {r.scope_key: r for r in rules}.items()}
     found = thresholds.compute(items, requests, scopes)
+    # rows outside all scopes meet no rule: this filter is one the scan can prune by
+    items = items.filter(reduce(Column.__or__, scopes.values()))
     index = Index(registry, found, now, unknown)
     built = [(r, index.scoped(r)) for r in rules]
     for view in index.views.values():

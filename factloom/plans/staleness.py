@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import digest, yes
@@ -66,9 +68,14 @@ def provenance_rows(results: DataFrame, provider, now: int) -> DataFrame:
 
 
 def run(items: DataFrame, provenance: DataFrame, provider, sources: dict, now: float,
-        force: bool = False) -> DataFrame:
-    """Results of one provider over what is due: (item_id, status, reason, input_fp, structs)."""
-    eligible, skipped = split_eligible(stale(items, provenance, provider, now, force), provider)
+        force: bool = False, hold: Callable[[DataFrame], DataFrame] = lambda due: due) -> DataFrame:
+    """Results of one provider over what is due: (item_id, status, reason, input_fp, structs).
+
+    ``hold`` stores what is due and gives the table back, so that the join that tells is made
+    once, and not for the eligible and for the skipped items.
+    """
+    due = hold(stale(items, provenance, provider, now, force))
+    eligible, skipped = split_eligible(due, provider)
     done = provider.compute(eligible, sources)
     return done.unionByName(skipped, allowMissingColumns=True)
 
@@ -87,18 +94,20 @@ def in_order(providers) -> list:
 
 
 def run_all(items: DataFrame, provenance: DataFrame, providers, sources: dict, now: float,
-            keep, force: bool = False) -> tuple[DataFrame, DataFrame]:
+            keep, force: bool = False, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame
+            ) -> tuple[DataFrame, DataFrame]:
     """Every provider over what is due for it, in the order of their dependencies.
 
     A provider sees the facts of those before it. ``keep(provider, results)`` stores the
     results of one provider as a table and gives that table back, so that nothing is computed
-    twice. Returns the items with the new facts laid over, and the merged provenance.
+    twice; ``hold(frame)`` does so for what is due and for the provenance between providers.
+    Returns the items with the new facts laid over, and the merged provenance.
     """
     from ..operators.facts import lay_over, merge_provenance
 
     for provider in in_order(providers):
-        results = keep(provider, run(items, provenance, provider, sources, now, force))
+        results = keep(provider, run(items, provenance, provider, sources, now, force, hold))
         spaces = sorted({spec.namespace for spec in provider.facts} & set(results.columns))
         items = lay_over(items, results.filter(F.col("status") == "ok"), spaces)
-        provenance = merge_provenance(provenance, provenance_rows(results, provider, int(now)))
+        provenance = hold(merge_provenance(provenance, provenance_rows(results, provider, int(now))))
     return items, provenance

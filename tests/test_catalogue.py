@@ -482,6 +482,24 @@ def test_fact_table(spark, tmp_path):
     assert stored(packed) == stored(path) and facts.read_patches(spark, packed).count() == 2
 
 
+def test_walk_finds_empty_files(spark, tmp_path):
+    deep = tmp_path / "root" / "a" / "b"
+    deep.mkdir(parents=True)
+    (tmp_path / "root" / "void").mkdir()
+    for folder, name, content in ((deep, "empty.mkv", ""), (deep, ".hidden", "x"), (deep.parent, "one.mkv", "123"),
+                                  (tmp_path / "root", "note.txt", "é")):
+        (folder / name).write_text(content)
+    from workloads.base import scratch
+    scratch(spark, "walk")  # names a shared folder where the session has none
+    found = {(r.path[len(str(tmp_path)):], r.size) for r in files.manifest(spark, str(tmp_path / "root"), mounted=True).collect()}
+    assert found == {("/root/a/b/empty.mkv", 0), ("/root/a/one.mkv", 3), ("/root/note.txt", 2)}
+    films = files.manifest(spark, f"file:{tmp_path}/root", "*.mkv", mounted=True)
+    items = spark.createDataFrame([(1, "/m/a/b/empty.mkv"), (2, "/m/a/gone.mkv")], "item_id int, source_path string")
+    status = {r.item_id: r.path_status for r in paths.resolve(items, [("/m", f"{tmp_path}/root")], films).collect()}
+    assert status == {1: "mapped", 2: "missing"}
+    assert files.manifest(spark, str(tmp_path / "nowhere"), mounted=True).collect() == []
+
+
 def test_ranges_and_joins_place_paths_alike(spark):
     import random
     rng = random.Random(11)

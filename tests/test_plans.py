@@ -17,7 +17,8 @@ def plan_of(spark, name):
 
 
 WRITES = {"membership_table", "refresh_equals_batch", "fact_table", "scope_partitioned",
-          "fact_store_merge", "prov_table", "stale_stored", "reconcile_stored", "reconcile_observed"}
+          "fact_store_merge", "prov_table", "stale_stored", "reconcile_stored", "reconcile_observed", "file_manifest",
+          "scan_run", "scan_all", "history_appended"}
 
 
 @pytest.mark.parametrize("name", sorted(set(contract.workloads.QUERIES) - WRITES))

@@ -136,6 +136,22 @@ def fingerprint(spark, sf):
     return files.with_fingerprint(rows).select("doc_id", "file_fp")
 
 
+@query("file_manifest", """
+    SELECT coalesce(source, '') AS folder, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size, false AS empty
+    FROM documents GROUP BY 1 UNION ALL SELECT '_SUCCESS', 0, true""")
+def file_manifest(spark, sf):
+    """The documents as text files, a folder a source, found by walking; the mark of success is empty."""
+    root = scratch(spark, "texts")
+    t.table(spark, sf, "documents").select(
+        F.coalesce("source", F.lit("")).alias("folder"), F.coalesce("text", F.lit("")).alias("value")).write.partitionBy(
+        "folder").text(root)
+    found = files.manifest(spark, root, mounted=True)
+    folder = F.regexp_extract("path", "/(?:folder=([^/]*)/[^/]*|(_[^/]*))$", 1)
+    mark = F.regexp_extract("path", "/(?:folder=([^/]*)/[^/]*|(_[^/]*))$", 2)
+    return found.groupBy(F.when(mark != "", mark).otherwise(folder).alias("folder")).agg(
+        F.sum("size").alias("size"), (F.max("size") == 0).alias("empty"))
+
+
 MAPPINGS = [("https://www.", "/mnt/www"), ("http://", "/mnt/plain"), ("http://blog.", "/mnt/blog"),
             ("https://m.ththth.example.net/en", "/mnt/m/en/")]
 # A prefix has to end where a component ends, so "http://blog." covers nothing.
@@ -587,6 +603,55 @@ def eligible_split(spark, sf):
         skipped.select("item_id", "status", "reason"))
 
 
+def held(spark):
+    """Stores a frame and gives the table back."""
+    def hold(frame):
+        path = scratch(spark, "held")
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+    return hold
+
+
+class DocSize(Provider):
+    """Depends on what ``DocText`` has found."""
+
+    id = "docsize"
+    depends_on = ("doctext",)
+    applies_to = ("en", "fr", "de")
+    facts = (flag("docsize.long"),)
+
+    def ineligible(self):
+        return F.when(F.col("doctext.chars").isNull(), "not read")
+
+    def compute(self, items, sources):
+        return self.results(items, {"docsize.long": F.col("doctext.chars") > 1000})
+
+
+READ = "(due IS NOT NULL AND NOT (lang = 'en' AND n_chars < 400))"
+
+
+@query("scan_all", f"""
+    SELECT doc_id AS item_id, CASE WHEN {READ} THEN CAST(length(text) AS DOUBLE) END AS chars,
+           CASE WHEN {READ} THEN length(text) > 1000 END AS long,
+           CASE WHEN due IS NULL THEN CASE WHEN known THEN
+                    CASE WHEN toxic = 1 THEN 'error' WHEN source = 'src11' THEN 'skipped' ELSE 'ok' END END
+                WHEN {READ} THEN 'ok' ELSE 'skipped' END AS text_status,
+           CASE WHEN source <> 'src9' AND lang IN ('en', 'fr', 'de') THEN
+                CASE WHEN {READ} THEN 'ok' ELSE 'skipped' END END AS size_status
+    FROM (SELECT d.*, l.toxic, l.doc_id IS NOT NULL AS known, s.doc_id AS due FROM documents d
+          LEFT JOIN labels l USING (doc_id) LEFT JOIN {STALE_SQL} s USING (doc_id))""")
+def scan_all(spark, sf):
+    """Two providers in the order of their dependency, given the other way round."""
+    items, prov = stale_inputs(spark, sf)
+    hold = held(spark)
+    done, provenance = staleness.run_all(
+        items, prov, [DocSize(), DocText()], {}, NOW, lambda _, results: hold(results), hold=hold)
+    status = provenance.groupBy("item_id").agg(*[
+        F.max(F.when(F.col("provider") == name, F.col("status"))).alias(column)
+        for name, column in (("doctext", "text_status"), ("docsize", "size_status"))])
+    return done.select("item_id", "doctext.chars", "docsize.long").join(status, "item_id", "left")
+
+
 @query("scan_run", f"""
     SELECT doc_id AS item_id, CASE WHEN lang = 'en' AND n_chars < 400 THEN 'skipped' ELSE 'ok' END
         AS status, fp AS input_fp,
@@ -595,7 +660,7 @@ def eligible_split(spark, sf):
 def scan_run(spark, sf):
     """Plan, split and compute in one go."""
     items, prov = stale_inputs(spark, sf)
-    return staleness.run(items, prov, DocText(), {}, NOW).select(
+    return staleness.run(items, prov, DocText(), {}, NOW, hold=held(spark)).select(
         "item_id", "status", "input_fp", "doctext.chars")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import publish
 
 from . import tables as t
-from .base import query, scratch
+from .base import ORACLES, query, scratch
 
 # The sets of each rule (a part type), over parts.
 SETS = {
@@ -167,6 +167,21 @@ def publish_history(spark, sf):
                       "drifted_count", "status", "error")
 
 
+@query("history_appended", f"""
+    WITH log AS ({ORACLES["publish_history"]})
+    SELECT *, CAST({t.EVENTS_NOW} AS BIGINT) AS started_at, 'manual' AS trigger, false AS dry_run FROM log
+    UNION ALL SELECT *, CAST({t.EVENTS_NOW + 60} AS BIGINT), 'schedule', true FROM log""")
+def history_appended(spark, sf):
+    """Two runs appended to the log on disk."""
+    path = scratch(spark, "history")
+    gated = publish.gates(judged(spark, sf), SETTINGS["small"])
+    publish.append_history(gated, path, t.EVENTS_NOW)
+    publish.append_history(gated, path, t.EVENTS_NOW + 60, trigger="schedule", dry_run=True)
+    return spark.read.parquet(path).select(
+        "rule_id", "matched_count", "added_count", "removed_count", "kept_count", "drifted_count", "status",
+        "error", "started_at", "trigger", "dry_run")
+
+
 @query("membership_table", f"""
     SELECT rule_id, CAST(item_key AS VARCHAR) AS item_key, CAST(2 AS BIGINT) AS added_at FROM {DIFF_SQL}
     WHERE target AND rule_id NOT IN ('PROMO', 'SMALL') UNION ALL

@@ -414,6 +414,25 @@ def item_detail(spark, sf):
         "item_id", "provider", "stale")
 
 
+@query("item_detail_one", """
+    SELECT d.doc_id AS item_id, source, provider, coalesce(fp <> lang, false) AS stale
+    FROM documents d LEFT JOIN (
+        SELECT doc_id, 'labels' AS provider, CASE WHEN quality = 1 THEN 'fr' END AS fp FROM labels
+        UNION ALL SELECT doc_id, 'chars', lang FROM documents) p USING (doc_id)
+    WHERE d.doc_id = (SELECT max(doc_id) FROM labels)""")
+def item_detail_one(spark, sf):
+    """One item with the provenance of each of its providers."""
+    docs = t.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("item_id"), "source", F.col("lang").alias("file_fp"))
+    prov = t.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("item_id"), F.lit("labels").alias("provider"),
+        F.when(F.col("quality") == 1, "fr").alias("input_fp"))
+    prov = prov.unionByName(t.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("item_id"), F.lit("chars").alias("provider"), F.col("lang").alias("input_fp")))
+    last = t.table(spark, sf, "labels").agg(F.max("doc_id")).first()[0]
+    return browse.detail(docs, prov, last).select("item_id", "source", "provider", "stale")
+
+
 @query("recent_top_k", "SELECT event_id, user_id, event_type FROM events "
                        "ORDER BY ts DESC, event_id DESC LIMIT 50")
 def recent_top_k(spark, sf):
