@@ -34,15 +34,40 @@ def _filtered(items, q, path_status, item_type):
 
 def items(catalogue: DataFrame, registry: Registry, q: str = "", path_status: str = "",
           item_type: str = "", sort: str = "title", descending: bool = False,
-          limit: int | None = None, offset: int = 0, columns=None) -> DataFrame:
-    """Live items with the number of facts each has; ``limit`` and ``offset`` make it a page."""
+          limit: int | None = None, offset: int = 0, columns=None, after=None,
+          with_cursor: bool = False) -> DataFrame:
+    """Live items with the number of facts each has; ``limit`` and ``offset`` make it a page.
+
+    An offset sorts all rows before the page. For deep pages ``with_cursor`` adds a column
+    ``cursor``, the (sort value, item id) of each row; handed in as ``after``, the last one of
+    a page is a filter for what follows it, so every page costs the same. Rows that came in
+    before the cursor meanwhile are not shown, and none is shown twice.
+    """
+    if after is not None and offset:
+        raise ValueError("a page starts at an offset or after a cursor, not both")
     value = SORTS.get(sort, SORTS["title"])()
-    page = _filtered(catalogue, q, path_status, item_type).orderBy(
-        value.desc() if descending else value.asc(), "item_id").offset(offset)
+    live = _filtered(catalogue, q, path_status, item_type)
+    if after is not None:
+        live = live.filter(_beyond(value, descending, *after))
+    page = live.orderBy(value.desc() if descending else value.asc(), "item_id")
+    page = page.offset(offset) if offset else page
     page = page.limit(limit) if limit else page
-    shown = columns or [c for c in page.columns]
-    return page.withColumn("fact_count", leaf_count(registry, catalogue)).select(
-        *shown, "fact_count")
+    shown = [F.col(c) for c in columns or page.columns] + [
+        leaf_count(registry, catalogue).alias("fact_count")]
+    if with_cursor:
+        shown.append(F.struct(value.alias("value"), F.col("item_id")).alias("cursor"))
+    return page.select(*shown)
+
+
+def _beyond(value: Column, descending: bool, last, last_id) -> Column:
+    """Rows behind (last, last_id); NULL is the smallest value, ids rise in both directions."""
+    later_id = F.col("item_id") > F.lit(last_id)
+    if last is None:
+        same = value.isNull() & later_id
+        return same if descending else same | value.isNotNull()
+    bound = F.lit(last)
+    further = (value < bound) | value.isNull() if descending else value > bound
+    return further | ((value == bound) & later_id)
 
 
 def total(catalogue: DataFrame, q: str = "", path_status: str = "",

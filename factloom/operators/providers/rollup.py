@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ...functions.joins import left_lookup
 from ...functions.scalars import emitted, or_empty, truthy
 from ...functions.spec import enum, flag, measure, words
+from ..store import Store
 from .base import Provider
 
 # Worst first; the share from which a show counts as finished.
 WORST_FIRST = ("sd", "720p", "1080p", "4k", "other")
 FINISHED_PERCENT = 90
 
+TOTALS_SCHEMA = (
+    "parent_key string, episodes bigint, size bigint, seconds double, min_rate double, "
+    "max_rate double, mean_rate double, resolutions array<string>, hdr array<string>, "
+    "aspects array<string>, languages array<string>, version bigint"
+)
+
 
 def children_by_parent(items: DataFrame) -> DataFrame:
     """One row per parent over its live episodes.
@@ -51,6 +58,41 @@ def _set(name: str) -> Column:
     return F.array_sort(F.collect_set(F.when(value != "", value)))
 
 
+def totals_store(spark: SparkSession, path: str, buckets: int | None = None) -> Store:
+    """Totals of parents on disk, bucketed by parent; see ``keep_up``."""
+    return Store.open(spark, path, TOTALS_SCHEMA, ("parent_key",), "version", buckets)
+
+
+def touched_parents(*changed: DataFrame) -> DataFrame:
+    """``parent_key`` of changed children, once each.
+
+    Give the children as they were and as they are: one that moved touches both parents.
+    """
+    keys = [rows.select("parent_key") for rows in changed]
+    every = keys[0]
+    for more in keys[1:]:
+        every = every.unionByName(more)
+    return every.filter(F.col("parent_key").isNotNull()).distinct()
+
+
+def keep_up(store: Store, items: DataFrame, touched: DataFrame, version: int) -> None:
+    """Write the totals of the touched parents anew, from the children they have now.
+
+    Totals like a minimum or a set cannot be taken back child by child, so a touched parent
+    is aggregated over all its children; the others' children are filtered out before
+    anything is aggregated. A parent that has no live child any more gets a row without
+    episodes. ``version`` counts the updates from 1; a repeated one replaces itself.
+    """
+    theirs = items.join(touched, "parent_key", "left_semi")
+    totals = touched.join(children_by_parent(theirs), "parent_key", "left")
+    store.put(totals.withColumn("version", F.lit(version)), version)
+
+
+def kept_totals(store: Store) -> DataFrame:
+    """Totals of all parents, as ``children_by_parent`` gives them; stored rows are not moved."""
+    return store.merged().filter(F.col("episodes").isNotNull()).drop("version")
+
+
 def worst_of(present: Column) -> Column:
     return F.coalesce(
         F.get(F.filter(F.array(*[F.lit(r) for r in WORST_FIRST]),
@@ -94,9 +136,12 @@ class Rollup(Provider):
 
     def compute(self, items, sources):
         """``children``: the catalogue with the episodes' facts."""
-        totals = children_by_parent(sources["children"]).withColumnRenamed(
-            "parent_key", "rating_key")
-        found = left_lookup(items, totals, ["rating_key"], "item_id")
+        return self.from_totals(items, children_by_parent(sources["children"]))
+
+    def from_totals(self, items: DataFrame, totals: DataFrame) -> DataFrame:
+        """Facts from totals per parent, computed now or kept up (``kept_totals``)."""
+        found = left_lookup(
+            items, totals.withColumnRenamed("parent_key", "rating_key"), ["rating_key"], "item_id")
         get = F.col
         leaves = F.coalesce(get("leaf_count"), F.lit(0))
         viewed = F.coalesce(get("viewed_leaf_count"), F.lit(0))

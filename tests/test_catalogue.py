@@ -440,6 +440,33 @@ def test_browse(spark, registry):
     assert browse.values(frame, text("video.codec")).count() == 0
 
 
+@pytest.mark.parametrize("sort,descending", [
+    (sort, down) for sort in ("title", "year", "size") for down in (False, True)])
+def test_pages_by_cursor_are_pages_by_offset(spark, registry, sort, descending):
+    frame = spark.createDataFrame([
+        (i, title, title, year, size, "movie", None)
+        for i, (title, year, size) in enumerate([
+            ("b", 2000, 5), ("B", None, 5), (None, None, None), ("a", 1999, 5), ("c", 2000, None),
+            ("a", 2001, 7), (None, 2000, 5)])],
+        "item_id int, title string, sort_title string, year int, file_size bigint, "
+        "item_type string, deleted_at bigint")
+    whole = [r.item_id for r in browse.items(
+        frame, registry, sort=sort, descending=descending, columns=["item_id"]).collect()]
+    assert sorted(whole) == list(range(7))
+    for size in (1, 3):
+        seen, after = [], None
+        while True:
+            page = browse.items(frame, registry, sort=sort, descending=descending, limit=size,
+                                columns=["item_id"], after=after, with_cursor=True).collect()
+            if not page:
+                break
+            seen += [r.item_id for r in page]
+            after = page[-1].cursor
+        assert seen == whole
+    with pytest.raises(ValueError):
+        browse.items(frame, registry, offset=2, after=(None, 1))
+
+
 def test_scope(spark):
     frame = spark.createDataFrame(
         [("1", "movie", None), ("2", "movie", None), ("1", "show", None), ("1", "movie", 3)],

@@ -18,7 +18,7 @@ def plan_of(spark, name):
 
 WRITES = {"membership_table", "refresh_equals_batch", "fact_table", "scope_partitioned",
           "fact_store_merge", "prov_table", "stale_stored", "reconcile_stored", "reconcile_observed", "file_manifest",
-          "scan_run", "scan_all", "history_appended"}
+          "scan_run", "scan_all", "history_appended", "rollup_kept_up", "running_totals"}
 
 
 @pytest.mark.parametrize("name", sorted(set(contract.workloads.QUERIES) - WRITES))
@@ -66,7 +66,8 @@ def above_stored_scans(plan):
     return out
 
 
-@pytest.mark.parametrize("name", ["fact_table", "fact_store_merge", "prov_table", "stale_stored"])
+@pytest.mark.parametrize("name", ["fact_table", "fact_store_merge", "prov_table", "stale_stored", "rollup_kept_up",
+                                  "running_totals"])
 def test_stored_rows_stay_in_their_buckets(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

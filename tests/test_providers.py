@@ -362,3 +362,44 @@ def test_rollup(spark):
         "show.leaf_count": 4.0, "show.watched_count": 4.0, "show.percent_watched": 100.0,
         "show.unwatched": False, "show.abandoned": False}
     assert got["d"].status == "skipped" and got["d"].reason == "no episodes indexed"
+
+
+def test_kept_rollup_follows_its_children(spark, tmp_path):
+    from factloom.operators.providers import rollup
+
+    def episodes(*rows):
+        return spark.createDataFrame(
+            [(p, "episode", gone, size, (60.0, rate), (res,), (hdr, None), (langs,))
+             for p, gone, size, rate, res, hdr, langs in rows],
+            "parent_key string, item_type string, deleted_at bigint, file_size bigint, "
+            "file struct<duration_s:double,bitrate_kbps:double>, "
+            "derived struct<resolution_class:string>, "
+            "video struct<hdr_format:string,aspect_bucket:string>, "
+            "audio struct<languages:array<string>>")
+
+    def same(items):
+        return sorted(map(str, rollup.kept_totals(store).collect())) == sorted(
+            map(str, rollup.children_by_parent(items).collect()))
+
+    first = [("a", None, 5, 1.0, "4k", "sdr", ["en", ""]), ("a", None, None, 9.0, "sd", "dv", None),
+             ("b", None, 3, None, None, "", []), ("c", None, 1, 2.0, "sd", None, ["fr"]),
+             (None, None, 8, 8.0, "sd", "sdr", ["de"])]
+    store = rollup.totals_store(spark, str(tmp_path / "totals"), 3)
+    rollup.keep_up(store, episodes(*first), rollup.touched_parents(episodes(*first)), 1)
+    assert same(episodes(*first))
+    # the episode with a's extremes moves to d, c loses its only one, b stays as it is
+    left, came = [first[1], first[3]], [("d",) + first[1][1:], ("c", 77) + first[3][2:]]
+    second = [first[0], first[2], first[4], *came]
+    for _ in range(2):  # a repeated update replaces itself
+        touched = rollup.touched_parents(episodes(*left), episodes(*came))
+        assert {r.parent_key for r in touched.collect()} == {"a", "c", "d"}
+        rollup.keep_up(store, episodes(*second), touched, 2)
+        assert same(episodes(*second))
+    assert store.rows().count() == 6
+    shows = spark.createDataFrame(
+        [(1, "a", None, None), (2, "c", None, None)],
+        "item_id int, rating_key string, leaf_count int, viewed_leaf_count int")
+    rows = {r.item_id: r for r in Rollup().from_totals(shows, rollup.kept_totals(store)).collect()}
+    assert rows[1].show.episode_count == 1 and rows[1].show.all_4k and rows[2].status == "skipped"
+    rollup.keep_up(store, episodes(*second), touched.limit(0), 3)
+    assert same(episodes(*second))

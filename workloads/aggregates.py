@@ -9,11 +9,12 @@ from factloom.functions.spec import text
 from factloom.operators import browse, report
 from factloom.operators.providers import History, Provider, Rollup
 from factloom.operators.providers.derived import resolution_class
-from factloom.operators.providers.rollup import children_by_parent, union_of_lists
+from factloom.operators.providers.rollup import (
+    children_by_parent, keep_up, kept_totals, totals_store, touched_parents, union_of_lists)
 from factloom.streaming import refresh
 
 from . import tables as t
-from .base import query, scratch
+from .base import ORACLES, query, scratch
 
 # ── parents and children: orders and their lines ──────────────────────────────
 
@@ -78,6 +79,31 @@ def rollup_languages(spark, sf):
         joined("languages").alias("languages"))
 
 
+def kept_up(spark, sf):
+    """Totals that were stored when returned lines had no size yet and open ones had other orders."""
+    now = children(spark, sf)
+    resized, moved = F.col("video.aspect_bucket") == "R", F.col("video.hdr_format") == "O"
+    before = now.withColumns({
+        "file_size": F.when(resized, F.lit(0)).otherwise(F.col("file_size")),
+        "parent_key": F.when(moved, F.concat(F.lit("-"), "parent_key")).otherwise(F.col("parent_key"))})
+    store = totals_store(spark, scratch(spark, "rollup"))
+    keep_up(store, before, touched_parents(before), 1)
+    changed = resized | moved
+    keep_up(store, now, touched_parents(before.filter(changed), now.filter(changed)), 2)
+    return kept_totals(store)
+
+
+@query("rollup_kept_up", f"""
+    SELECT * FROM ({ORACLES['rollup_basic']}) JOIN ({ORACLES['rollup_languages']})
+    USING (order_key)""")
+def rollup_kept_up(spark, sf):
+    """Stored totals after a change of some children: touched parents anew, emptied ones gone."""
+    return kept_up(spark, sf).select(
+        F.col("parent_key").cast("bigint").alias("order_key"), "episodes", "size", "seconds",
+        "min_rate", "max_rate", F.round("mean_rate", 4).alias("mean_rate"),
+        *[joined(c).alias(c) for c in ("resolutions", "hdr", "aspects", "languages")])
+
+
 def rolled(spark, sf):
     return Rollup().compute(parents(spark, sf), {"children": children(spark, sf)})
 
@@ -176,6 +202,21 @@ def refresh_equals_batch(spark, sf):
     return done.select("item_id", "watch.*")
 
 
+@query("running_totals", WATCH_FACTS_SQL)
+def running_totals(spark, sf):
+    """The events in three batches by time, which share items and users; the last one taken twice."""
+    history = t.history(spark, sf)
+    first, second = F.col("date") < t.at("2024-01-11"), F.col("date") < t.at("2024-01-21")
+    running = refresh.RunningTotals.open(spark, scratch(spark, "running"))
+    running.take(history.filter(first), 0)
+    running.take(history.filter(~first & second), 1)
+    rest = history.filter(~F.coalesce(second, F.lit(False)))
+    running.take(rest, 2)
+    running.take(rest, 2)
+    done = History().from_totals(t.customers(spark, sf), running.totals())
+    return done.select("item_id", "watch.*")
+
+
 # ── values a fact takes ───────────────────────────────────────────────────────
 
 

@@ -390,6 +390,26 @@ def browse_page(spark, sf):
                         descending=True, limit=40, offset=20, columns=["item_id", "file_size"])
 
 
+@query("browse_deep_page", f"""
+    SELECT doc_id AS item_id, n_chars AS file_size,
+           3 + (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT AS fact_count
+    FROM {t.DOCS_SQL} WHERE contains(lower(text), 'the')
+    ORDER BY n_chars DESC, doc_id LIMIT 40 OFFSET 80""")
+def browse_deep_page(spark, sf):
+    """The third page by cursor: each page is sorted from where the one before it ended."""
+    docs = t.documents(spark, sf)
+
+    def page(after):
+        return browse.items(docs, t.REGISTRY, q="THE", sort="size", descending=True, limit=40,
+                            columns=["item_id", "file_size"], after=after, with_cursor=True)
+
+    after = None
+    for _ in range(2):
+        seen = page(after).collect()  # a page of 40 rows
+        after = seen[-1].cursor if seen else after
+    return page(after).drop("cursor")
+
+
 @query("browse_total", "SELECT count(*) AS total FROM documents "
                        "WHERE contains(lower(text), 'an')")
 def browse_total(spark, sf):
