@@ -1,16 +1,18 @@
 """Line deduplication by sorted line hashes; the answer is a keep bitmap per document.
 
 Lines become (hash, document, position) rows. They are partitioned by range of (hash,
-document), sorted and written, which spreads a line that a third of all documents hold over
-many files. The table read back has no known order, so no task streams first occurrences: what
-stays is found by a distinct, an aggregation and a join over hash exchanges, with the same
-result. Text is never moved for this: the result says for each document which positions go, as 64-bit words of a bitmap in
-which words without a dropped line are left out.
+document) and sorted, which spreads a line that a third of all documents hold over many
+tasks. Each task streams its range once: it puts the places of a line in a document together
+as bitmap words and marks the first occurrence of each document in the line, with no further
+exchange. What is written are these words; the marks are added up per line, and only words of
+lines that enough documents hold go on. The result says for each document which positions go,
+as 64-bit words of a bitmap in which words without a dropped line are left out. ``bitmaps``
+moves no text; ``dedup`` brings texts and bitmaps together by document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import UPPER, scratch, written
@@ -63,20 +65,22 @@ def bitmaps(docs: DataFrame, least_length: int = 20, least_docs: int = 3,
     """
     spark = docs.sparkSession
     places = _hashed(with_lines(docs, doc_id, text), least_length)
-    # (h1, id) ranges split a hot hash by document; range and sort only lay out the table
-    ranged = places.repartitionByRange(F.col("h1"), F.col("h2"), F.col("id")).sortWithinPartitions(
-        "h1", "h2", "id", "pos")
-    sorted_places = written(ranged, scratch(spark, "line-places"))
-
-    by_doc = sorted_places.select("h1", "h2", "id").distinct()
-    repeated = by_doc.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(
+    # (h1, h2, id) ranges split a hot line by document, and hold all its places in a document:
+    # the words and the window below need no other exchange, and the window sorts each range
+    ranged = places.repartitionByRange(F.col("h1"), F.col("h2"), F.col("id"))
+    in_doc = ["h1", "h2", "id"]
+    of_line = ranged.groupBy(*in_doc, "rev", F.expr("pos div 64").cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    nth = F.row_number().over(Window.partitionBy(*in_doc).orderBy("rev", "word"))
+    streamed = written(of_line.withColumn("first", nth == 1), scratch(spark, "line-words"))
+
+    repeated = streamed.groupBy("h1", "h2").agg(
+        F.count_if("first").alias("n"), F.max("id").alias("keeper")).filter(
         F.col("n") >= least_docs).select("h1", "h2", "keeper")
     # written: a join with a table has two plain exchanges, so a hot line can be split
     repeated = written(repeated, scratch(spark, "line-repeated"))
-    goes = sorted_places.join(repeated, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keeper")))
-    words = goes.groupBy("id", "rev", F.expr("pos div 64").cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    goes = streamed.join(repeated, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keeper")))
+    words = goes.groupBy("id", "rev", "word").agg(F.bit_or("bits").alias("bits"))
     return words.groupBy("id", "rev").agg(
         F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("dropped"))

@@ -219,6 +219,24 @@ def test_line_bitmaps_are_sparse(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_line_places_are_exchanged_once(spark, monkeypatch):
+    """Range partitions carry the result: words and first occurrences need no exchange of their own."""
+    plans = []
+
+    def keep(frame, path):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return written(frame, path)
+
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", keep)
+    docs = brute.documents(spark, [(i, "a line that many documents hold\n" * 3) for i in range(5)])
+    got = {r["id"]: r["n_dropped"] for r in line_dedup.bitmaps(docs).collect()}
+    assert got == {0: 3, 1: 3, 2: 3, 3: 3}
+    words = plans[0]
+    assert words.count("Exchange") == words.count("Exchange rangepartitioning(h1") == 1
+    assert "Window [row_number()" in words
+
+
 # ---- cube mix
 
 
