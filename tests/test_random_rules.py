@@ -162,6 +162,71 @@ def test_index_refuses_what_it_cannot_tell_apart(spark):
     assert rule_index.evaluate_many(frame, [never], registry).collect() == []
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_agree_by_two_facts(spark, monkeypatch, seed):
+    monkeypatch.setattr(rule_index, "SHARED", 0)  # however few rules share a shape
+    test_agree(spark, seed)
+
+
+@pytest.mark.parametrize("unknown", ["parity", "null"])
+def test_two_facts_agree_on_dates_limits_and_scopes(spark, monkeypatch, unknown):
+    monkeypatch.setattr(rule_index, "SHARED", 0)
+    test_index_agrees_on_dates_limits_and_scopes(spark, unknown)
+
+
+def test_two_lists_texts_and_negated_bands_by_two_facts(spark, monkeypatch):
+    """Items of several elements in one range, boxes that overlap, NULLs, repeated items."""
+    monkeypatch.setattr(rule_index, "SHARED", 0)
+    registry = Registry([Toy()])
+    cmp = lambda key, op, value=None: {"type": "cmp", "key": key, "op": op, "value": value}
+    node = lambda kind, *children: {"type": kind, "children": list(children)}
+    rows = [(n, s, "e", True, lst) for n in (None, 1.0, 2.0, 5.0, 9.0) for s in (None, "ab", "b")
+            for lst in (None, [], ["a"], ["a", "b", "b"], ["c", "b", "a"])]
+    frame = spark.createDataFrame(
+        [(i // 2, "movie", None, "1", row) for i, row in enumerate(rows + rows[:9])],
+        "item_id int, item_type string, deleted_at bigint, library_key string, "
+        "t struct<n:double,s:string,e:string,b:boolean,l:array<string>>").cache()
+    outside = node("or", cmp("t.n", "lt", 2), cmp("t.n", "gt", 5), cmp("t.s", "ne", "ab"))
+    trees = [
+        {"type": "not", "child": outside}, node("and", {"type": "not", "child": outside}, cmp("t.l", "contains", "b")),
+        node("and", cmp("t.l", "contains_any", ["a", "b"]), cmp("t.n", "between", [1, 5])),
+        node("and", cmp("t.l", "contains_all", ["a", "b"]), cmp("t.s", "in", ["ab", "b"])),
+        node("or", node("and", cmp("t.n", "in", [1, 2]), cmp("t.s", "eq", "b")),
+             node("and", cmp("t.n", "between", [1, 5]), cmp("t.s", "starts_with", "b")), cmp("t.n", "eq", 9)),
+        node("and", cmp("t.n", "gte", 5), cmp("t.n", "lt", 2)),
+        node("and", cmp("t.s", "eq", "ab"), cmp("t.n", "between", [1, 5]),
+             node("or", cmp("t.l", "is_empty"), node("and", cmp("t.n", "gt", 1), cmp("t.l", "contains", "c")))),
+    ]
+    made = [rules.Rule(i, {"root": tree}, limit=4 if i % 2 else None, order_by="t.n") for i, tree in enumerate(trees * 2)]
+    rows_of = lambda f: sorted((r.rule_id, r.item_id) for r in f.collect())
+    found = rows_of(rule_index.evaluate_many(frame, made, registry))
+    assert found == rows_of(rules.evaluate_all(frame, made, registry)) and len({r for r, _ in found}) == 12
+
+
+def test_rules_are_entered_by_what_is_narrow():
+    """A negated OR is a band and a point, not all items of the rule's type."""
+    from workloads import rule_queries, tables
+    index = rule_index.Index(tables.REGISTRY, {}, None, "parity", True)
+    made = [i for i in range(4000) if i % 7]
+    nodes = [index.scoped(rule_queries.numbered_rule(i)) for i in made]
+    for view in index.views.values():
+        view.settle()
+    for i, node in zip(made, nodes):
+        cost, boxes, met = index.picked(index.conjuncts(node), lambda _: True)
+        assert boxes and all(len(box) == 2 for box in boxes) and cost <= 100, (i, boxes)
+
+
+def test_only_items_are_dealt_out(spark):
+    """Rules and entries go to every task, so no value of a fact is one task's."""
+    registry, node = Registry([Toy()]), {"type": "cmp", "key": "t.n", "op": "gt", "value": 1}
+    frame = spark.createDataFrame([], "item_id int, item_type string, deleted_at bigint, library_key string, "
+                                      "t struct<n:double,s:string,e:string,b:boolean,l:array<string>>")
+    found = rule_index.evaluate_many(frame, [rules.Rule(1, {"root": node})], registry)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert "RoundRobinPartitioning" in plan and "hashpartitioning" not in plan
+
+
 def test_dyadic_intervals_cover_each_rank_once():
     for low, high in ((0, 0), (1, 1), (3, 17), (0, 31), (5, 100)):
         covered = sorted(r for level, at in rule_index.dyadic(low, high) for r in range(at << level, (at + 1) << level))
