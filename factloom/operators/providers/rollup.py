@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ...functions.joins import left_lookup
+from ...functions.lookup import constant, in_order
 from ...functions.scalars import emitted, or_empty, truthy
 from ...functions.spec import enum, flag, measure, words
 from ..store import Store
@@ -14,6 +15,14 @@ from .base import Provider
 WORST_FIRST = ("sd", "720p", "1080p", "4k", "other")
 FINISHED_PERCENT = 90
 
+# Sets of texts per parent, and the facts of its children that they are of.
+SETS = {"resolutions": "derived.resolution_class", "hdr": "video.hdr_format", "aspects": "video.aspect_bucket"}
+LANGUAGES = "audio.languages"
+# A set of up to so many values is added up as the bits of a number.
+BITS = 63
+# So many touched parents are sent to every task, where the others' children are left out.
+FEW_PARENTS = 100_000
+
 TOTALS_SCHEMA = (
     "parent_key string, episodes bigint, size bigint, seconds double, min_rate double, "
     "max_rate double, mean_rate double, resolutions array<string>, hdr array<string>, "
@@ -29,24 +38,28 @@ def children_by_parent(items: DataFrame) -> DataFrame:
     apart, one by one, since the distinct lists could be many; both results are already
     partitioned by parent when they meet.
     """
-    episodes = items.filter(
-        F.col("deleted_at").isNull() & (F.col("item_type") == "episode")
-        & F.col("parent_key").isNotNull())
+    episodes = _episodes(items)
     scalars = episodes.groupBy("parent_key").agg(
         F.count(F.lit(1)).alias("episodes"),
         F.sum(F.coalesce("file_size", F.lit(0))).alias("size"),
-        F.sum("file.duration_s").alias("seconds"),
-        F.min("file.bitrate_kbps").alias("min_rate"),
-        F.max("file.bitrate_kbps").alias("max_rate"),
-        F.avg("file.bitrate_kbps").alias("mean_rate"),
-        _set("derived.resolution_class").alias("resolutions"),
-        _set("video.hdr_format").alias("hdr"),
-        _set("video.aspect_bucket").alias("aspects"),
+        *_rates("file.duration_s", "file.bitrate_kbps"),
+        *[_set(fact).alias(name) for name, fact in SETS.items()],
     )
-    languages = union_of_lists(episodes, "parent_key", "audio.languages", "languages")
+    languages = union_of_lists(episodes, "parent_key", LANGUAGES, "languages")
     return scalars.join(languages, "parent_key", "left")
 
 
+def _episodes(items: DataFrame) -> DataFrame:
+    return items.filter(
+        F.col("deleted_at").isNull() & (F.col("item_type") == "episode")
+        & F.col("parent_key").isNotNull())
+
+
+def _rates(duration: str, rate: str) -> list[Column]:
+    return [F.sum(duration).alias("seconds"), F.min(rate).alias("min_rate"),
+            F.max(rate).alias("max_rate"), F.avg(rate).alias("mean_rate")]
+
+
 def union_of_lists(items: DataFrame, parent: str, key: str, out: str) -> DataFrame:
     """Per parent the sorted set of the elements of a list fact; empty texts are dropped."""
     elements = items.select(parent, F.explode(key).alias("_e"))
@@ -79,13 +92,82 @@ def keep_up(store: Store, items: DataFrame, touched: DataFrame, version: int) ->
     """Write the totals of the touched parents anew, from the children they have now.
 
     Totals like a minimum or a set cannot be taken back child by child, so a touched parent
-    is aggregated over all its children; the others' children are filtered out before
-    anything is aggregated. A parent that has no live child any more gets a row without
-    episodes. ``version`` counts the updates from 1; a repeated one replaces itself.
+    is aggregated over all its children. The others' children are left out first if few parents
+    are touched; if many are, each task adds up what it holds of a parent before it knows. A
+    parent that has no live child any more gets a row without episodes. ``version`` counts the
+    updates from 1; a repeated one replaces itself.
+    """
+    touched = touched.select("parent_key").persist()
+    try:
+        episodes = _episodes(items)
+        if touched.count() <= FEW_PARENTS:
+            episodes = episodes.join(F.broadcast(touched), "parent_key", "left_semi")
+        totals = _totals_of(episodes, touched, _coded(episodes))
+        store.put(totals.withColumn("version", F.lit(version)), version)
+    finally:
+        touched.unpersist()
+
+
+def _totals_of(episodes: DataFrame, touched: DataFrame, coded: dict[str, list[str]]) -> DataFrame:
+    """Totals of the touched parents in one aggregation, which their keys are rows of, too.
+
+    Sets with a list of values in ``coded`` are numbers until the end; others are collected.
     """
-    theirs = items.join(touched, "parent_key", "left_semi")
-    totals = touched.join(children_by_parent(theirs), "parent_key", "left")
-    store.put(totals.withColumn("version", F.lit(version)), version)
+    children = episodes.select(
+        "parent_key", F.lit(1).alias("_child"), F.coalesce("file_size", F.lit(0)).alias("size"),
+        F.col("file.duration_s").alias("duration_s"), F.col("file.bitrate_kbps").alias("bitrate_kbps"),
+        *[_bits(name, values).alias(name) for name, values in coded.items()],
+        *[F.col(fact).alias(name) for name, fact in SETS.items() if name not in coded])
+    rows = children.unionByName(touched.withColumn("_touched", F.lit(True)), allowMissingColumns=True)
+    count = F.count("_child")
+    totals = rows.groupBy("parent_key").agg(
+        F.when(count > 0, count).alias("episodes"), F.sum("size").alias("size"),
+        *_rates("duration_s", "bitrate_kbps"),
+        *[F.bit_or(name).alias(name) for name in coded],
+        *[F.when(count > 0, _set(name)).alias(name) for name in SETS if name not in coded],
+        F.max("_touched").alias("_touched"),
+    ).filter("_touched").drop("_touched").withColumns(
+        {name: _of_bits(F.col(name), values) for name, values in coded.items()})
+    if "languages" in coded:
+        return totals
+    return totals.join(union_of_lists(episodes, "parent_key", LANGUAGES, "languages"), "parent_key", "left")
+
+
+def _coded(episodes: DataFrame) -> dict[str, list[str]]:
+    """Sorted values of the sets that have at most ``BITS``."""
+    def value(name: str, of: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), of.alias("value"))
+    # first each combination once, of which there are few where values are few
+    each = episodes.select(*[F.col(fact).alias(name) for name, fact in SETS.items()],
+                           F.col(LANGUAGES).alias("languages")).distinct()
+    listed = F.transform(F.coalesce("languages", F.array().cast("array<string>")), lambda v: value("languages", v))
+    values = each.select(F.explode(F.concat(F.array(*[value(name, F.col(name)) for name in SETS]), listed)).alias("_v"))
+    values = values.select("_v.*").filter("value <> ''").distinct()
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("value"))
+    found: dict[str, list[str]] = {name: [] for name in (*SETS, "languages")}
+    for row in values.withColumn("_nth", nth).filter(F.col("_nth") <= BITS + 1).collect():
+        found[row["name"]].append(row["value"])
+    return {name: in_order(own, True) for name, own in found.items() if len(own) <= BITS}
+
+
+def _bits(name: str, values: list[str]) -> Column:
+    """A child's values as a number: 0 is none; NULL, of languages, a list without elements."""
+    known = constant(values, "array<string>")
+
+    def bit(value: Column) -> Column:
+        at = F.coalesce(F.array_position(known, value), F.lit(0)).cast("int")
+        return F.when(at > 0, F.call_function("shiftleft", F.lit(1).cast("long"), at - 1)).otherwise(F.lit(0).cast("long"))
+    if name in SETS:
+        return bit(F.col(SETS[name]))
+    return F.when(F.size(LANGUAGES) > 0, F.aggregate(
+        LANGUAGES, F.lit(0).cast("long"), lambda bits, value: bits.bitwiseOR(bit(value))))
+
+
+def _of_bits(bits: Column, values: list[str]) -> Column:
+    one = F.lit(1).cast("long")
+    return F.when(bits.isNotNull(), F.filter(
+        constant(values, "array<string>"),
+        lambda _, at: bits.bitwiseAND(F.call_function("shiftleft", one, at)) != 0))
 
 
 def kept_totals(store: Store) -> DataFrame:

@@ -403,3 +403,48 @@ def test_kept_rollup_follows_its_children(spark, tmp_path):
     assert rows[1].show.episode_count == 1 and rows[1].show.all_4k and rows[2].status == "skipped"
     rollup.keep_up(store, episodes(*second), touched.limit(0), 3)
     assert same(episodes(*second))
+
+
+@pytest.mark.parametrize("few,bits", [(0, 63), (0, 1), (0, 0), (100_000, 1)])
+def test_kept_rollup_with_many_parents_or_values(spark, tmp_path, monkeypatch, few, bits):
+    from factloom.operators.providers import rollup
+    monkeypatch.setattr(rollup, "FEW_PARENTS", few)
+    monkeypatch.setattr(rollup, "BITS", bits)  # sets of more values are collected
+    test_kept_rollup_follows_its_children(spark, tmp_path)
+
+
+def test_kept_rollup_of_sets_beyond_the_bits(spark, tmp_path):
+    from factloom.operators.providers import rollup
+    rows = [(f"p{i % 3}", "episode", None, i, (1.0, 2.0), (["4k", None, ""][i % 3],),
+             (f"h{i % 63:02}", f"a{i % 64:02}"), ([f"l{i}", "é", None],)) for i in range(192)]
+    children = spark.createDataFrame(
+        rows, "parent_key string, item_type string, deleted_at bigint, file_size bigint, "
+        "file struct<duration_s:double,bitrate_kbps:double>, derived struct<resolution_class:string>, "
+        "video struct<hdr_format:string,aspect_bucket:string>, audio struct<languages:array<string>>")
+    assert set(rollup._coded(children)) == {"resolutions", "hdr"}
+    store = rollup.totals_store(spark, str(tmp_path / "totals"), 2)
+    rollup.keep_up(store, children, rollup.touched_parents(children), 1)
+    kept = {r.parent_key: r.asDict() for r in rollup.kept_totals(store).collect()}
+    assert kept == {r.parent_key: r.asDict() for r in rollup.children_by_parent(children).collect()}
+    assert len(kept["p0"]["hdr"]) == 21 and len(kept["p0"]["languages"]) == 65
+
+
+def test_kept_rollup_moves_sums_only(spark, tmp_path, monkeypatch):
+    """Many touched parents: no child is shuffled, sorted or joined, and no set is collected."""
+    from factloom.operators.providers import rollup
+    from factloom.operators.store import Store
+    children = spark.createDataFrame(
+        [("a", "episode", None, 1, (1.0, 2.0), ("sd",), ("hdr", "x"), (["en"],))],
+        "parent_key string, item_type string, deleted_at bigint, file_size bigint, "
+        "file struct<duration_s:double,bitrate_kbps:double>, derived struct<resolution_class:string>, "
+        "video struct<hdr_format:string,aspect_bucket:string>, audio struct<languages:array<string>>")
+    store = rollup.totals_store(spark, str(tmp_path / "totals"), 2)
+    plans = []
+    monkeypatch.setattr(rollup, "FEW_PARENTS", 0, raising=False)
+    monkeypatch.setattr(Store, "put", lambda _, rows, version: plans.append(
+        rows._jdf.queryExecution().executedPlan().toString()))
+    rollup.keep_up(store, children, rollup.touched_parents(children), 1)
+    [plan] = plans
+    plan = plan.split("InMemoryRelation")[0]
+    assert "Join" not in plan and "collect_set" not in plan and "Sort" not in plan
+    assert plan.count("Exchange") == 1 and "partial_bit_or" in plan
