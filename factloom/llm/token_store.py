@@ -21,6 +21,7 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -28,7 +29,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -39,17 +39,53 @@ from .shared import opened_folder, scratch, spread, written
 
 MANIFEST = "part int, seq int, data string, index string, n_docs long, n_ids long, dictionary string"
 CACHE_PIECES = 500_000
-MARKS = ".,;:!?"
+CACHE_CHARS = 64  # longer pieces are not remembered
 CHUNK = 1024
-# Cuts a text where byte-level pre-tokenisers always cut: before a space or line feed that
-# follows another character, and after runs of them. Only texts whose white space is these
-# two characters are cut.
-PIECE = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
+# Texts are cut where a byte-level pre-tokeniser always cuts: before a run of spaces and line
+# feeds, before the last one of a run that a word follows, after a line feed, and between letters,
+# ASCII digits and ASCII marks. An apostrophe stays with what follows; a character that is neither
+# of these, or is a letter of three bytes, stays with both sides. Only texts whose white space is
+# spaces and line feeds are cut.
+OTHER, LETTER, DIGIT, MARK, QUOTE, SPACE, LINE = range(7)
+KINDS = bytes(OTHER if c > 127 else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit()
+              else {"'": QUOTE, " ": SPACE, "\n": LINE}.get(chr(c), MARK) for c in range(256))
+# of the kinds of two neighbours, as 8 * first + second: does the second begin a piece?
+BORDERS = bytes(
+    a < SPACE <= b or a == LINE and b < SPACE
+    or b in {LETTER: (DIGIT, MARK, QUOTE), DIGIT: (LETTER, MARK, QUOTE), MARK: (LETTER, DIGIT)}.get(a, ())
+    for a, b in (divmod(pair, 8) for pair in range(256)))
+# letters of Unicode 3.2 that still are: all engines agree on them
+LETTERS = frozenset(c for c in map(chr, range(0xD800)) if c.isalpha() and unicodedata.ucd_3_2_0.category(c)[0] == "L")
+LETTER_BYTES = np.zeros((256, 256), dtype=bool)  # the two bytes of a letter
+for _lead, _next in (c.encode() for c in LETTERS if 0x80 <= ord(c) < 0x800):
+    LETTER_BYTES[_lead, _next] = True
 # all other characters that some engine takes for white space
 OTHER_SPACE = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff") + tuple(
     map(chr, range(0x2000, 0x200C)))
 
 
+class ByteChars(dict):
+    """Of each character, those that a byte-level pre-tokeniser writes for its bytes."""
+
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = {c: chr(256 + i) for i, c in enumerate(sorted({*range(256)} - plain))}
+
+    def __missing__(self, char: str) -> str:
+        self[char] = found = "".join(self.rest.get(c) or chr(c) for c in char.encode())
+        return found
+
+
+BYTE_CHARS = ByteChars()
+
+
+def simple(piece: str) -> bool:
+    """Is the piece one that the pre-tokeniser hands on in one? Letters or digits, perhaps after a space."""
+    word = piece[1:] if piece[0] == " " else piece
+    if word.isascii():
+        return word.isalpha() or word.isdigit()
+    return LETTERS.issuperset(word)
+
+
 class Encoder:
     """Whole texts to id bytes, with the pieces of a text remembered across texts."""
 
@@ -64,28 +100,36 @@ class Encoder:
             and not before.get("add_prefix_space") and not spec.get("normalizer")
             and not spec.get("truncation") and not spec.get("padding"))
         # texts with any of these are encoded whole
-        self.whole = [*OTHER_SPACE, *(t["content"] for t in spec.get("added_tokens", ()))]
+        added = [t["content"] for t in spec.get("added_tokens", ())]
+        self.whole = [*OTHER_SPACE, *added]
+        self.in_words = [t for t in added if all(c in LETTERS or c.isdigit() or c == " " for c in t)]
+        self.whole_pattern = re.compile("|".join(map(re.escape, self.whole)))
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.end = self.packed([end])
         self.known: dict[str, bytes] = {}
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
-        self.marks = {m: self.packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in MARKS}
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces. One text of all of them is encoded and cut at its line feeds.
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces.
 
-        A mark after a letter is always cut off before merging, so it is put on afterwards.
+        Simple ones are what the pre-tokeniser would hand on, so they go to the tokenizer's
+        model at once. Of the others, one text is encoded and cut at its line feeds.
         """
-        marked = {p: p[:-1] for p in pieces if p[-1] in MARKS and p[-2:-1].isalpha()}
-        plain = pieces.difference(marked).union(marked.values()).difference(self.known)
-        words = [p for p in plain if "\n" not in p and not p.isspace()]
-        found = {p: self.packed(self.tokenizer.encode(p, add_special_tokens=False).ids)
-                 for p in plain.difference(words)}
+        found: dict[str, bytes] = {}
+        words = []
+        merge, chars = self.tokenizer.model.tokenize, BYTE_CHARS.__getitem__
+        for p in pieces:
+            if self.cuts and simple(p) and not any(t in p for t in self.in_words):
+                found[p] = self.packed([t.id for t in merge("".join(map(chars, p)))])
+            elif self.cuts and "\n" not in p and not p.isspace() and not self.whole_pattern.search(p):
+                words.append(p)
+            else:
+                found[p] = self.packed(self.tokenizer.encode(p, add_special_tokens=False).ids)
         parts: list[bytes] = []
         if words and self.line is not None:
             [encoding] = self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)
@@ -97,26 +141,59 @@ class Encoder:
             parts = [self.packed(e.ids) for e in self.tokenizer.encode_batch(
                 words, add_special_tokens=False)]
         found.update(zip(words, parts))
-        for piece, base in marked.items():
-            found[piece] = (found.get(base) or self.known[base]) + self.marks[piece[-1]]
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _starts(self, texts: pa.Array, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Places in ``data`` where pieces begin; the texts that are not empty begin and end there."""
+        begins, ends = bounds[:-1], bounds[1:]
+        filled = ends > begins
+        start = np.zeros(len(data), dtype=bool)
+        if self.cuts:
+            kinds = np.frombuffer(bytearray(data.tobytes().translate(KINDS)), dtype=np.uint8)
+            lead = np.flatnonzero(data[:-1] >= 0xC2)
+            lead = lead[LETTER_BYTES[data[lead], data[lead + 1]]]
+            kinds[lead] = kinds[lead + 1] = LETTER
+            start[1:] = np.frombuffer(((kinds[:-1] << 3) | kinds[1:]).tobytes().translate(BORDERS), dtype=bool)
+            space = kinds >= SPACE
+            last = space[1:-1] & space[:-2] & ~space[2:]
+            at = ends[filled] - 2
+            last[at[(at >= 0) & (at < len(last))]] = False
+            start[1:-1] |= last
+            for row, text in enumerate(texts.to_pylist()):
+                if any(s in text for s in self.whole):
+                    start[begins[row]:ends[row]] = False
+        start[begins[filled]] = True
+        return np.flatnonzero(start)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian ids of each text, with the end id; NULL is the empty text."""
-        cut = [None if not self.cuts or any(s in t for s in self.whole)
-               else PIECE.findall(t) for t in (t or "" for t in texts)]
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, offsets, content = texts.buffers()
+        bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(content or b"", dtype=np.uint8)[bounds[0]:bounds[-1]]
+        bounds = bounds - bounds[0]
+        if not len(data):
+            return [self.end] * len(texts)
+        starts = self._starts(texts, data, bounds)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [
+            None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        new = {p for pieces in cut if pieces for p in pieces if p not in known}
-        new = self._learn(new) if new else {}
-        self.known.update(new)
-        get = self.known.__getitem__
-        encoded = [(b"".join(map(get, pieces)) if pieces is not None else self.packed(
-            self.tokenizer.encode(text, add_special_tokens=False).ids)) + self.end
-            for text, pieces in zip(texts, cut)]
-        if len(self.known) > CACHE_PIECES:  # full: common pieces are in it by now
-            for piece in new:
-                del self.known[piece]
-        return encoded
+        ids = list(map(known.get, distinct))
+        new = self._learn([p for p, i in zip(distinct, ids) if i is None])
+        if new:
+            ids = [new[p] if i is None else i for p, i in zip(distinct, ids)]
+        if len(known) <= CACHE_PIECES:  # when full, common pieces are in it
+            known.update((p, i) for p, i in new.items() if len(p) <= CACHE_CHARS)
+        # the ids of each piece in place of it
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        flat, codes = np.frombuffer(b"".join(ids), dtype=f"<u{self.width}"), pieces.indices.to_numpy()
+        counts = lengths[codes]
+        upto = np.append(0, np.cumsum(counts))
+        shift = (np.cumsum(lengths) - lengths)[codes] - upto[:-1]
+        packed = flat[np.repeat(shift, counts) + np.arange(upto[-1])].tobytes()
+        cuts = (upto[np.searchsorted(starts, bounds)] * self.width).tolist()
+        return [packed[a:b] + self.end for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -137,12 +214,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int = 0, sample_rows:
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(
         F.broadcast(ids), "id").select("text")
 
-    def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), CHUNK):
-                part = frame["text"].iloc[at:at + CHUNK].tolist()
-                yield pd.DataFrame({"ids": encoder(tokenizer, end).encode(part)})
-    arrays = sorted(bytes(r["ids"]) for r in sample.mapInPandas(encoded, "ids binary").limit(sample_rows).collect())
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                ids = encoder(tokenizer, end).encode(batch.column("text").slice(at, CHUNK))
+                yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
+    arrays = sorted(bytes(r["ids"]) for r in sample.mapInArrow(encoded, "ids binary").limit(sample_rows).collect())
     try:
         return zstandard.train_dictionary(size, arrays, level=3).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -205,7 +282,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, level: int
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 piece = batch.slice(at, CHUNK)
-                encoded = encode.encode(piece.column("text").to_pylist())
+                encoded = encode.encode(piece.column("text"))
                 for one, ids in zip(piece.column("id").to_pylist(), encoded):
                     if out is None:
                         stem, offset = f"{path}/shard-{part:06d}-{seq:04d}-{uuid.uuid4().hex}", 0

@@ -2,9 +2,11 @@
 
 import math
 import random
+from array import array
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -498,6 +500,57 @@ def test_token_store_round_trip(spark):
     assert [list(f) for f in found][0] in [ids for d, ids in expected if d == one]
 
 
+def test_token_store_learns_a_word_once():
+    """Whatever marks stand around a word, the tokenizer gets it once; ids are those of whole texts."""
+    path = tokenizer_path()
+    words = [w for word in ("alpha", "größe", "слово") for w in (word, " " + word)]
+    texts = [a + w + b for w in words for a in ("", ".", "(") for b in ("", ",", ";", ")", "'s", "-7", "!!")]
+    one = token_store.Encoder(path, 0)
+    assert one.encode(pa.array([*texts, None, ""]))[-2:] == [one.end] * 2
+    letters = [p for p in one.known if any(c.isalpha() for c in p) and p != "'s"]
+    assert sorted(letters) == sorted(words)
+
+
+def test_token_store_cuts_where_the_tokenizer_cuts():
+    path = tokenizer_path()
+    from tokenizers import Tokenizer
+    plain, rng = Tokenizer.from_file(path), random.Random(7)
+    parts = [*"abZé ñßжΩ中あ한𝒜ªʰ", *"059½٣²", *".,!?-('\"_`~<|\x00\x7f", "'s", "'ll", "'T", "’s", "“", "…", "·", "×", "÷", "\u0301", "\u0903",
+             "\u0387", "\u2028", "\U0001f600", "\ua7dc", " ", " ", " ", " ", "\n", "\n", "  ", "\n\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(6000)]
+    texts += ["".join(rng.choices(parts, k=6)) + rng.choice(("\t", "\xa0", "<|endoftext|>", "\r\n")) + " a,b" for _ in range(300)]
+    texts += [None, "", "x" * 5000, "中" * 300]
+    rng.shuffle(texts)
+    one = token_store.Encoder(path, 0)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *texts], kind).slice(1)
+        got = [e for at in range(0, len(texts), 700) for e in one.encode(column.slice(at, 700))]
+        for text, ids in zip(texts, got):
+            assert ids == array("H", [*plain.encode(text or "", add_special_tokens=False).ids, 0]).tobytes(), text
+    assert max(map(len, one.known)) <= token_store.CACHE_CHARS
+
+
+def test_token_store_with_added_tokens_inside_words(tmp_path):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.add_tokens(["pha", " be"])
+    plain.save(str(tmp_path / "added.json"))
+    texts = ["alpha", " alpha", "al", " beta", "beta", "alpha gamma", "a beta, gamma"]
+    one = token_store.Encoder(str(tmp_path / "added.json"), 0)
+    for ids, text in zip(one.encode(pa.array(texts)), texts):
+        assert ids == one.packed([*plain.encode(text, add_special_tokens=False).ids, 0]), text
+
+
+def test_token_store_keeps_right_with_a_full_cache(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE_PIECES", 2)
+    one, column = token_store.Encoder(tokenizer_path(), 0), pa.array(["one two three", "four five", "one four"])
+    first = one.encode(column)
+    size = len(one.known)
+    assert one.encode(column) == first and one.encode(pa.array(["six seven", "six"]))[1] == \
+        array("H", [*one.tokenizer.encode("six").ids, 0]).tobytes()
+    assert len(one.known) == size
+
+
 def test_token_store_refuses_another_dictionary(spark):
     path, folder = tokenizer_path(), token_store.store_folder(spark)
     manifest = token_store.write(brute.documents(spark, [(1, "a"), (2, "b")]), folder, path)
