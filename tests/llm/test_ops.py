@@ -411,6 +411,43 @@ def test_vafile_against_plain(spark, bits):
     assert vafile.top_k(frame.limit(0), F.col("id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [None, (1 << 12, 1 << 6)])
+@pytest.mark.parametrize("scale", [1024, 40_000])
+def test_vafile_lanes_and_copies(spark, monkeypatch, sizes, scale):
+    for name, size in zip(("LANE_BYTES", "PART_BYTES"), sizes or ()):
+        monkeypatch.setattr(vafile, name, size)
+    rng = random.Random(12)
+    near, same = ([rng.gauss(0, 0.3) for _ in range(6)] for _ in range(2))
+    rows = [(3 * i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(700)]
+    rows += [(3 * i + 1, [x + rng.gauss(0, 0.002) for x in near]) for i in range(500)]
+    rows += [(5 * i, same) for i in range(200)]
+    rows += [(i, same) for i in (0, 10, 20) for _ in range(9)]  # repeated rows, more than k of them
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vafile.top_k(frame, F.col("id") % 10 == 0, k=6, scale=scale, block_rows=40, query_rows=16).collect()
+    assert sorted(map(tuple, got)) == plain_top(rows, scale, 6)
+
+
+def test_vafile_blocks_are_not_paired_in_rows(spark):
+    """Vectors go to their lane once: no row holds a block of them beside a block of queries."""
+    def outputs(plan):
+        columns = plan.output()
+        yield {columns.apply(i).name() for i in range(columns.size())}
+        for i in range(plan.children().size()):
+            yield from outputs(plan.children().apply(i))
+    frame = spark.createDataFrame([(i, [i / 7, 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    found = vafile.top_k(frame, F.col("id") % 10 == 0, k=2, block_rows=8, query_rows=2)
+    rows = list(outputs(found._jdf.queryExecution().analyzed()))
+    assert any("cells" in names for names in rows) and any("query" in names for names in rows)
+    assert not any({"cells", "query"} <= names for names in rows)
+
+
+def test_vafile_keeps_copies_that_a_result_can_hold():
+    exact = np.array([[1, 2]] * 8 + [[3, 4]] * 2, dtype=np.int16)
+    lane = vafile.lane_of([(np.array([9, 5, 5, 5, 7, 8, 5, 6, 2, 1]), np.zeros((10, 2), np.uint8), exact)], 2)
+    assert lane.ids.tolist() == [1, 2, 5, 5, 6, 7] and lane.exact[:, 0].tolist() == [3, 3, 1, 1, 1, 1]
+
+
 def test_vafile_bounds_hold():
     rng = np.random.default_rng(0)
     exact = rng.integers(-500, 500, (200, 8))
